@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from emberlens.llm import exact_dedup
+from emberlens.llm import chat, exact_dedup, sharding
 
 QUERIES = {
+    "op5_chat_format": chat.op5_chat_format,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op10_extendible_shards": sharding.op10_extendible_shards,
 }
 
 ORACLE = {
+    "op5_chat_format": chat.OP5_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
+    "op10_extendible_shards": sharding.OP10_SQL,
 }

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from emberlens.llm import chat, exact_dedup, sharding
+from emberlens.llm import bpe, chat, exact_dedup, packing, sharding
 
 QUERIES = {
+    "op2_vector_packing": packing.op2_vector_packing,
     "op5_chat_format": chat.op5_chat_format,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_bpe_transducer": bpe.op7_bpe_transducer,
     "op10_extendible_shards": sharding.op10_extendible_shards,
 }
 

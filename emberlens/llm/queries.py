@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from emberlens.llm import bpe, chat, exact_dedup, language, packing, sharding
+from emberlens.llm import bpe, chat, exact_dedup, language, packing, sharding, toxicity
 
 QUERIES = {
     "op2_vector_packing": packing.op2_vector_packing,
     "op5_chat_format": chat.op5_chat_format,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_bpe_transducer": bpe.op7_bpe_transducer,
+    "op8_toxic_spans": toxicity.op8_toxic_spans,
     "op9_language_mixture": language.op9_language_mixture,
     "op10_extendible_shards": sharding.op10_extendible_shards,
 }

@@ -53,3 +53,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the decimal id, modulo ``n``; null ids give null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str, key: Column) -> DataFrame:
+    """The rows of ``docs`` whose id and ``key`` are in ``kept`` (columns ``id, key``), each pair once.
+
+    Spark broadcasts ``kept`` only if its measured size is under its threshold.
+    """
+    from pyspark.sql import Window
+
+    names = kept.select(F.col("id").alias("__kept_id"), F.col("key").alias("__kept_key"))
+    marked = docs.withColumn("__key", key)
+    out = marked.join(names, marked[id_col].eqNullSafe(names["__kept_id"]) & (marked["__key"] == names["__kept_key"]), "left_semi")
+    nth = F.row_number().over(Window.partitionBy(id_col, "__key").orderBy(F.lit(1)))
+    return out.withColumn("__nth", nth).where("__nth = 1").drop("__nth", "__key")

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from emberlens.llm.common import documents, staged, text_or_empty
+from emberlens.llm.common import documents, keep_rows, staged, text_or_empty
 
 #: A digest with more than this share of the rows is settled by broadcast.
 SUPPORT = 0.001
@@ -91,14 +91,8 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Kept rows are found again by id and digest; Spark broadcasts them only if their measured
     size is under its threshold. Rows that share both id and text are thinned afterwards.
     """
-    groups = staged(dedup_groups(docs, id_col, text_col, support), "groups")
-    kept = groups.where("kept").select(F.col("id").alias("__kept_id"), F.col("digest").alias("__kept_digest"))
-    marked = docs.withColumn("__digest", F.unhex(F.sha2(fold(text_or_empty(text_col)).cast("binary"), 256)))
-    out = marked.join(kept, marked[id_col].eqNullSafe(kept["__kept_id"]) & (marked["__digest"] == kept["__kept_digest"]), "left_semi")
-    if not groups.groupBy("id", "digest").count().where("count > 1").isEmpty():
-        nth = F.row_number().over(Window.partitionBy(id_col, "__digest").orderBy(F.lit(1)))
-        out = out.withColumn("__nth", nth).where("__nth = 1").drop("__nth")
-    return out.drop("__digest")
+    kept = staged(dedup_groups(docs, id_col, text_col, support).where("kept").select("id", F.col("digest").alias("key")), "kept")
+    return keep_rows(docs, kept, id_col, F.unhex(F.sha2(fold(text_or_empty(text_col)).cast("binary"), 256)))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from emberlens.llm import bpe, chat, exact_dedup, language, packing, sharding, toxicity
+from emberlens.llm import bpe, chat, exact_dedup, fingerprints, language, near_dedup, packing, sharding, toxicity
 
 QUERIES = {
     "op2_vector_packing": packing.op2_vector_packing,
+    "op3_simhash": fingerprints.op3_simhash,
+    "op4_bagminhash": near_dedup.op4_bagminhash,
     "op5_chat_format": chat.op5_chat_format,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_bpe_transducer": bpe.op7_bpe_transducer,

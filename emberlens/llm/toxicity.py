@@ -37,9 +37,9 @@ from pyspark.sql import functions as F
 from emberlens.llm.common import crc_mod, documents, text_or_empty
 from emberlens.llm.textvec import groups, hashes, mix, words
 
-MOST_TOXIC, MOST_CLEAN = 2000, 3000
+MOST_TOXIC, MOST_CLEAN = 1500, 2000
 PREFIXES = (4, 5, 6, 7, 8)
-SLOTS = 1 << 20
+SLOTS = 1 << 19
 SURE, RATIO, LEAST = 20.0, 8.0, 3
 ROUNDS, RATE, RIDGE = 40, 0.5, 1e-6
 
@@ -96,15 +96,31 @@ def summary(log_odds: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.nda
     return out
 
 
-def _token_labels(slots: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+class _Sample:
+    """Tokens of the training documents: distinct words once, tokens as numbers of words."""
+
+    def __init__(self, each: list[np.ndarray]) -> None:
+        self.size = np.array([len(x) for x in each])
+        self.first = np.cumsum(self.size) - self.size
+        self.doc = np.repeat(np.arange(len(each), dtype=np.int32), self.size)
+        slots = np.concatenate(each)
+        key = np.zeros(len(slots), np.uint64)
+        for k in range(slots.shape[1]):
+            key += mix(slots[:, k].astype(np.uint64) + np.uint64(k * SLOTS))
+        _, once, word = np.unique(key, return_index=True, return_inverse=True)
+        self.words, self.word = slots[once], word.astype(np.int32)
+
+
+def _token_labels(sample: _Sample, toxic: np.ndarray) -> np.ndarray:
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
     df = [np.zeros(SLOTS), np.zeros(SLOTS)]
-    for k in range(slots.shape[1]):
-        pair = np.unique(doc.astype(np.int64) * SLOTS + slots[:, k])
-        seen = pair % SLOTS
-        of = toxic[pair // SLOTS]
+    pair = np.unique(sample.doc.astype(np.int64) * len(sample.words) + sample.word)
+    doc, word = pair // len(sample.words), pair % len(sample.words)
+    for k in range(sample.words.shape[1]):
+        seen = np.unique(doc * SLOTS + sample.words[word, k])
+        of = toxic[seen // SLOTS]
         for y in (0, 1):
-            df[y] += np.bincount(seen[of == bool(y)], minlength=SLOTS)
+            df[y] += np.bincount(seen[of == bool(y)] % SLOTS, minlength=SLOTS)
     a, b = df[1], df[0]
 
     def part(x: np.ndarray, expected: np.ndarray) -> np.ndarray:
@@ -114,44 +130,49 @@ def _token_labels(slots: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.n
     ratio = 2 * (part(a, n1 * rate) + part(b, n0 * rate) + part(n1 - a, n1 * (1 - rate)) + part(n0 - b, n0 * (1 - rate)))
     marked = (ratio > SURE) & (a >= LEAST) & ((a + 0.5) / n1 > RATIO * (b + 0.5) / n0)
     marked[0] = False
-    return marked[slots].any(1) & toxic[doc]
+    return marked[sample.words].any(1)[sample.word] & toxic[sample.doc]
+
+
+def _expected_steps(ahead: np.ndarray, right: np.ndarray, steps: np.ndarray, later: np.ndarray) -> np.ndarray:
+    """Expected number of each kind of step between neighbours, a stretch at a time."""
+    total = np.zeros(3)
+    for lo in range(0, len(later), 1 << 18):
+        at = later[lo : lo + (1 << 18)]
+        x, y = ahead[at - 1], right[at]
+        pairs = np.stack([np.zeros(len(at)), steps[0] + y, steps[1] + x, steps[2] + x + y])
+        pairs = np.exp(pairs - pairs.max(0))
+        total += (pairs / pairs.sum(0)).sum(1)[1:]
+    return total
 
 
-def _fit_field(slots: np.ndarray, doc: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+def _fit_field(sample: _Sample, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """Maximum conditional likelihood by AdaGrad over the whole sample."""
-    first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-    size = np.diff(np.r_[first, len(doc)])
-    # Weights meet words, and words meet tokens: most tokens repeat a word.
-    key = mix(slots.astype(np.uint64) + np.arange(slots.shape[1], dtype=np.uint64) * np.uint64(SLOTS)).sum(1, dtype=np.uint64)
-    _, once, word = np.unique(key, return_index=True, return_inverse=True)
-    used, local = np.unique(slots[once], return_inverse=True)
-    local = local.reshape(len(once), slots.shape[1])
+    some = sample.size > 0
+    first, size = sample.first[some], sample.size[some]
+    used, local = np.unique(sample.words, return_inverse=True)
+    local = local.reshape(sample.words.shape)
     weights, steps, bias = np.zeros(len(used)), np.zeros(3), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
-    joined = np.ones(len(doc), bool)
+    joined = np.ones(len(y), bool)
     joined[first] = False
     later = np.flatnonzero(joined)
     truth = np.array([(~y[later - 1] & y[later]).sum(), (y[later - 1] & ~y[later]).sum(), (y[later - 1] & y[later]).sum()], float)
     seen_w, seen_s, seen_b = np.full(len(used), 1e-8), np.full(3, 1e-8), 1e-8
     for _ in range(ROUNDS):
-        unary = (weights[local].sum(1) + bias)[word]
+        unary = (weights[local].sum(1) + bias)[sample.word]
         odds, ahead, behind = marginals(unary, first, size, steps)
         error = y - _sigmoid(odds)
-        by_word = np.bincount(word, weights=error, minlength=len(once))
-        grad = np.bincount(local.ravel(), weights=np.repeat(by_word, slots.shape[1]), minlength=len(used)) - RIDGE * len(y) * weights
+        by_word = np.bincount(sample.word, weights=error, minlength=len(sample.words))
+        grad = np.bincount(local.ravel(), weights=np.repeat(by_word, local.shape[1]), minlength=len(used)) - RIDGE * len(y) * weights
         if used[0] == 0:
             grad[0] = 0
-        left, right = ahead[later - 1], unary[later] + behind[later]
-        pairs = np.stack([np.zeros(len(later)), steps[0] + right, steps[1] + left, steps[2] + left + right], 1)
-        pairs = np.exp(pairs - pairs.max(1, keepdims=True))
-        expected = (pairs / pairs.sum(1, keepdims=True)).sum(0)[1:]
-        grad_s = truth - expected
+        grad_s = truth - _expected_steps(ahead, unary + behind, steps, later)
         seen_w += grad**2
         seen_s += grad_s**2
         seen_b += error.sum() ** 2
         weights += RATE * grad / np.sqrt(seen_w)
         steps += RATE * grad_s / np.sqrt(seen_s)
         bias += RATE * error.sum() / np.sqrt(seen_b)
-    full = np.zeros(SLOTS)
+    full = np.zeros(SLOTS, np.float32)
     full[used] = weights
     full[0] = 0
     return full, steps, bias
@@ -192,20 +213,18 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                 blobs = [x.tobytes() for x in np.split(slots, np.cumsum(n)[:-1])]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(blobs, pa.binary())], ["y", "slots"])
 
-    sample = parts[0].union(parts[1]).mapInArrow(extract, "y int, slots binary").collect()
-    y = np.array([r["y"] == 1 for r in sample])
-    each = [np.frombuffer(bytes(r["slots"]), np.int32).reshape(-1, len(PREFIXES) + 1) for r in sample]
-    size = np.array([len(x) for x in each])
-    slots, doc = np.concatenate(each), np.repeat(np.arange(len(each)), size)
-    if not len(slots):
+    taken = parts[0].union(parts[1]).mapInArrow(extract, "y int, slots binary").collect()
+    y = np.array([r["y"] == 1 for r in taken])
+    sample = _Sample([np.frombuffer(bytes(r["slots"]), np.int32).reshape(-1, len(PREFIXES) + 1) for r in taken])
+    del taken
+    if not len(sample.word):
         return None
-    weights, steps, bias = _fit_field(slots, doc, _token_labels(slots, doc, y))
-    first = np.cumsum(size) - size
-    some = size > 0
-    odds, _, _ = marginals(weights[slots].sum(1) + bias, first[some], size[some], steps)
+    weights, steps, bias = _fit_field(sample, _token_labels(sample, y))
+    some = sample.size > 0
+    odds, _, _ = marginals(weights[sample.words].sum(1, dtype=np.float64)[sample.word] + bias, sample.first[some], sample.size[some], steps)
     share = np.where(y, totals[1] / max(1, y.sum()), totals[0] / max(1, (~y).sum()))
-    document = _fit_documents(summary(odds, first, size), y.astype(float), share * len(y) / share.sum())
-    return Model(weights.astype(np.float32), steps, bias, document)
+    document = _fit_documents(summary(odds, sample.first, sample.size), y.astype(float), share * len(y) / share.sum())
+    return Model(weights, steps, bias, document)
 
 
 def score(

@@ -180,7 +180,7 @@ def predict(
     rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], text_or_empty(text_col).alias("text"))
     kinds = ", ".join(f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
     out = rows.mapInArrow(run, f"{kinds}, lang_pred string, score double, languages array<string>, proportions array<double>")
-    return out.withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
+    return out.toDF(*keep, *out.columns[len(keep) :])
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

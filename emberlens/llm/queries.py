@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from emberlens.llm import bpe, chat, exact_dedup, fingerprints, language, near_dedup, packing, sharding, toxicity
+from emberlens.llm import bpe, chat, exact_dedup, fingerprints, language, licenses, near_dedup, packing, sharding, toxicity
 
 QUERIES = {
+    "op1_license_scan": licenses.op1_license_scan,
     "op2_vector_packing": packing.op2_vector_packing,
     "op3_simhash": fingerprints.op3_simhash,
     "op4_bagminhash": near_dedup.op4_bagminhash,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op1_license_scan": licenses.OP1_SQL,
     "op5_chat_format": chat.OP5_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
     "op10_extendible_shards": sharding.OP10_SQL,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlens.llm.common import staged
@@ -32,30 +32,60 @@ def components(edges: DataFrame) -> DataFrame:
         labels = staged(jumped, "labels")
 
 
-def linked(banded: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Components of the nodes that share a bucket and pass ``verify``.
+#: Partners that a node outside its bucket's main component meets in a round: offsets up to
+#: these, then eight times as many each round, until the bucket is through.
+OFFSETS = (4, 32, 256, 2048, 16384)
 
-    ``banded`` has ``node, bucket``; ``verify`` takes pairs ``a, b`` and returns those that
-    are linked. The result is that of ``components``, for nodes with some link.
 
-    In each bucket the nodes are paired with the bucket's least node first. Then, in buckets
-    whose nodes are not all in one component yet, every pair of nodes of different components
-    is verified as well. So each link that the buckets propose is either verified or already
-    implied.
+def linked(banded: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """Components of the nodes that share a bucket and pass verification.
+
+    ``banded`` has ``node, bucket``. ``prepare`` gets the nodes that share some bucket and
+    returns a function that takes pairs ``a, b`` and returns those that are linked. The
+    result is that of ``components``, for nodes with some link.
+
+    In each bucket the nodes are paired with the bucket's least node first. In a bucket that
+    is not in one component then, each node outside the bucket's largest component meets
+    further nodes of the bucket, at growing distances in an order by hash, and components
+    are taken anew after each round. A node stops when it has joined the main component or
+    has met every node of the bucket. So each link that the buckets propose is either
+    verified or already implied, while a large group of copies is not compared pair by pair.
     """
     shared = banded.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     met = staged(banded.join(shared, "bucket"), "buckets")
-    stars = staged(met.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    links = staged(verify(stars).select("a", "b"), "links")
+    verify = prepare(met.select("node").distinct())
+    tested = staged(met.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    links = staged(verify(tested).select("a", "b"), "links")
     found = components(links)
 
-    placed = met.join(found, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
-    torn = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high")
-    apart = staged(placed.join(torn.select("bucket"), "bucket", "left_semi"), "apart")
-    other = apart.select("bucket", F.col("node").alias("node2"), F.col("comp").alias("comp2"))
-    rest = apart.join(other, "bucket").where("comp < comp2").select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
-    rest = staged(rest.distinct().join(stars, ["a", "b"], "left_anti"), "rest")
-    if rest.isEmpty():
-        return found
-    more = staged(verify(rest).select("a", "b"), "links")
-    return found if more.isEmpty() else components(links.union(more))
+    members, low = met.select("bucket", "node"), 1
+    rounds = iter(OFFSETS)
+    while True:
+        placed = members.join(found, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
+        torn = placed.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("size"))
+        torn = torn.where((F.col("x") != F.col("y")) & (F.col("size") >= 2 * low)).select("bucket", "size")
+        apart = staged(placed.join(torn, "bucket"), "apart")
+        if apart.isEmpty():
+            return found
+        high = next(rounds, None) or low * 8
+        counts = apart.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
+        main = counts.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("m")).select("bucket", F.col("m.comp").alias("main"))
+        order = Window.partitionBy("bucket").orderBy(F.xxhash64("node"), "node")
+        ranked = staged(apart.withColumn("at", F.row_number().over(order) - 1), "ranked")
+        outside = ranked.join(main, "bucket").where("comp != main")
+        # Both ways round, up to half the bucket: whichever of two nodes is outside meets the other.
+        last = F.least(F.lit(high - 1), F.floor(F.col("size") / 2)).cast("int")
+        steps = F.when(last >= low, F.sequence(F.lit(low), last))
+        seek = outside.select("bucket", "node", "comp", F.explode(F.concat(steps, F.transform(steps, lambda s: -s))).alias("step"), "at", "size")
+        seek = seek.select("bucket", "node", "comp", F.pmod(F.col("at") + F.col("step"), "size").cast("int").alias("at"))
+        other = ranked.select("bucket", "at", F.col("node").alias("node2"), F.col("comp").alias("comp2"))
+        pairs = seek.join(other, ["bucket", "at"]).where("comp != comp2")
+        pairs = pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+        pairs = staged(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested, low = tested.union(pairs), high
+        if not pairs.isEmpty():
+            more = staged(verify(pairs).select("a", "b"), "links")
+            if not more.isEmpty():
+                links = links.union(more)
+                found = components(links)
+        members = apart.select("bucket", "node")

@@ -28,7 +28,7 @@ are ignored. The kept row of a class is the one of least id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -170,18 +170,22 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("exact"), text.alias("text"))
 
 
-def verified(pairs: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame:
-    """``a, b, sim`` for pairs of nodes, on their whole texts."""
-    named = signed.select("rid", F.struct("id", "exact").alias("key"))
-    p = pairs.join(named.select(F.col("rid").alias("a"), F.col("key").alias("key_a")), "a")
-    p = staged(p.join(named.select(F.col("rid").alias("b"), F.col("key").alias("key_b")), "b"), "pairs")
-    need = p.select(F.col("key_a").alias("key")).union(p.select("key_b")).distinct()
-    same = lambda x, y: (x["exact"] == y["exact"]) & x["id"].eqNullSafe(y["id"])
-    own = staged(texts.join(need, same(texts, F.col("key")), "left_semi"), "texts")
-    left, right = own.withColumnRenamed("text", "text_a"), own.withColumnRenamed("text", "text_b")
-    p = p.join(left, same(left, p["key_a"])).drop("id", "exact", "key_a")
-    p = p.join(right, same(right, p["key_b"])).select("a", "b", "text_a", "text_b")
-    return staged(p.mapInArrow(_verify, "a bigint, b bigint, sim double").distinct(), "verified")
+def verifier(nodes: DataFrame, signed: DataFrame, texts: DataFrame, threshold: float) -> Callable[[DataFrame], DataFrame]:
+    """A function from pairs of ``nodes`` to those that are similar, on their whole texts.
+
+    The texts of these nodes move once, by a shuffle at every size of the input: whether few
+    or many nodes are needed depends on the copies in the data, not on the plan.
+    """
+    need = signed.select("rid", "id", "exact").join(nodes.withColumnRenamed("node", "rid"), "rid", "left_semi").hint("merge")
+    same = (texts["exact"] == need["exact"]) & texts["id"].eqNullSafe(need["id"])
+    own = staged(texts.join(need, same).select("rid", "text"), "texts")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        p = pairs.join(own.select(F.col("rid").alias("b"), F.col("text").alias("text_b")), "b")
+        p = p.join(own.select(F.col("rid").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+        return p.mapInArrow(_verify, "a bigint, b bigint, sim double").where(F.col("sim") >= threshold).select("a", "b").distinct()
+
+    return verify
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -198,7 +202,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     nodes = signed.select("rid", "bands").join(copies.select("rid"), "rid", "left_anti")
     banded = nodes.select(F.col("rid").alias("node"), F.explode("bands").alias("bucket"))
-    found = linked(banded, lambda pairs: verified(pairs, signed, texts).where(F.col("sim") >= threshold))
+    found = linked(banded, lambda met: verifier(met, signed, texts, threshold))
 
     every = signed.select("rid", "id", "exact").join(copies, "rid", "left").withColumn("node", F.coalesce("node", "rid"))
     every = staged(every.join(found, "node", "left").select("rid", "id", "exact", F.coalesce("comp", "node").alias("comp")), "placed")

@@ -148,7 +148,7 @@ def within_radius(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
         a, b = bits.select(F.col("node").alias("a"), F.col("f").alias("fa")), bits.select(F.col("node").alias("b"), F.col("f").alias("fb"))
         return pairs.join(a, "a").join(b, "b").where(BITS * (1 - likeness("fa", "fb")) < radius + 0.5).select("a", "b")
 
-    comps = linked(banded, verify)
+    comps = linked(banded, lambda _: verify)
     whole = nodes.join(comps, "node", "left").where("n > 1 or comp is not null")
     return prints.join(whole.select("f", F.coalesce("comp", "node").alias("comp")), "f").select("rid", "comp")
 
@@ -164,16 +164,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "rid", "id", "next_rid", F.char_length("text").cast("bigint").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256")
     )
     both = rows.select(F.explode(F.array(F.struct((F.col("rid") * 2).alias("key"), "text"), F.struct((F.col("rid") * 2 + 1).alias("key"), F.col("edited").alias("text")))).alias("v"))
-    voted = staged(votes(both.select("v.key", "v.text")), "votes")
-    meta = staged(meta, "meta")
+    voted = votes(both.select("v.key", "v.text"))
     zero = F.struct(F.lit(0).cast("bigint").alias("hi"), F.lit(0).cast("bigint").alias("lo"))
-
-    def side(n: int, name: str) -> DataFrame:
-        rid = F.shiftright("key", 1).alias("rid")
-        return voted.where(F.col("key").bitwiseAND(F.lit(1).cast("bigint")) == n).select(rid, F.struct("hi", "lo").alias(name))
-
-    own = meta.join(side(0, "f"), "rid", "left").join(side(1, "e"), "rid", "left")
-    own = staged(own.withColumn("f", F.coalesce("f", zero)).withColumn("e", F.coalesce("e", zero)), "prints")
+    even = F.col("key").bitwiseAND(F.lit(1).cast("bigint")) == 0
+    sides = [F.max(F.when(even if name == "f" else ~even, F.struct("hi", "lo"))).alias(name) for name in ("f", "e")]
+    voted = voted.groupBy(F.shiftright("key", 1).alias("rid")).agg(*sides)
+    # One plan for both, so that the texts' exchange is made once and used twice.
+    own = meta.join(voted, "rid", "left").withColumn("f", F.coalesce("f", zero)).withColumn("e", F.coalesce("e", zero))
+    own = staged(own, "prints")
     classes = within_radius(own.select("rid", "f"), radius)
     placed = own.join(classes, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
     least = placed.groupBy("comp").agg(F.min(F.struct("id")).alias("least"))

@@ -7,8 +7,7 @@ over all documents of a group, give the exact marginal of every token over its w
 document.
 
 Training uses a sample of the training rows bounded by ``MOST_TOXIC`` and ``MOST_CLEAN``
-documents: those with the smallest hash of id and text, so it does not depend on the
-layout. Labels are per document, so tokens are labelled first: a feature is marked when its
+documents: those with the smallest hash of the id, so it does not depend on the layout. Labels are per document, so tokens are labelled first: a feature is marked when its
 document frequencies in toxic and clean training documents differ beyond doubt (likelihood
 ratio over ``SURE`` and at least ``RATIO`` times as frequent); a token of a toxic document
 with a marked feature is toxic, every other token is clean. The field is then fitted by
@@ -34,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlens.llm.common import crc_mod, documents, text_or_empty
+from emberlens.llm.common import crc_mod, documents, staged, text_or_empty
 from emberlens.llm.textvec import groups, hashes, mix, words
 
 MOST_TOXIC, MOST_CLEAN = 1500, 2000
@@ -192,17 +191,26 @@ def _fit_documents(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarr
     return w
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
-    """Fit on rows of text and 0/1 label; None without both classes."""
-    rows = labelled.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(
-        F.col(label_col).cast("int").alias("y"), text_or_empty(text_col).alias("text"), F.col(id_col).cast("string").alias("id")
-    )
-    totals = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect() if r["y"] in (0, 1)}
+def train(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"
+) -> Model | None:
+    """Fit on the rows of ``docs`` that ``labels`` marks 0 or 1; None without both classes.
+
+    The sample is drawn on ids alone; only its texts are then taken from ``docs``.
+    """
+    marks = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
+    there = docs.select(F.col(id_col).alias("id"))
+    marks = staged(marks.join(there, "id", "left_semi").distinct(), "marks")
+    totals = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(totals) < 2:
         return None
-    # Bounded: the rows with the smallest hashes, MOST_TOXIC and MOST_CLEAN at most.
-    order = F.xxhash64("id", "text")
-    parts = [rows.where(F.col("y") == y).orderBy(order).limit(n).select("y", "text") for y, n in ((0, MOST_CLEAN), (1, MOST_TOXIC))]
+    # Bounded: the ids with the smallest hashes, MOST_TOXIC and MOST_CLEAN at most.
+    bounds = ((0, MOST_CLEAN), (1, MOST_TOXIC))
+    drawn = [marks.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(n) for y, n in bounds]
+    drawn = F.broadcast(staged(drawn[0].union(drawn[1]), "drawn"))
+    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(drawn, "id")
+    # Ids that several rows share may not exceed the bounds either.
+    parts = [rows.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(n).select("y", "text") for y, n in bounds]
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -266,15 +274,14 @@ def score(
     return out.toDF(*keep, *out.columns[len(keep) :])
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labelled documents whose id's checksum is not 0 modulo 5."""
-    marks = labels.where(crc_mod("doc_id", 5) != 0).select(F.col("doc_id").alias("__label_id"), F.col("toxic").alias("__toxic"))
-    return docs.join(marks, docs["doc_id"] == marks["__label_id"]).select("doc_id", "text", F.col("__toxic").alias("toxic"))
+def training_labels(labels: DataFrame) -> DataFrame:
+    """Labels of ids whose checksum is not 0 modulo 5."""
+    return labels.where(crc_mod("doc_id", 5) != 0)
 
 
 def op8_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    model = train(training_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    model = train(docs, training_labels(spark.read.parquet(f"{sf_dir}/labels.parquet")))
     found = score(docs, model)
     predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
     return found.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", predicted, "spans")

@@ -19,7 +19,7 @@ TOXIC = 0.5
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Score every document with the field trained on the labelled ones; toxic documents go."""
-    model = toxicity.train(toxicity.training_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    model = toxicity.train(docs, toxicity.training_labels(spark.read.parquet(f"{sf_dir}/labels.parquet")))
     scored = toxicity.score(docs, model, keep=docs.columns)
     return scored.where(F.col("score") < TOXIC).select(docs.columns)
 

@@ -84,15 +84,17 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
 
 
 def _batch(a: argparse.Namespace, spark: SparkSession, query: Query, kind: str, path: str) -> None:
-    seen = Observation("lines")
     lines = ndjson.classify(ndjson.read_lines(spark, path), a.max_line_bytes)
-    plan = over_records(ndjson.records(lines.observe(seen, *ndjson.tallies())), query)
-    if plan.aggregation:
-        print(render.aggregation(plan, kind))
+    if query.aggs:
+        # The bounded result is one action, which carries the counts along.
+        seen = Observation("lines")
+        print(render.aggregation(over_records(ndjson.records(lines.observe(seen, *ndjson.tallies())), query), kind))
+        counts = seen.get
     else:
-        for text in render.records((r["line"] for r in render.record_lines(plan).toLocalIterator()), kind):
+        # Printed as it is read, so there is no end of an action to take counts from.
+        for text in render.records((r["line"] for r in render.record_lines(over_records(ndjson.records(lines), query)).toLocalIterator()), kind):
             print(text)
-    counts = seen.get
+        counts = ndjson.line_counts(lines).first().asDict()
     if counts[ndjson.MALFORMED]:
         print(f"{NAME}: skipped {counts[ndjson.MALFORMED]} malformed line(s)", file=sys.stderr)
     if counts[ndjson.TOO_LONG]:

@@ -24,7 +24,7 @@ class PatternError(ValueError):
 
 
 def to_java(pattern: str) -> str:
-    plain = re.sub(r"\\\\|\[(?:\\.|[^\]\\])*\]", lambda m: "  " if m[0] == r"\\" else "", pattern)
+    plain = re.sub(r"\\[^1-9k]|\[(?:\\.|[^\]\\])*\]", " ", pattern, flags=re.DOTALL)
     for refused, why in _REFUSED:
         if refused.search(plain):
             raise PatternError(pattern, why)

@@ -86,7 +86,8 @@ def bucket_seconds(text: str) -> int:
 
 def bucket(at: Column, seconds: int) -> Column:
     """Start of the epoch-aligned bucket, in seconds; before the epoch, 0."""
-    return F.greatest(F.floor(F.unix_seconds(at) / seconds) * seconds, F.lit(0)).cast("bigint")
+    start = (F.floor(F.unix_seconds(at) / seconds) * seconds).cast("bigint")
+    return F.when(start < 0, 0).otherwise(start)
 
 
 def within(at: Column, since: datetime | None, until: datetime | None) -> Column:

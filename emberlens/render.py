@@ -41,7 +41,7 @@ def aggregation(plan: Plan, kind: str) -> str:
     """Rows are sorted by the text of their keys; at most ``limit`` of them reach the driver."""
     result = plan.aggregation
     names, keys = [*result.names, *map(str, result.wanted)], len(result.names)
-    rows = [[*(MISSING if k is None else str(k) for k in r[:keys]), *(None if x is None else float(x) for x in r[keys:])] for r in result.rows.toLocalIterator()]
+    rows = [[*(MISSING if k is None else str(k) for k in r[:keys]), *(None if x is None else float(x) for x in r[keys:])] for r in result.rows.collect()]
     rows.sort(key=lambda r: r[:keys])
     objects = [dict(zip(names, row)) for row in rows]
     if kind == "ndjson":

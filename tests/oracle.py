@@ -1,0 +1,28 @@
+"""Spark results against DuckDB's on the same tables."""
+
+import os
+
+import duckdb
+import pandas as pd
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def connect(sf):
+    con = duckdb.connect()
+    for t in TABLES:
+        if os.path.exists(f"{sf}/{t}.parquet"):
+            con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    return con
+
+
+def rows(df):
+    columns = sorted(df.columns)
+    out = []
+    for r in df[columns].astype(object).itertuples(index=False):
+        out.append(tuple(None if not isinstance(v, list) and pd.isna(v) else float(v) if isinstance(v, float) else str(v) for v in r))
+    return columns, sorted(map(str, out))
+
+
+def same(spark_df, con, sql):
+    assert rows(spark_df.toPandas()) == rows(con.sql(sql).df())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlens.llm.common import staged
@@ -37,12 +37,17 @@ def components(edges: DataFrame) -> DataFrame:
 OFFSETS = (4, 32, 256, 2048, 16384)
 
 
-def linked(banded: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
+def linked(
+    banded: DataFrame,
+    prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]],
+    worth: Callable[[Column, Column], Column] | None = None,
+) -> DataFrame:
     """Components of the nodes that share a bucket and pass verification.
 
     ``banded`` has ``node, bucket``. ``prepare`` gets the nodes that share some bucket and
-    returns a function that takes pairs ``a, b`` and returns those that are linked. The
-    result is that of ``components``, for nodes with some link.
+    returns a function that takes pairs ``a, b`` and returns those that are linked. With
+    ``worth``, ``banded`` has a ``sketch`` too, and pairs whose sketches it refuses are not
+    verified. The result is that of ``components``, for nodes with some link.
 
     In each bucket the nodes are paired with the bucket's least node first. In a bucket that
     is not in one component then, each node outside the bucket's largest component meets
@@ -52,9 +57,12 @@ def linked(banded: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame
     verified or already implied, while a large group of copies is not compared pair by pair.
     """
     shared = banded.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    met = staged(banded.join(shared, "bucket"), "buckets")
+    met = staged(banded.select("node", "bucket").join(shared, "bucket"), "buckets")
     verify = prepare(met.select("node").distinct())
     tested = staged(met.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    sketches = None
+    if worth is not None:
+        sketches = staged(banded.select("node", "sketch").join(met.select("node"), "node", "left_semi").distinct(), "sketches")
     links = staged(verify(tested).select("a", "b"), "links")
     found = components(links)
 
@@ -72,14 +80,24 @@ def linked(banded: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame
         main = counts.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("m")).select("bucket", F.col("m.comp").alias("main"))
         order = Window.partitionBy("bucket").orderBy(F.xxhash64("node"), "node")
         ranked = staged(apart.withColumn("at", F.row_number().over(order) - 1), "ranked")
-        outside = ranked.join(main, "bucket").where("comp != main")
-        # Both ways round, up to half the bucket: whichever of two nodes is outside meets the other.
+        # Of two nodes that are apart, one at least is outside the main component. If half the
+        # bucket is outside, every node looks one way round; else those outside look both ways.
+        sized = main.join(counts, "bucket").groupBy("bucket", "main").agg((F.sum(F.when(F.col("comp") != F.col("main"), F.col("n"))) * 2 >= F.sum("n")).alias("all"))
+        outside = ranked.join(sized, "bucket").where("all or comp != main")
+        if sketches is not None:
+            outside, ranked = outside.join(sketches, "node"), ranked.join(sketches, "node")
         last = F.least(F.lit(high - 1), F.floor(F.col("size") / 2)).cast("int")
         steps = F.when(last >= low, F.sequence(F.lit(low), last))
-        seek = outside.select("bucket", "node", "comp", F.explode(F.concat(steps, F.transform(steps, lambda s: -s))).alias("step"), "at", "size")
-        seek = seek.select("bucket", "node", "comp", F.pmod(F.col("at") + F.col("step"), "size").cast("int").alias("at"))
-        other = ranked.select("bucket", "at", F.col("node").alias("node2"), F.col("comp").alias("comp2"))
-        pairs = seek.join(other, ["bucket", "at"]).where("comp != comp2")
+        steps = F.when(F.col("all"), steps).otherwise(F.concat(steps, F.transform(steps, lambda s: -s)))
+        drawn = [] if sketches is None else ["sketch"]
+        seek = outside.select("bucket", "node", "comp", *drawn, F.explode(steps).alias("step"), "at", "size")
+        seek = seek.select("bucket", "node", "comp", *drawn, F.pmod(F.col("at") + F.col("step"), "size").cast("int").alias("at"))
+        there = [F.col(c).alias(f"{c}2") for c in ("node", "comp", *drawn)]
+        other = ranked.select(F.col("bucket").alias("bucket2"), F.col("at").alias("at2"), *there)
+        meet = (F.col("bucket") == F.col("bucket2")) & (F.col("at") == F.col("at2")) & (F.col("comp") != F.col("comp2"))
+        if drawn:
+            meet &= worth(F.col("sketch"), F.col("sketch2"))
+        pairs = seek.join(other, meet)
         pairs = pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
         pairs = staged(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested, low = tested.union(pairs), high

@@ -29,20 +29,24 @@ are ignored. The kept row of a class is the one of least id.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlens.llm.common import documents, keep_rows, staged, text_or_empty
 from emberlens.llm.graph import linked
 from emberlens.llm.textvec import GROUP_BYTES, flat, groups, hashes, mix, shingles, words
 
-#: 48 bands, each of 12 out of 256 registers: pairs at similarity 0.8 meet with probability
-#: 0.96 and at 0.85 with 0.997, while of pairs at 0.5 one in a hundred does. Documents that
-#: share a passage but are no copies seldom meet, however many they are.
-REGISTERS, BANDS, ROWS = 256, 48, 12
+#: 57 bands, each of 13 out of 256 registers. See the README for how often pairs meet.
+#: Documents that share a passage but are no copies seldom meet, however many they are.
+REGISTERS, BANDS, ROWS = 256, 57, 13
+#: Registers that disagree in a pair of similarity 0.8 number 51 and a deviation of 6.4; half
+#: of them show in their lowest bits. A pair with more differing bits than this (26 and five
+#: deviations of 4.8) is not worth its texts.
+MOST_BITS = 50
 THRESHOLD, WORDS = 0.8, 5
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -102,10 +106,11 @@ def signatures(sh: np.ndarray, text: np.ndarray, count: np.ndarray, n: int, regi
 
 
 def _chosen() -> np.ndarray:
-    """The registers of each band: in turn from shuffled decks, so each serves about equally often."""
+    """The registers of each band: dealt from shuffled decks, so each serves about equally often."""
     rng = np.random.Generator(np.random.PCG64(12))
-    decks = np.concatenate([rng.permutation(REGISTERS) for _ in range(-(-BANDS * ROWS // REGISTERS))])
-    return decks[: BANDS * ROWS].reshape(BANDS, ROWS)
+    each = REGISTERS // ROWS
+    decks = [rng.permutation(REGISTERS)[: each * ROWS].reshape(each, ROWS) for _ in range(-(-BANDS // each))]
+    return np.concatenate(decks)[:BANDS]
 
 
 def _bands(sig: np.ndarray) -> np.ndarray:
@@ -120,6 +125,15 @@ def _bands(sig: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+_SKETCH = "sketch struct<" + ",".join(f"s{k}:bigint" for k in range(REGISTERS // 64)) + ">"
+
+
+def alike(a: Column, b: Column) -> Column:
+    """False for pairs whose registers disagree far too often for the threshold."""
+    differ = [F.bit_count(a[f"s{k}"].bitwiseXOR(b[f"s{k}"])) for k in range(REGISTERS // 64)]
+    return reduce(Column.__add__, differ) <= MOST_BITS
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         exact = np.asarray(b.column(2)).view(np.uint64)
@@ -138,8 +152,12 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sig = signatures(*bags(*shingles(word, text, WORDS)), n)
             bands = pa.array(_bands(sig).ravel(), pa.int64())
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.where(size > 0, BANDS, 0))], pa.int32()), bands.filter(pa.array(np.repeat(size > 0, BANDS))))
-            cols = [*(c.slice(lo, n) for c in b.columns[:3]), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists]
-            yield pa.RecordBatch.from_arrays(cols, ["rid", "id", "exact", "d1", "d2", "bands"])
+            # One bit of each register. (The lowest is always 1.)
+            bits = np.packbits((sig >> np.uint64(1) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
+            words_of = [pa.array(np.ascontiguousarray(bits[:, k])) for k in range(bits.shape[1])]
+            sketch = pa.StructArray.from_arrays(words_of, [f"s{k}" for k in range(len(words_of))])
+            cols = [*(c.slice(lo, n) for c in b.columns[:3]), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists, sketch]
+            yield pa.RecordBatch.from_arrays(cols, ["rid", "id", "exact", "d1", "d2", "bands", "sketch"])
 
 
 def similarity(a: pa.Array, b: pa.Array) -> np.ndarray:
@@ -203,16 +221,18 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = _texts(docs, id_col, text_col)
     rows = texts.select(F.monotonically_increasing_id().alias("rid"), "id", "exact", "text")
     kind = docs.schema[id_col].dataType.simpleString()
-    signed = staged(rows.mapInArrow(_sign, f"rid bigint, id {kind}, exact bigint, d1 bigint, d2 bigint, bands array<bigint>"), "signed")
+    signed = staged(rows.mapInArrow(_sign, f"rid bigint, id {kind}, exact bigint, d1 bigint, d2 bigint, bands array<bigint>, {_SKETCH}"), "signed")
 
     # Equal word sequences become one node, the least row number.
     same = signed.groupBy("d1", "d2").agg(F.min("rid").alias("node"), F.count(F.lit(1)).alias("n")).where("n > 1")
     copies = signed.select("rid", "d1", "d2").join(same, ["d1", "d2"]).where("rid != node").select("rid", "node")
     copies = staged(copies, "copies")
 
-    nodes = signed.select("rid", "bands").join(copies.select("rid"), "rid", "left_anti")
-    banded = nodes.select(F.col("rid").alias("node"), F.explode("bands").alias("bucket"))
-    found = linked(banded, lambda met: verifier(met, signed, texts, threshold))
+    nodes = signed.select("rid", "bands", "sketch").join(copies.select("rid"), "rid", "left_anti")
+    banded = nodes.select(F.col("rid").alias("node"), F.explode("bands").alias("bucket"), "sketch")
+    # The sketch is made for THRESHOLD; a lower one takes every pair to its texts.
+    worth = alike if threshold >= THRESHOLD else None
+    found = linked(banded, lambda met: verifier(met, signed, texts, threshold), worth)
 
     every = signed.select("rid", "id", "exact").join(copies, "rid", "left").withColumn("node", F.coalesce("node", "rid"))
     every = staged(every.join(found, "node", "left").select("rid", "id", "exact", F.coalesce("comp", "node").alias("comp")), "placed")

@@ -35,8 +35,8 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 def classify(lines: DataFrame, max_line_bytes: int = DEFAULT_MAX_LINE_BYTES, keep: tuple[str, ...] = ("pos",)) -> DataFrame:
     """``status, raw, v`` beside ``keep``, from ``value`` (string or binary).
 
-    The text is wrapped in an object of two keys nobody can know, so that trailing text or a
-    second value is not taken for a record. The parsed value passes through a generator,
+    The text is parsed as the first element of an array whose second is a mark nobody can
+    know, so that trailing text or a second value is not taken for a record. The parsed value passes through a generator,
     which keeps later filters from being pushed below it and parsing again.
     """
     prepare(lines.sparkSession)
@@ -49,11 +49,11 @@ def classify(lines: DataFrame, max_line_bytes: int = DEFAULT_MAX_LINE_BYTES, kee
         size.alias("bytes"),
         F.when((F.octet_length(value) <= max(1, max_line_bytes)) & F.is_valid_utf8(value), F.regexp_replace(value, r"\r\z", "")).alias("raw"),
     )
-    wrapped = F.concat(F.lit(f'{{"r{mark}":'), F.col("raw"), F.lit(f',"z{mark}":1}}'))
-    whole = F.try_variant_get(F.try_parse_json(wrapped), "$", "map<string,variant>")
+    whole = F.try_parse_json(F.concat(F.lit("["), F.col("raw"), F.lit(f',"{mark}"]')))
     once = cut.select("*", F.inline(F.array(F.struct(whole.alias("parsed")))))
-    inner = F.col("parsed").getItem(f"r{mark}")
-    good = (F.size("parsed") == 2) & F.col("parsed").getItem(f"z{mark}").isNotNull() & F.schema_of_variant(inner).startswith("OBJECT<")
+    inner = F.try_variant_get("parsed", "$[0]", "variant")
+    # One element and then the mark, and the element starts like an object.
+    good = (F.try_variant_get("parsed", "$[1]", "string") == mark) & F.col("raw").rlike(r"^[ \t\r\n]*\{")
     status = (
         F.when(F.col("bytes") > max(1, max_line_bytes), TOO_LONG)
         .when(F.col("raw").isNull(), MALFORMED)

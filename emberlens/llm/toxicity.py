@@ -7,11 +7,12 @@ over all documents of a group, give the exact marginal of every token over its w
 document.
 
 Training uses a sample of the training rows bounded by ``MOST_TOXIC`` and ``MOST_CLEAN``
-documents: those with the smallest hash of the id, so it does not depend on the layout. Labels are per document, so tokens are labelled first: a feature is marked when its
-document frequencies in toxic and clean training documents differ beyond doubt (likelihood
-ratio over ``SURE`` and at least ``RATIO`` times as frequent); a token of a toxic document
-with a marked feature is toxic, every other token is clean. The field is then fitted by
-maximum conditional likelihood on those token labels.
+documents: those with the smallest hash of the id, so it does not depend on the layout.
+Labels are per document, so tokens are labelled first: a feature is marked when its document
+frequencies in toxic and clean training documents differ beyond doubt (likelihood ratio over
+``SURE`` and at least ``RATIO`` times as frequent); a token of a toxic document with a marked
+feature is toxic, every other token is clean. The field is then fitted by maximum conditional
+likelihood on those token labels.
 
 A document's score comes from its marginals: a logistic function of the expected number of
 toxic tokens, their share, and the largest marginal, fitted on the same rows with the

@@ -32,6 +32,20 @@ def components(edges: DataFrame) -> DataFrame:
         labels = staged(jumped, "labels")
 
 
+def merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """``found`` with further ``links``: only the components that these join are worked on."""
+    of = {c: found.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}")) for c in ("a", "b")}
+    joined = links.join(of["a"], "a", "left").join(of["b"], "b", "left")
+    joined = joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    joined = staged(joined.where("a != b").distinct(), "joined")
+    if joined.isEmpty():
+        return found
+    up = components(joined)
+    higher = up.select(F.col("node").alias("comp"), F.col("comp").alias("higher"))
+    old = found.join(higher, "comp", "left").select("node", F.coalesce("higher", "comp").alias("comp"))
+    return staged(old.union(up.join(found, "node", "left_anti").select("node", "comp")), "merged")
+
+
 #: Partners that a node outside its bucket's main component meets in a round: offsets up to
 #: these, then eight times as many each round, until the bucket is through.
 OFFSETS = (4, 32, 256, 2048, 16384)
@@ -63,8 +77,7 @@ def linked(
     sketches = None
     if worth is not None:
         sketches = staged(banded.select("node", "sketch").join(met.select("node"), "node", "left_semi").distinct(), "sketches")
-    links = staged(verify(tested).select("a", "b"), "links")
-    found = components(links)
+    found = components(staged(verify(tested).select("a", "b"), "links"))
 
     members, low = met.select("bucket", "node"), 1
     rounds = iter(OFFSETS)
@@ -103,7 +116,5 @@ def linked(
         tested, low = tested.union(pairs), high
         if not pairs.isEmpty():
             more = staged(verify(pairs).select("a", "b"), "links")
-            if not more.isEmpty():
-                links = links.union(more)
-                found = components(links)
+            found = merged(found, more)
         members = apart.select("bucket", "node")

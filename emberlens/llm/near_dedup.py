@@ -40,9 +40,9 @@ from emberlens.llm.common import documents, keep_rows, staged, text_or_empty
 from emberlens.llm.graph import linked
 from emberlens.llm.textvec import GROUP_BYTES, flat, groups, hashes, mix, shingles, words
 
-#: 57 bands, each of 13 out of 256 registers. See the README for how often pairs meet.
-#: Documents that share a passage but are no copies seldom meet, however many they are.
-REGISTERS, BANDS, ROWS = 256, 57, 13
+#: 64 bands, each of 9 out of 256 registers. See the README for how often pairs meet: what no
+#: band proposes is lost, so pairs at the threshold itself have to meet all but surely.
+REGISTERS, BANDS, ROWS = 256, 64, 9
 #: Registers that disagree in a pair of similarity 0.8 number 51, and half of them show in
 #: their lowest bits: 26 with a deviation of 4.8. A pair with more differing bits than this,
 #: three and a half deviations on, is not worth its texts; 1 in 5000 pairs at 0.8 is lost so.

@@ -100,6 +100,15 @@ def test_short_texts_fill_every_register():
         assert (signature(text, 126) != 0).all()
 
 
+@pytest.mark.parametrize("sim, least", [(0.8, 0.998), (0.82, 0.9995), (0.85, 0.9999)])
+def test_bands_meet_pairs_at_the_threshold(sim, least):
+    agree = np.random.Generator(np.random.PCG64(3)).random((40_000, near_dedup.REGISTERS)) < sim
+    met = np.zeros(len(agree), bool)
+    for band in near_dedup._chosen():
+        met |= agree[:, band].all(1)
+    assert met.mean() >= least
+
+
 def corpus():
     rnd = random.Random(4)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(4))

@@ -7,6 +7,14 @@ are weighted by term frequency times ``ln((1 + notices) / (1 + notices with the
 over all notices of the corpus, and a notice takes the template of largest cosine, if it is
 ``THRESHOLD`` or more. A file's licence is that of its best notice.
 
+Blocks are what notices cannot hold: the whole text, runs of comment lines, block comments
+and paragraphs of more than one line, with comment marks stripped and lines joined, and their
+joined sentences that are no notice already. They are scored in the same way, weighted over the
+blocks of the corpus, against full licence texts, standard headers and ``TEMPLATES``; a full text
+is met only by a block with its title. A block's licence, or one named by an SPDX identifier
+(cosine 1), goes before those of single notices of no greater cosine, full texts before all
+notices, and any of them before "All rights reserved."; with a full text the file is a licence file.
+
 A licence file is one named like LICENSE, COPYING or NOTICE, or one whose words are notices
 to ``COVERAGE`` or more. Files without a notice of their own inherit from the licence file in
 the nearest directory above them: their distinct directories are joined, by path, with the
@@ -19,6 +27,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,12 +60,59 @@ TERM = "[a-z0-9]+(?:[.+-][a-z0-9]+)*"
 FILE_NAME = r"(?i)^(licen[cs]e|copying|notice|unlicense)([-._].*)?$"
 
 
+#: Full texts in ``license_texts`` and the words that tell each from its variants.
+TITLES = {
+    "Apache-2.0": "apache license version 2.0, january 2004",
+    "BSD-2-Clause": "",
+    "BSD-3-Clause": "neither the name",
+    "CC-BY-SA-4.0": "attribution-sharealike 4.0 international",
+    "CC0-1.0": "cc0 1.0 universal",
+    "GPL-2.0": "gnu general public license version 2, june 1991",
+    "GPL-3.0": "gnu general public license version 3, 29 june 2007",
+    "ISC": "",
+    "LGPL-2.1": "gnu lesser general public license version 2.1, february 1999",
+    "LGPL-3.0": "gnu lesser general public license version 3, 29 june 2007",
+    "MIT": "",
+    "MPL-2.0": "mozilla public license version 2.0",
+}
+_GNU = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} as published by "
+    "the Free Software Foundation, either version {1} of the License, or (at your option) any later version. "
+    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied "
+    "warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} for more details. "
+    "You should have received a copy of the GNU {0} along with this program. If not, see <https://www.gnu.org/licenses/>."
+)
+HEADERS = (
+    ("AGPL-3.0", _GNU.format("Affero General Public License", "3")),
+    (
+        "Apache-2.0",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the '
+        "License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by "
+        'applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, '
+        "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language "
+        "governing permissions and limitations under the License.",
+    ),
+    ("GPL-2.0", _GNU.format("General Public License", "2")),
+    ("GPL-3.0", _GNU.format("General Public License", "3")),
+    ("LGPL-2.1", _GNU.format("Lesser General Public License", "2.1")),
+    ("LGPL-3.0", _GNU.format("Lesser General Public License", "3")),
+    (
+        "MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+        "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ),
+)
+MARK = r"(?m)^[ \t]*(?:/\*+|\*+/?|//+!?|#+!?|--+|;+|%+|<!--|dnl\b|rem\b)[ \t]?|[ \t]*(?:\*/|-->)[ \t]*$"
+COMMENT = r"^[ \t]*(?:/\*|\*|//|#|--|;|%|<!--|dnl\b|rem\b)"
+SPDX = r"(?i)spdx-license-identifier:([^\n]*)"
+
+
 def _terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
 def notices(files: DataFrame, path: Column, id_col: str, text_col: str) -> DataFrame:
-    """``rid, id, path, notices, words`` per row: the notices in lower case without outer blanks."""
+    """``rid, id, path, notices, blocks, named, words`` per row: the notices in lower case without outer blanks."""
     text = text_or_empty(text_col)
     parts = F.transform(F.split(text, BREAK), lambda x: F.trim(F.regexp_replace(F.lower(x), r"\s+", " ")))
     found = F.filter(parts, lambda x: x.rlike(SPEAKS))
@@ -66,33 +123,85 @@ def notices(files: DataFrame, path: Column, id_col: str, text_col: str) -> DataF
         F.col(id_col).alias("id"),
         F.coalesce(path, F.lit("")).alias("path"),
         F.when(has, found).otherwise(none).alias("notices"),
+        F.when(has, blocks(text, found)).otherwise(none).alias("blocks"),
+        F.when(has, identifiers(text)).otherwise(none).alias("named"),
         F.when(has, F.size(F.split(F.trim(text), r"\s+"))).otherwise(0).alias("words"),
     )
 
 
-def score_notices(rows: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """``notice, license, score`` for the distinct notices that meet a template."""
+def full_texts() -> list[tuple[str, str, str]]:
+    """``license, body, title`` of what blocks are scored against; the title is empty where none is needed."""
+    folder = Path(__file__).parent / "license_texts"
+    whole = [(name, (folder / f"{name}.txt").read_text(), title) for name, title in TITLES.items()]
+    return whole + [(name, body, "") for name, body in HEADERS + TEMPLATES]
+
+
+def _joined(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(text, MARK, " "), r"\s+", " "))
+
+
+def blocks(text: Column, found: Column) -> Column:
+    """The distinct blocks of a text, in lower case, that speak of licences and are not among its notices."""
+    text = F.regexp_replace(text, r"\r\n?", "\n")
+    runs = F.split(F.array_join(F.transform(F.split(text, "\n"), lambda x: F.when(F.lower(x).rlike(COMMENT), x).otherwise(F.lit("\x01"))), "\n"), "\x01+")
+    inner = F.transform(F.split(text, r'/\*|<!--|"""'), lambda x: F.element_at(F.split(x, r"\*/|-->"), 1))
+    parts = F.concat(F.array(text), runs, inner, F.split(text, r"\n[ \t]*\n"))
+    parts = F.filter(parts, lambda x: F.trim(x).contains("\n") & F.lower(x).rlike(SPEAKS))
+    whole = F.transform(parts, _joined)
+    each = F.flatten(F.transform(whole, lambda x: F.split(x, BREAK)))
+    made = F.transform(F.concat(whole, each), lambda x: F.lower(F.trim(x)))
+    return F.array_except(F.filter(made, lambda x: x.rlike(SPEAKS)), found)
+
+
+def identifiers(text: Column) -> Column:
+    """Names of known licences after SPDX-License-Identifier, without -only, -or-later and +."""
+    known = sorted({name for name, _, _ in full_texts()})
+    named = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(SPDX), F.lit(1)), lambda x: F.split(x, r"[\s()]+")))
+    named = F.transform(named, lambda x: F.lower(F.regexp_replace(x, r"(?i)(-only|-or-later|\+)$", "")))
+    return F.filter(F.array(*[F.lit(name) for name in known]), lambda name: F.array_contains(named, F.lower(name)))
+
+
+def score_notices(
+    rows: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD, titles: dict[str, str] | None = None
+) -> DataFrame:
+    """``notice, license, score`` for the distinct notices that meet a template and hold its title, if it has one."""
     spark = rows.sparkSession
     distinct = staged(rows.select(F.explode("notices").alias("notice")).groupBy("notice").agg(F.count(F.lit(1)).alias("n")), "notices")
+    # Terms go by number: a block may be as long as its file.
+    distinct = staged(distinct.withColumn("at", F.monotonically_increasing_id()), "numbered")
     total = distinct.agg(F.sum("n").alias("n")).first()["n"] or 0
-    terms = distinct.select("notice", "n", F.explode(_terms(F.col("notice"))).alias("term"))
-    terms = terms.groupBy("notice", "n", "term").agg(F.count(F.lit(1)).alias("tf"))
+    terms = distinct.select("at", "n", F.explode(_terms(F.col("notice"))).alias("term"))
+    terms = terms.groupBy("at", "n", "term").agg(F.count(F.lit(1)).alias("tf"))
     seen = terms.groupBy("term").agg(F.sum("n").alias("df"))
     weight = F.col("tf") * (F.log((F.lit(1.0) + total) / (1.0 + F.coalesce("df", F.lit(0)))) + 1.0)
-    weighed = terms.join(seen, "term").select("notice", "term", weight.alias("w"))
-    norms = weighed.groupBy("notice").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    weighed = terms.join(seen, "term").select("at", "term", weight.alias("w"))
+    norms = weighed.groupBy("at").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     # Templates are a parameter of fixed size.
     given = spark.createDataFrame(list(templates), "license string, body string")
     given = given.select("license", F.explode(_terms(F.col("body"))).alias("term")).groupBy("license", "term").agg(F.count(F.lit(1)).alias("tf"))
     given = given.join(seen, "term", "left").select("license", "term", weight.alias("v"))
     sizes = given.groupBy("license").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("size"))
-    dots = weighed.join(F.broadcast(given), "term").groupBy("notice", "license").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+    dots = weighed.join(F.broadcast(given), "term").groupBy("at", "license").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
     cosine = F.round(F.col("dot") / (F.col("norm") * F.col("size")), 6)
-    scored = dots.join(norms, "notice").join(F.broadcast(sizes), "license").select("notice", "license", cosine.alias("score"))
-    best = scored.where(F.col("score") >= threshold).groupBy("notice").agg(F.min(F.struct((-F.col("score")).alias("worse"), "license")).alias("b"))
+    scored = dots.join(norms, "at").join(F.broadcast(sizes), "license").select("at", "license", cosine.alias("score"))
+    scored = scored.where(F.col("score") >= threshold).join(distinct.select("at", "notice"), "at")
+    for license, title in (titles or {}).items():
+        if title:
+            scored = scored.where((F.col("license") != license) | F.regexp_replace("notice", r"\s+", " ").contains(title))
+    best = scored.groupBy("notice").agg(F.min(F.struct((-F.col("score")).alias("worse"), "license")).alias("b"))
     return best.select("notice", F.col("b.license").alias("license"), (-F.col("b.worse")).alias("score"))
 
 
+def score_blocks(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``notice, license, score, whole`` for the distinct blocks that meet a full text or a header."""
+    given = full_texts()
+    keyed = tuple((f"{at:03d}", body) for at, (_, body, _) in enumerate(given))
+    titled = {f"{at:03d}": title for at, (_, _, title) in enumerate(given)}
+    name = F.create_map(*[F.lit(x) for at, (license, _, _) in enumerate(given) for x in (f"{at:03d}", license)])
+    met = score_notices(rows.select(F.col("blocks").alias("notices")), keyed, threshold, titled)
+    return met.select("notice", name[F.col("license")].alias("license"), "score", (F.col("license") < f"{len(TITLES):03d}").alias("whole"))
+
+
 def _directory(path: Column) -> Column:
     return F.regexp_extract(path, "^(.*)/[^/]*$", 1)
 
@@ -139,9 +248,29 @@ def scan(
         )
         .select("rid", F.col("b.license").alias("own"), (-F.col("b.worse")).alias("own_score"), "licenses", "covered")
     )
+    held = rows.select("rid", F.explode("blocks").alias("notice")).join(score_blocks(rows, threshold), "notice").select("rid", "license", "score", "whole")
+    spdx = rows.select("rid", F.explode("named").alias("license"), F.lit(1.0).alias("score"), F.lit(False).alias("whole"))
+    held = held.union(spdx).groupBy("rid").agg(
+        # "All rights reserved." is in many licences.
+        F.min(F.struct((F.col("license") == "Proprietary").alias("plain"), (-F.col("score")).alias("worse"), "license")).alias("b"),
+        F.collect_set("license").alias("blocks"),  # at most the templates
+        F.max("whole").alias("whole"),
+    )
+    general = (F.col("own") == "Proprietary") & ~F.col("b.plain")
+    first = F.col("b").isNotNull() & (F.col("own").isNull() | F.col("whole") | general | (-F.col("b.worse") >= F.col("own_score")))
+    own = own.join(held, "rid", "full").select(
+        "rid",
+        F.when(first, F.col("b.license")).otherwise(F.col("own")).alias("own"),
+        F.when(first, -F.col("b.worse")).otherwise(F.col("own_score")).alias("own_score"),
+        F.when(F.col("blocks").isNull(), F.col("licenses")).otherwise(
+            F.array_join(F.array_sort(F.array_union("blocks", F.filter(F.split(F.coalesce("licenses", F.lit("")), ","), lambda x: x != ""))), ",")
+        ).alias("licenses"),
+        F.coalesce("covered", F.lit(0)).alias("covered"),
+        F.coalesce("whole", F.lit(False)).alias("whole"),
+    )
     named = F.regexp_extract("path", "[^/]*$", 0).rlike(FILE_NAME)
     whole = rows.select("rid", "id", "path", "words", _directory(F.col("path")).alias("dir")).join(own, "rid", "left")
-    is_file = F.col("own").isNotNull() & (named | (F.col("covered") >= COVERAGE * F.col("words")))
+    is_file = F.col("own").isNotNull() & (named | F.col("whole") | (F.col("covered") >= COVERAGE * F.col("words")))
     whole = staged(whole.withColumn("is_file", is_file), "scanned")
     granting = whole.where("is_file").groupBy("dir").agg(F.min(F.struct((-F.col("own_score")).alias("worse"), F.col("own").alias("license"))).alias("g"))
     granting = granting.select("dir", F.col("g.license").alias("license"), (-F.col("g.worse")).alias("score"))

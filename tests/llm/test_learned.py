@@ -1,4 +1,5 @@
 import random
+import textwrap
 
 import numpy as np
 import pytest
@@ -150,6 +151,27 @@ def test_licences(spark):
     assert licenses.scan(df.limit(0), F.col("path")).count() == 0
 
 
+def test_licence_files_and_wrapped_headers(spark):
+    from pathlib import Path
+
+    from pyspark.sql import functions as F
+
+    folder = Path(licenses.__file__).parent / "license_texts"
+    gpl = (folder / "GPL-3.0.txt").read_text()
+    agpl = gpl.replace("GNU GENERAL PUBLIC LICENSE", "GNU AFFERO GENERAL PUBLIC LICENSE").replace("29 June 2007", "19 November 2007")
+    wrapped = lambda name, mark: "\n".join(mark + line for line in textwrap.wrap(dict(licenses.HEADERS)[name], 60))
+    rows = [(name, (folder / f"{name}.txt").read_text()) for name in licenses.TITLES]
+    rows += [("GPL-2.0", "#!/bin/sh\n# Copyright (C) 2020 A. Body. All rights reserved.\n#\n" + wrapped("GPL-2.0", "# ") + "\n\necho one two three\n")]
+    rows += [("Apache-2.0", "package x;\n/*\n" + wrapped("Apache-2.0", "  ") + "\n*/\nclass Y {}\n")]
+    rows += [("AGPL-3.0", "/*\n" + wrapped("AGPL-3.0", " * ") + "\n */\nint x;"), ("MPL-2.0", wrapped("MPL-2.0", "// ") + "\nlet y = 1;")]
+    rows += [("ISC", "x = 1\n# Released under\n# the ISC License.\ny = 2"), ("MIT", "// SPDX-License-Identifier: MIT\nint x;")]
+    rows += [(None, agpl), (None, "The licence of the boat\nis a different thing altogether.")]
+    df = spark.createDataFrame([(i, f"src{i}/{i}", t) for i, (_, t) in enumerate(rows)], "doc_id long, path string, text string")
+    got = {r["id"]: r for r in licenses.scan(df, F.col("path")).collect()}
+    assert [got[i]["license"] for i in range(len(rows))] == [name for name, _ in rows]
+    assert {got[i]["basis"] for i in range(len(licenses.TITLES))} == {"file"} and got[12]["basis"] == "header"
+
+
 def test_pipeline(spark, sf):
     """Each stage against a plain version of what it has to keep."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")

@@ -17,8 +17,8 @@ empty register is drawn again with twice the limit.
 Plan: one pass over the texts writes bands and a hash of the word sequence. Equal sequences
 collapse to one node first (counted before the shuffle). ``graph.linked`` pairs the nodes of
 each band bucket and has the pairs verified on whole texts; a bucket of thousands of near
-copies costs pairs in proportion to its size, and no link between different texts that the
-bands propose is lost. Texts move only for nodes in some pair.
+copies costs pairs in proportion to its size. Of the links between different texts that the
+bands propose, those whose sketches differ in more than ``MOST_BITS`` are lost. Texts move only for nodes in some pair.
 
 Defined results: null text is empty; texts of fewer than five words are one shingle; texts
 without words are classed by their exact text; ids that are null are smallest; repeated rows
@@ -44,9 +44,9 @@ from emberlens.llm.textvec import GROUP_BYTES, flat, groups, hashes, mix, shingl
 #: band proposes is lost, so pairs at the threshold itself have to meet all but surely.
 REGISTERS, BANDS, ROWS = 256, 64, 9
 #: Registers that disagree in a pair of similarity 0.8 number 51, and half of them show in
-#: their lowest bits: 26 with a deviation of 4.8. A pair with more differing bits than this,
-#: three and a half deviations on, is not worth its texts; 1 in 5000 pairs at 0.8 is lost so.
-MOST_BITS = 42
+#: their lowest bits: 26 with a deviation of 4.8. A pair with more differing bits than this is
+#: not worth its texts; of pairs at 0.8, 7 in 10^9 are lost so (binomial tail).
+MOST_BITS = 56
 THRESHOLD, WORDS = 0.8, 5
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -109,6 +110,11 @@ def test_bands_meet_pairs_at_the_threshold(sim, least):
     assert met.mean() >= least
 
 
+def test_sketches_refuse_no_pair_at_the_threshold():
+    n, p = near_dedup.REGISTERS, (1 - near_dedup.THRESHOLD) / 2
+    assert sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(near_dedup.MOST_BITS + 1, n + 1)) < 1e-8
+
+
 def corpus():
     rnd = random.Random(4)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(4))

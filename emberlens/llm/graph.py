@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlens.llm.common import staged
@@ -49,72 +49,100 @@ def merged(found: DataFrame, links: DataFrame) -> DataFrame:
 #: Partners that a node outside its bucket's main component meets in a round: offsets up to
 #: these, then eight times as many each round, until the bucket is through.
 OFFSETS = (4, 32, 256, 2048, 16384)
+#: Torn buckets of more nodes than this are left to ``within``, where one is given.
+SMALL = 32
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _placed(members: DataFrame, found: DataFrame) -> DataFrame:
+    return members.join(found, "node", "left").select(*members.columns, F.coalesce("comp", "node").alias("comp"))
+
+
+def main_parts(placed: DataFrame, key: str) -> DataFrame:
+    """``key, main``: the component with most nodes of each group of ``placed``."""
+    counts = placed.groupBy(key, "comp").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy(key).agg(F.max(F.struct("n", "comp")).alias("m")).select(key, F.col("m.comp").alias("main"))
 
 
 def linked(
     banded: DataFrame,
     prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]],
-    worth: Callable[[Column, Column], Column] | None = None,
+    within: Callable[[DataFrame], list[Callable[[DataFrame], DataFrame]]] | None = None,
 ) -> DataFrame:
     """Components of the nodes that share a bucket and pass verification.
 
     ``banded`` has ``node, bucket``. ``prepare`` gets the nodes that share some bucket and
-    returns a function that takes pairs ``a, b`` and returns those that are linked. With
-    ``worth``, ``banded`` has a ``sketch`` too, and pairs whose sketches it refuses are not
-    verified. The result is that of ``components``, for nodes with some link.
-
-    In each bucket the nodes are paired with the bucket's least node first. In a bucket that
-    is not in one component then, each node outside the bucket's largest component meets
-    further nodes of the bucket, at growing distances in an order by hash, and components
-    are taken anew after each round. A node stops when it has joined the main component or
-    has met every node of the bucket. So each link that the buckets propose is either
-    verified or already implied, while a large group of copies is not compared pair by pair.
+    returns a function that takes pairs ``a < b`` and returns those that are linked. The
+    result is that of ``components``, for nodes with some link; an empty table gives an empty
+    one.
+
+    In each bucket the nodes are paired with the bucket's hub first: the node that shares most
+    with others, by the sizes of all its buckets (of equals the least). What copies were made
+    from agrees with more of them than they do with each other, so most of a large group
+    joins here. Where a bucket is not in one component then, every link between two of its
+    components is still found:
+
+    * a bucket of more than ``SMALL`` nodes is left to ``within``. It gets the groups ``hub,
+      node`` of such buckets and returns functions, called one after the other on ``hub, node,
+      comp`` with components as they are then; together they have to propose every pair of a
+      group that may be linked and lies in two components;
+    * in other buckets (without ``within`` in all) each node outside the largest component
+      meets further nodes of the bucket, at growing distances in an order by hash, until it
+      has joined that component or has met every node.
     """
-    shared = banded.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    met = staged(banded.select("node", "bucket").join(shared, "bucket"), "buckets")
+    counted = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = staged(banded.select("node", "bucket").join(counted, "bucket"), "met")
+    central = met.groupBy("node").agg(F.sum("n").alias("central"))
+    most = F.max(F.struct("central", (-F.col("node")).alias("back"))).alias("most")
+    hubs = met.join(central, "node").groupBy("bucket").agg(most).select("bucket", (-F.col("most.back")).alias("hub"))
+    met = staged(met.join(hubs, "bucket"), "buckets")
     verify = prepare(met.select("node").distinct())
-    tested = staged(met.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    sketches = None
-    if worth is not None:
-        sketches = staged(banded.select("node", "sketch").join(met.select("node"), "node", "left_semi").distinct(), "sketches")
-    found = components(staged(verify(tested).select("a", "b"), "links"))
-
-    members, low = met.select("bucket", "node"), 1
+    stars = met.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    tested = staged(_ordered(stars).distinct(), "stars")
+    found = components(staged(verify(tested), "links"))
+    members = met.select("bucket", "node")
+
+    if within is not None:
+        large = _placed(met.where(F.col("n") > SMALL).select("bucket", "hub", "node"), found)
+        torn = large.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("bucket")
+        groups = staged(large.join(torn, "bucket").select("hub", "node").distinct(), "groups")
+        for propose in [] if groups.isEmpty() else within(groups):
+            pairs = staged(_ordered(propose(_placed(groups, found))).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+            tested = tested.union(pairs)
+            if not pairs.isEmpty():
+                found = merged(found, staged(verify(pairs), "links"))
+        members = met.where(F.col("n") <= SMALL).select("bucket", "node")
+
+    low = 1
     rounds = iter(OFFSETS)
     while True:
-        placed = members.join(found, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
+        placed = _placed(members, found)
         torn = placed.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("size"))
         torn = torn.where((F.col("x") != F.col("y")) & (F.col("size") >= 2 * low)).select("bucket", "size")
         apart = staged(placed.join(torn, "bucket"), "apart")
         if apart.isEmpty():
             return found
         high = next(rounds, None) or low * 8
-        counts = apart.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
-        main = counts.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("m")).select("bucket", F.col("m.comp").alias("main"))
         order = Window.partitionBy("bucket").orderBy(F.xxhash64("node"), "node")
         ranked = staged(apart.withColumn("at", F.row_number().over(order) - 1), "ranked")
         # Of two nodes that are apart, one at least is outside the main component. If half the
         # bucket is outside, every node looks one way round; else those outside look both ways.
-        sized = main.join(counts, "bucket").groupBy("bucket", "main").agg((F.sum(F.when(F.col("comp") != F.col("main"), F.col("n"))) * 2 >= F.sum("n")).alias("all"))
+        sized = ranked.join(main_parts(apart, "bucket"), "bucket")
+        sized = sized.groupBy("bucket", "main").agg((F.count_if(F.col("comp") != F.col("main")) * 2 >= F.count(F.lit(1))).alias("all"))
         outside = ranked.join(sized, "bucket").where("all or comp != main")
-        if sketches is not None:
-            outside, ranked = outside.join(sketches, "node"), ranked.join(sketches, "node")
         last = F.least(F.lit(high - 1), F.floor(F.col("size") / 2)).cast("int")
         steps = F.when(last >= low, F.sequence(F.lit(low), last))
         steps = F.when(F.col("all"), steps).otherwise(F.concat(steps, F.transform(steps, lambda s: -s)))
-        drawn = [] if sketches is None else ["sketch"]
-        seek = outside.select("bucket", "node", "comp", *drawn, F.explode(steps).alias("step"), "at", "size")
-        seek = seek.select("bucket", "node", "comp", *drawn, F.pmod(F.col("at") + F.col("step"), "size").cast("int").alias("at"))
-        there = [F.col(c).alias(f"{c}2") for c in ("node", "comp", *drawn)]
-        other = ranked.select(F.col("bucket").alias("bucket2"), F.col("at").alias("at2"), *there)
+        seek = outside.select("bucket", "node", "comp", F.explode(steps).alias("step"), "at", "size")
+        seek = seek.select("bucket", "node", "comp", F.pmod(F.col("at") + F.col("step"), "size").cast("int").alias("at"))
+        other = ranked.select(*[F.col(c).alias(f"{c}2") for c in ("bucket", "at", "node", "comp")])
         meet = (F.col("bucket") == F.col("bucket2")) & (F.col("at") == F.col("at2")) & (F.col("comp") != F.col("comp2"))
-        if drawn:
-            meet &= worth(F.col("sketch"), F.col("sketch2"))
-        pairs = seek.join(other, meet)
-        pairs = pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
-        pairs = staged(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        pairs = seek.join(other, meet).select(F.col("node").alias("a"), F.col("node2").alias("b"))
+        pairs = staged(_ordered(pairs).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         tested, low = tested.union(pairs), high
         if not pairs.isEmpty():
-            more = staged(verify(pairs).select("a", "b"), "links")
-            found = merged(found, more)
+            found = merged(found, staged(verify(pairs), "links"))
         members = apart.select("bucket", "node")

@@ -16,9 +16,11 @@ empty register is drawn again with twice the limit.
 
 Plan: one pass over the texts writes bands and a hash of the word sequence. Equal sequences
 collapse to one node first (counted before the shuffle). ``graph.linked`` pairs the nodes of
-each band bucket and has the pairs verified on whole texts; a bucket of thousands of near
-copies costs pairs in proportion to its size. Of the links between different texts that the
-bands propose, those whose sketches differ in more than ``MOST_BITS`` are lost. Texts move only for nodes in some pair.
+each band bucket with its hub and has the pairs verified on whole texts, which move only for
+nodes in some pair. What is still apart in a large bucket is searched by exact bounds
+(``bounded``): no pair that they leave out can reach the threshold, so no link between
+different texts that the bands propose is lost, and a group of thousands of near copies
+costs pairs in proportion to its size unless its texts consist of the same common shingles.
 
 Defined results: null text is empty; texts of fewer than five words are one shingle; texts
 without words are classed by their exact text; ids that are null are smallest; repeated rows
@@ -28,25 +30,23 @@ are ignored. The kept row of a class is the one of least id.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberlens.llm.common import documents, keep_rows, staged, text_or_empty
-from emberlens.llm.graph import linked
+from emberlens.llm.graph import SMALL, linked, main_parts
 from emberlens.llm.textvec import GROUP_BYTES, flat, groups, hashes, mix, shingles, words
 
 #: 64 bands, each of 9 out of 256 registers. See the README for how often pairs meet: what no
 #: band proposes is lost, so pairs at the threshold itself have to meet all but surely.
 REGISTERS, BANDS, ROWS = 256, 64, 9
-#: Registers that disagree in a pair of similarity 0.8 number 51, and half of them show in
-#: their lowest bits: 26 with a deviation of 4.8. A pair with more differing bits than this is
-#: not worth its texts; of pairs at 0.8, 7 in 10^9 are lost so (binomial tail).
-MOST_BITS = 56
+#: Pairs verified against one text by one task; a text with more partners is replicated.
+PARTNERS = 1024
 THRESHOLD, WORDS = 0.8, 5
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -125,15 +125,6 @@ def _bands(sig: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-_SKETCH = "sketch struct<" + ",".join(f"s{k}:bigint" for k in range(REGISTERS // 64)) + ">"
-
-
-def alike(a: Column, b: Column) -> Column:
-    """False for pairs whose registers disagree far too often for the threshold."""
-    differ = [F.bit_count(a[f"s{k}"].bitwiseXOR(b[f"s{k}"])) for k in range(REGISTERS // 64)]
-    return reduce(Column.__add__, differ) <= MOST_BITS
-
-
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         exact = np.asarray(b.column(2)).view(np.uint64)
@@ -152,12 +143,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sig = signatures(*bags(*shingles(word, text, WORDS)), n)
             bands = pa.array(_bands(sig).ravel(), pa.int64())
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.where(size > 0, BANDS, 0))], pa.int32()), bands.filter(pa.array(np.repeat(size > 0, BANDS))))
-            # One bit of each register. (The lowest is always 1.)
-            bits = np.packbits((sig >> np.uint64(1) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
-            words_of = [pa.array(np.ascontiguousarray(bits[:, k])) for k in range(bits.shape[1])]
-            sketch = pa.StructArray.from_arrays(words_of, [f"s{k}" for k in range(len(words_of))])
-            cols = [*(c.slice(lo, n) for c in b.columns[:3]), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists, sketch]
-            yield pa.RecordBatch.from_arrays(cols, ["rid", "id", "exact", "d1", "d2", "bands", "sketch"])
+            cols = [*(c.slice(lo, n) for c in b.columns[:3]), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists]
+            yield pa.RecordBatch.from_arrays(cols, ["rid", "id", "exact", "d1", "d2", "bands"])
 
 
 def similarity(a: pa.Array, b: pa.Array) -> np.ndarray:
@@ -198,41 +185,143 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("exact"), text.alias("text"))
 
 
-def verifier(nodes: DataFrame, signed: DataFrame, texts: DataFrame, threshold: float) -> Callable[[DataFrame], DataFrame]:
-    """A function from pairs of ``nodes`` to those that are similar, on their whole texts.
+def _bag_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for lo, hi, data, at in groups(b.column(1)):
+            start, end, text = words(data, at)
+            sh, of, n = bags(*shingles(hashes(data, start, end)[0], text, WORDS))
+            size = np.bincount(of, weights=n, minlength=hi - lo).astype(np.int64)
+            cols = [b.column(0).slice(lo, hi - lo).take(pa.array(of)), *(pa.array(x.view(np.int64)) for x in (sh, n, size[of]))]
+            yield pa.RecordBatch.from_arrays(cols, ["node", "shingle", "n", "size"])
 
-    The texts of these nodes move once, by a shuffle at every size of the input: whether few
-    or many nodes are needed depends on the copies in the data, not on the plan.
+
+def own_texts(nodes: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame:
+    """``rid, text`` of these nodes, one row each.
+
+    The texts move once, by a shuffle at every size of the input: whether few or many nodes
+    are needed depends on the copies in the data, not on the plan.
     """
     need = signed.select("rid", "id", "exact").join(nodes.withColumnRenamed("node", "rid"), "rid", "left_semi").hint("merge")
     same = (texts["exact"] == need["exact"]) & texts["id"].eqNullSafe(need["id"])
     own = staged(texts.join(need, same).select("rid", "text"), "texts")
+    # Repeated rows (equal id and text) gave as many copies of their node's text.
+    if own.groupBy("rid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return own
+    return staged(own.groupBy("rid").agg(F.first("text").alias("text")), "texts")
+
+
+def verifier(own: DataFrame, threshold: float) -> Callable[[DataFrame], DataFrame]:
+    """A function from pairs to those that are similar, on their whole texts.
+
+    A text with more than ``PARTNERS`` pairs is replicated, so its pairs spread over tasks.
+    """
 
     def verify(pairs: DataFrame) -> DataFrame:
-        p = pairs.join(own.select(F.col("rid").alias("b"), F.col("text").alias("text_b")), "b")
-        p = p.join(own.select(F.col("rid").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-        return p.mapInArrow(_verify, "a bigint, b bigint, sim double").where(F.col("sim") >= threshold).select("a", "b").distinct()
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("rid"))
+        parts = ends.groupBy("rid").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("parts")).where("parts > 1")
+        p = pairs
+        for end in ("a", "b"):
+            p = p.join(parts.select(F.col("rid").alias(end), F.col("parts").alias(f"parts_{end}")), end, "left")
+        x, y = (F.coalesce(f"parts_{end}", F.lit(1)) for end in ("a", "b"))
+        # ``a`` becomes the text with more partners.
+        p = p.select(F.when(x < y, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(x < y, F.col("a")).otherwise(F.col("b")).alias("b"), F.greatest(x, y).alias("parts"))
+        p = p.select("a", "b", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"))
+        p = p.join(own.select(F.col("rid").alias("b"), F.col("text").alias("text_b")), "b")
+        hubs = own.join(parts, "rid", "left")
+        copies = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part")
+        hubs = hubs.select(F.col("rid").alias("a"), copies, F.col("text").alias("text_a"))
+        p = p.join(hubs, ["a", "part"]).select("a", "b", "text_a", "text_b")
+        return p.mapInArrow(_verify, "a bigint, b bigint, sim double").where(F.col("sim") >= threshold).select("a", "b")
 
     return verify
 
 
+#: Sizes of one bin differ by less than this; a node's possible partners lie in some 45 bins.
+BIN = math.log(1.01)
+#: Of the pairs that share common shingles only, this part first, all others afterwards: what
+#: is in the main component by then needs no others.
+FIRST = 32
+_SLACK = 1e-6
+
+
+def bounded(own: DataFrame, threshold: float) -> Callable[[DataFrame], list[Callable[[DataFrame], DataFrame]]]:
+    """All pairs of a group that may reach the threshold t, by bounds that lose none.
+
+    Shingles are ordered by the number of nodes that have them, rarest first. Texts of sizes p
+    and q (sums of counts) of similarity t or more overlap in t/(1+t) (p+q) at least. Of the
+    shingles before their first common one none is common, so what is left from there on must
+    suffice for that in both texts; it lies within the first 1-t of either.
+
+    * If the first common shingle is in at most ``SMALL`` nodes, a join on these shingles
+      finds the pair; each has so few partners.
+    * Else the pair has only common shingles (of more nodes) in common, and their sum must
+      suffice in both texts. Texts with many shingles of their own drop out by themselves;
+      others seek, within their group, sizes that still can suffice, bin by bin.
+    """
+    rise = (1 + threshold) / threshold
+
+    def within(groups: DataFrame) -> list[Callable[[DataFrame], DataFrame]]:
+        texts = own.join(groups.select(F.col("node").alias("rid")).distinct(), "rid").select("rid", "text")
+        bagged = staged(texts.mapInArrow(_bag_rows, "node bigint, shingle bigint, n bigint, size bigint"), "bags")
+        spread = bagged.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
+        bagged = staged(bagged.join(spread, "shingle"), "spread")
+        earlier = Window.partitionBy("node").orderBy("df", "shingle").rowsBetween(Window.unboundedPreceding, -1)
+        rare = bagged.withColumn("left", F.col("size") - F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+        rare = rare.where(F.col("df").between(2, SMALL) & (F.col("left") >= threshold * F.col("size") - _SLACK))
+        rare = staged(rare.select("shingle", "node", "size", "left"), "rare")
+        common = F.coalesce(F.sum(F.when(F.col("df") > SMALL, F.col("n"))), F.lit(0)).alias("left")
+        common = bagged.groupBy("node", "size").agg(common)
+        common = staged(common.where(F.col("left") >= threshold * F.col("size") - _SLACK), "common")
+
+        def suffices() -> Column:
+            return F.least("left", "left2") * rise >= F.col("size") + F.col("size2") - _SLACK
+
+        def other(df: DataFrame) -> DataFrame:
+            return df.toDF(*[f"{c}2" for c in df.columns])
+
+        def by_rare(placed: DataFrame) -> DataFrame:
+            mine = rare.join(placed.select("node", "comp").distinct(), "node")
+            meet = (F.col("shingle") == F.col("shingle2")) & (F.col("node") < F.col("node2")) & (F.col("comp") != F.col("comp2"))
+            return mine.join(other(mine), meet & suffices()).select(F.col("node").alias("a"), F.col("node2").alias("b"))
+
+        def by_common(placed: DataFrame, every: int) -> DataFrame:
+            mine = placed.join(common, "node")
+            low = F.floor(F.log(F.col("size") * threshold - _SLACK) / BIN)
+            high = F.floor(F.log(F.least(F.col("size") / threshold, F.col("left") * rise - F.col("size")) + _SLACK) / BIN)
+            seek = mine.join(main_parts(placed, "hub"), "hub").where("comp != main")
+            seek = seek.select("hub", "node", "comp", "size", "left", F.explode(F.sequence(low, F.greatest(low, high))).alias("bin"))
+            there = other(mine.withColumn("bin", F.floor(F.log("size") / BIN)))
+            meet = (F.col("hub") == F.col("hub2")) & (F.col("bin") == F.col("bin2")) & (F.col("comp") != F.col("comp2")) & suffices()
+            if every > 1:
+                meet &= F.pmod(F.xxhash64(F.least("node", "node2"), F.greatest("node", "node2")), F.lit(every)) == 0
+            return seek.join(there, meet).select(F.col("node").alias("a"), F.col("node2").alias("b"))
+
+        return [by_rare, lambda placed: by_common(placed, FIRST), lambda placed: by_common(placed, 1)]
+
+    return within
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per input row: ``id, exact, class_id, class_size, kept``."""
     texts = _texts(docs, id_col, text_col)
     rows = texts.select(F.monotonically_increasing_id().alias("rid"), "id", "exact", "text")
     kind = docs.schema[id_col].dataType.simpleString()
-    signed = staged(rows.mapInArrow(_sign, f"rid bigint, id {kind}, exact bigint, d1 bigint, d2 bigint, bands array<bigint>, {_SKETCH}"), "signed")
+    signed = staged(rows.mapInArrow(_sign, f"rid bigint, id {kind}, exact bigint, d1 bigint, d2 bigint, bands array<bigint>"), "signed")
 
     # Equal word sequences become one node, the least row number.
     same = signed.groupBy("d1", "d2").agg(F.min("rid").alias("node"), F.count(F.lit(1)).alias("n")).where("n > 1")
     copies = signed.select("rid", "d1", "d2").join(same, ["d1", "d2"]).where("rid != node").select("rid", "node")
     copies = staged(copies, "copies")
 
-    nodes = signed.select("rid", "bands", "sketch").join(copies.select("rid"), "rid", "left_anti")
-    banded = nodes.select(F.col("rid").alias("node"), F.explode("bands").alias("bucket"), "sketch")
-    # The sketch is made for THRESHOLD; a lower one takes every pair to its texts.
-    worth = alike if threshold >= THRESHOLD else None
-    found = linked(banded, lambda met: verifier(met, signed, texts, threshold), worth)
+    nodes = signed.select("rid", "bands").join(copies.select("rid"), "rid", "left_anti")
+    banded = nodes.select(F.col("rid").alias("node"), F.explode("bands").alias("bucket"))
+    own: list[DataFrame] = []
+
+    def prepare(met: DataFrame) -> Callable[[DataFrame], DataFrame]:
+        own.append(own_texts(met, signed, texts))
+        return verifier(own[0], threshold)
+
+    found = linked(banded, prepare, lambda groups: bounded(own[0], threshold)(groups))
 
     every = signed.select("rid", "id", "exact").join(copies, "rid", "left").withColumn("node", F.coalesce("node", "rid"))
     every = staged(every.join(found, "node", "left").select("rid", "id", "exact", F.coalesce("comp", "node").alias("comp")), "placed")

@@ -1,4 +1,3 @@
-import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -110,11 +109,6 @@ def test_bands_meet_pairs_at_the_threshold(sim, least):
     assert met.mean() >= least
 
 
-def test_sketches_refuse_no_pair_at_the_threshold():
-    n, p = near_dedup.REGISTERS, (1 - near_dedup.THRESHOLD) / 2
-    assert sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(near_dedup.MOST_BITS + 1, n + 1)) < 1e-8
-
-
 def corpus():
     rnd = random.Random(4)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(4))
@@ -154,6 +148,86 @@ def test_near_classes_against_all_pairs(spark):
     assert kept.columns == df.columns and kept.count() == len(want)
 
 
+def same_classes(got, rows, links):
+    want = defaultdict(list)
+    for k, c in enumerate(classes(len(rows), links)):
+        want[c].append(rows[k][0])
+    assert Counter((r["class_id"], r["class_size"]) for r in got) == Counter((min(v), len(v)) for v in want.values() for _ in v)
+
+
+def large_groups():
+    """Copies with few and many changes, copies of copies, and texts of one boilerplate with common fillings."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(4))
+    base, fill = [word() for _ in range(120)], [[word() for _ in range(6)] for _ in range(5)]
+    texts = [base]
+    for k in range(150):
+        copy = (base if k % 3 else rnd.choice(texts))[:]
+        for _ in range(rnd.choice((1, 2, 3, 5, 8))):
+            at = rnd.randrange(len(copy))
+            copy[at : at + rnd.choice((0, 1, 1, 1))] = [word()]
+        texts.append(copy)
+    for _ in range(70):
+        texts.append(base[:60] + [w for f in fill for w in (f if rnd.random() < 0.7 else [word()])])
+    rnd.shuffle(texts)
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+def test_large_torn_groups_against_all_pairs(spark, monkeypatch):
+    rows = large_groups()
+    each = [bag(t) for _, t in rows]
+    sims = {(x, y): jaccard(each[x], each[y]) for x in range(len(rows)) for y in range(x)}
+    assert sum(s >= 0.8 for s in sims.values()) > 500 and sum(0.6 <= s < 0.8 for s in sims.values()) > 2000
+    compared, plain = [], near_dedup.verifier
+
+    def counted(own, threshold):
+        verify = plain(own, threshold)
+        return lambda pairs: compared.append(pairs.count()) or verify(pairs)
+
+    monkeypatch.setattr(near_dedup, "verifier", counted)
+    same_classes(near_dedup.near_classes(docs(spark, rows)).collect(), rows, [p for p, s in sims.items() if s >= 0.8])
+    assert sum(compared) < len(sims) / 6
+
+
+def test_bounds_leave_out_no_link(spark):
+    """Every pair of a group at the threshold or over is proposed, whatever is linked so far."""
+    rows = large_groups()
+    each = [bag(t) for _, t in rows]
+    want = {(x, y) for y in range(len(rows)) for x in range(y) if jaccard(each[x], each[y]) >= 0.8}
+    own = spark.createDataFrame(rows, "rid long, text string")
+    groups = spark.createDataFrame([(0, i) for i, _ in rows], "hub long, node long")
+    placed = groups.selectExpr("hub", "node", "node AS comp")
+    got = set()
+    for propose in near_dedup.bounded(own, 0.8)(groups):
+        got |= {(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in propose(placed).collect()}
+    main = min(i for i, _ in rows)  # every node alone: the group's main component is one node, which others seek
+    assert want <= got and main == 0
+    assert len(got) < len(rows) ** 2 / 2
+
+
+def test_repeated_rows_are_compared_once(spark, monkeypatch):
+    a = " ".join(f"w{k}" for k in range(100))
+    rows = [(1, a)] * 40 + [(2, a + " more words")] * 40
+    seen, plain = [], near_dedup.verifier
+
+    def counted(own, threshold):
+        seen.append(own.count())
+        return plain(own, threshold)
+
+    monkeypatch.setattr(near_dedup, "verifier", counted)
+    got = near_dedup.near_classes(docs(spark, rows)).collect()
+    assert len(got) == 80 and {(r["class_id"], r["class_size"]) for r in got} == {(1, 80)} and sum(r["kept"] for r in got) == 1
+    assert seen == [2]
+
+
+def test_a_text_with_many_partners_is_replicated(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "PARTNERS", 3)
+    own = spark.createDataFrame([(i, f"a b c d e f g h i j k l m n o p {i}") for i in range(12)], "rid long, text string")
+    pairs = [(min(5, i), max(5, i)) for i in range(12) if i != 5] + [(0, 1)]
+    got = near_dedup.verifier(own, 0.5)(spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert sorted((min(r), max(r)) for r in got) == sorted(pairs)
+
+
 def test_empty(spark):
     none = docs(spark, [])
     assert near_dedup.near_classes(none).count() == 0 and near_dedup.drop_near_copies(none).count() == 0

@@ -263,15 +263,20 @@ def bounded(own: DataFrame, threshold: float) -> Callable[[DataFrame], list[Call
     def within(groups: DataFrame) -> list[Callable[[DataFrame], DataFrame]]:
         texts = own.join(groups.select(F.col("node").alias("rid")).distinct(), "rid").select("rid", "text")
         bagged = staged(texts.mapInArrow(_bag_rows, "node bigint, shingle bigint, n bigint, size bigint"), "bags")
-        spread = bagged.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
-        bagged = staged(bagged.join(spread, "shingle"), "spread")
+        # Shingles of one node need no join, and those of many nodes are only summed.
+        spread = bagged.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), F.min(F.struct("node", "n")).alias("one"))
+        spread = staged(spread.where(F.col("df") <= SMALL), "spread")
+        alone = spread.where("df = 1").groupBy(F.col("one.node").alias("node")).agg(F.sum("one.n").alias("alone"))
+        rare = staged(bagged.join(spread.where("df > 1").select("shingle", "df"), "shingle"), "rare")
+        few = rare.groupBy("node").agg(F.sum("n").alias("few"))
+        nodes = bagged.select("node", "size").distinct().join(alone, "node", "left").join(few, "node", "left")
+        shared = (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared")
+        nodes = staged(nodes.select("node", "size", shared, F.coalesce("few", F.lit(0)).alias("few")), "weights")
+        enough = F.col("left") >= threshold * F.col("size") - _SLACK
         earlier = Window.partitionBy("node").orderBy("df", "shingle").rowsBetween(Window.unboundedPreceding, -1)
-        rare = bagged.withColumn("left", F.col("size") - F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-        rare = rare.where(F.col("df").between(2, SMALL) & (F.col("left") >= threshold * F.col("size") - _SLACK))
-        rare = staged(rare.select("shingle", "node", "size", "left"), "rare")
-        common = F.coalesce(F.sum(F.when(F.col("df") > SMALL, F.col("n"))), F.lit(0)).alias("left")
-        common = bagged.groupBy("node", "size").agg(common)
-        common = staged(common.where(F.col("left") >= threshold * F.col("size") - _SLACK), "common")
+        rare = rare.select("shingle", "node", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("earlier")).join(nodes, "node")
+        rare = staged(rare.select("shingle", "node", "size", (F.col("shared") - F.col("earlier")).alias("left")).where(enough), "rare")
+        common = nodes.select("node", "size", (F.col("shared") - F.col("few")).alias("left")).where(enough)
 
         def suffices() -> Column:
             return F.least("left", "left2") * rise >= F.col("size") + F.col("size2") - _SLACK

@@ -13,18 +13,23 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 _OWN_DIR: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see; a private one only where the session names none (tests)."""
+    """The folder all executors see; a private one only where the session names none and the
+    executors are in this process (tests). On a cluster without the setting: ``RuntimeError``."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _OWN_DIR:
         _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="emberlens-"))
     return _OWN_DIR[0]
@@ -55,15 +60,46 @@ def crc_mod(column: str, n: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
-def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str, key: Column) -> DataFrame:
-    """The rows of ``docs`` whose id and ``key`` are in ``kept`` (columns ``id, key``), each pair once.
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
-    Spark broadcasts ``kept`` only if its measured size is under its threshold.
+
+def beside(docs: DataFrame, text: Column, run: Callable, kind: str, name: str) -> DataFrame:
+    """All columns of ``docs`` and one more, called ``name``, that ``run`` puts in place of ``text``.
+
+    ``run`` maps Arrow batches; columns go through it under numbers, so theirs may have any name.
     """
-    from pyspark.sql import Window
+    numbered = docs.toDF(*[f"k{i}" for i in range(len(docs.columns))])
+    given = docs.select(text.alias("text"), *[F.col(quoted(c)).alias(f"k{i}") for i, c in enumerate(docs.columns)])
+    given = given.select(*numbered.columns, "text")
+    schema = StructType([*numbered.schema.fields, StructField(name, DataType.fromDDL(kind))])
+    return given.mapInArrow(run, schema).toDF(*docs.columns, name)
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
-    names = kept.select(F.col("id").alias("__kept_id"), F.col("key").alias("__kept_key"))
-    marked = docs.withColumn("__key", key)
-    out = marked.join(names, marked[id_col].eqNullSafe(names["__kept_id"]) & (marked["__key"] == names["__kept_key"]), "left_semi")
-    nth = F.row_number().over(Window.partitionBy(id_col, "__key").orderBy(F.lit(1)))
-    return out.withColumn("__nth", nth).where("__nth = 1").drop("__nth", "__key")
+
+def without(docs: DataFrame, gone: DataFrame, repeated: DataFrame, id_col: str, key: Column) -> DataFrame:
+    """The rows of ``docs`` whose id and ``key`` are not in ``gone`` (columns ``id, key``); of the
+    rows that share a pair in ``repeated`` one stays. Both name each pair once.
+
+    Spark broadcasts ``gone`` if its measured size is under its threshold, so texts are
+    shuffled only where more is dropped than that, and for repeated pairs.
+    """
+    name = unused(docs, "key")
+    marked = docs.withColumn(name, key)
+
+    def matches(df: DataFrame, pairs: DataFrame) -> Column:
+        return df[quoted(id_col)].eqNullSafe(pairs["id"]) & (df[name] == pairs["key"])
+
+    out = marked.join(gone, matches(marked, gone), "left_anti")
+    if not repeated.isEmpty():
+        again, nth = out.join(repeated, matches(out, repeated), "left_semi"), unused(marked, "nth")
+        again = again.withColumn(nth, F.row_number().over(Window.partitionBy(quoted(id_col), name).orderBy(F.lit(1))))
+        out = out.join(repeated, matches(out, repeated), "left_anti").unionAll(again.where(F.col(nth) == 1).drop(nth))
+    return out.drop(name)

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from emberlens.llm.common import documents, keep_rows, staged, text_or_empty
+from emberlens.llm.common import documents, quoted, staged, text_or_empty, unused, without
 
 #: A digest with more than this share of the rows is settled by broadcast.
 SUPPORT = 0.001
@@ -62,14 +62,14 @@ def heavy_hitters(d: DataFrame, support: float = SUPPORT) -> DataFrame:
 
 
 def dedup_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
-    """One row per input row: ``id, rid, digest, keep_id, group_size, kept``."""
+    """One row per input row: ``id, rid, digest, keep_id, group_size, kept, heavy``."""
     d = staged(digests(docs, id_col, text_col), "digests")
     winners = staged(heavy_hitters(d, support), "winners")
     split = d.join(F.broadcast(winners), "digest", "left")
-    hot = split.where(F.col("n").isNotNull())
+    hot = split.where(F.col("n").isNotNull()).withColumn("heavy", F.lit(True))
     group = Window.partitionBy("digest")
     rest = split.where(F.col("n").isNull()).select(
-        "rid", "id", "digest", F.max(F.struct("id", "rid")).over(group).alias("best"), F.count(F.lit(1)).over(group).alias("n")
+        "rid", "id", "digest", F.max(F.struct("id", "rid")).over(group).alias("best"), F.count(F.lit(1)).over(group).alias("n"), F.lit(False).alias("heavy")
     )
     return (
         hot.select(rest.columns)
@@ -81,6 +81,7 @@ def dedup_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             F.col("best.id").alias("keep_id"),
             F.col("n").alias("group_size"),
             (F.col("rid") == F.col("best.rid")).alias("kept"),
+            "heavy",
         )
     )
 
@@ -88,11 +89,22 @@ def dedup_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    Kept rows are found again by id and digest; Spark broadcasts them only if their measured
-    size is under its threshold. Rows that share both id and text are thinned afterwards.
+    Rows are told apart by id and digest. Those of the heavy digests are dropped while they
+    are read, by the broadcast winners; other dropped pairs are joined away, and of rows that
+    share id and digest one stays. Texts are shuffled only as ``without`` says.
     """
-    kept = staged(dedup_groups(docs, id_col, text_col, support).where("kept").select("id", F.col("digest").alias("key")), "kept")
-    return keep_rows(docs, kept, id_col, F.unhex(F.sha2(fold(text_or_empty(text_col)).cast("binary"), 256)))
+    groups = staged(dedup_groups(docs, id_col, text_col, support).where("group_size > 1"), "groups")
+    # Bounded: at most 1/support winners.
+    heavy = groups.where("heavy and kept").select(F.col("digest").alias("key"), F.col("keep_id").alias("best"))
+    pairs = groups.groupBy("id", F.col("digest").alias("key")).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    pairs = staged(pairs, "pairs")
+    gone = pairs.where("not kept").join(F.broadcast(heavy), "key", "left_anti").select("id", "key")
+    digest = F.unhex(F.sha2(fold(text_or_empty(quoted(text_col))).cast("binary"), 256))
+    name = unused(docs, "digest")
+    marked = docs.withColumn(name, digest)
+    lost = (marked[name] == heavy["key"]) & ~marked[quoted(id_col)].eqNullSafe(heavy["best"])
+    light = marked.join(F.broadcast(heavy), lost, "left_anti")
+    return without(light, gone, pairs.where("kept and n > 1").select("id", "key"), id_col, F.col(name)).drop(name)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

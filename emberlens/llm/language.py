@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlens.llm.common import crc_mod, documents, text_or_empty
+from emberlens.llm.common import beside, crc_mod, documents, text_or_empty
 from emberlens.llm.textvec import FOLD, LETTER, groups, words
 
 SLOTS = 1 << 16
@@ -146,13 +146,12 @@ def mixture(words_ll: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return part, chosen, shares
 
 
-def predict(
-    docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None
-) -> DataFrame:
-    """``lang_pred, score, languages, proportions`` beside the columns named in ``keep`` (default: the id)."""
-    langs, table = model
-    keep = [id_col] if keep is None else keep
-    shared = docs.sparkSession.sparkContext.broadcast((langs, table))  # SLOTS numbers a language
+_ANSWER = "struct<lang_pred:string,score:double,languages:array<string>,proportions:array<double>>"
+
+
+def answered(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", name: str = "answer") -> DataFrame:
+    """All columns of ``docs``, and a struct ``name`` of ``lang_pred, score, languages, proportions``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS numbers a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, table = shared.value
@@ -175,12 +174,15 @@ def predict(
                         order = sorted(np.flatnonzero(chosen[j]), key=lambda i: -shares[j, i])
                         sets[lo + t], parts[lo + t] = [langs[i] for i in order], [float(shares[j, i]) for i in order]
             made = [pa.array(pred, pa.string()), pa.array(score), pa.array(sets, pa.list_(pa.string())), pa.array(parts, pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], [*b.schema.names[:-1], "lang_pred", "score", "languages", "proportions"])
+            answer = pa.StructArray.from_arrays(made, ["lang_pred", "score", "languages", "proportions"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], answer], [*b.schema.names[:-1], name])
+
+    return beside(docs, text_or_empty(text_col), run, _ANSWER, name)
+
 
-    rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], text_or_empty(text_col).alias("text"))
-    kinds = ", ".join(f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-    out = rows.mapInArrow(run, f"{kinds}, lang_pred string, score double, languages array<string>, proportions array<double>")
-    return out.toDF(*keep, *out.columns[len(keep) :])
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``lang_pred, score, languages, proportions`` beside the id."""
+    return answered(docs.select(id_col, text_col), model, text_col).select(id_col, "answer.*")
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

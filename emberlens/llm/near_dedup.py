@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from emberlens.llm.common import documents, keep_rows, staged, text_or_empty
+from emberlens.llm.common import documents, quoted, staged, text_or_empty, without
 from emberlens.llm.graph import SMALL, linked, main_parts
 from emberlens.llm.textvec import GROUP_BYTES, flat, groups, hashes, mix, shingles, words
 
@@ -338,8 +338,11 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row of each class, with all its columns."""
-    kept = staged(near_classes(docs, id_col, text_col, threshold).where("kept").select("id", F.col("exact").alias("key")), "kept")
-    return keep_rows(docs, kept, id_col, F.xxhash64(text_or_empty(text_col)))
+    placed = near_classes(docs, id_col, text_col, threshold).where("class_size > 1")
+    pairs = placed.groupBy("id", F.col("exact").alias("key")).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    pairs = staged(pairs, "pairs")
+    gone, repeated = (pairs.where(which).select("id", "key") for which in ("not kept", "kept and n > 1"))
+    return without(docs, gone, repeated, id_col, F.xxhash64(text_or_empty(quoted(text_col))))
 
 
 def op4_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

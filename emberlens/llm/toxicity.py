@@ -7,12 +7,17 @@ over all documents of a group, give the exact marginal of every token over its w
 document.
 
 Training uses a sample of the training rows bounded by ``MOST_TOXIC`` and ``MOST_CLEAN``
-documents: those with the smallest hash of the id, so it does not depend on the layout.
-Labels are per document, so tokens are labelled first: a feature is marked when its document
-frequencies in toxic and clean training documents differ beyond doubt (likelihood ratio over
-``SURE`` and at least ``RATIO`` times as frequent); a token of a toxic document with a marked
-feature is toxic, every other token is clean. The field is then fitted by maximum conditional
-likelihood on those token labels.
+documents: those with the smallest hash of the id, so it does not depend on the layout; of
+several rows of one id the least text trains. Labels are per document, so tokens are
+labelled first: a feature is marked when its document frequencies in toxic and clean
+training documents differ beyond doubt (likelihood ratio over ``SURE`` and at least
+``RATIO`` times as frequent); a token of a toxic document with a marked feature is toxic,
+every other token is clean. The field is then fitted by maximum conditional likelihood on
+those token labels. The sample stays on the executors, in ``TASKS`` parts written to the
+shared folder; each pass gives one partial sum a part, and the driver holds the weights and
+these sums only (``SLOTS`` numbers each, whatever the texts' length). For the fit, documents
+are cut into stretches of ``STRETCH`` words that count as chains of their own; scores always
+come from whole documents.
 
 A document's score comes from its marginals: a logistic function of the expected number of
 toxic tokens, their share, and the largest marginal, fitted on the same rows with the
@@ -26,7 +31,7 @@ classes every score is 0; repeated rows are scored one by one; other columns are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -34,10 +39,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlens.llm.common import crc_mod, documents, staged, text_or_empty
-from emberlens.llm.textvec import groups, hashes, mix, words
+from emberlens.llm.common import beside, crc_mod, documents, staged, text_or_empty
+from emberlens.llm.textvec import groups, hashes, words
 
 MOST_TOXIC, MOST_CLEAN = 1500, 2000
+TASKS, STRETCH = 8, 256
 PREFIXES = (4, 5, 6, 7, 8)
 SLOTS = 1 << 19
 SURE, RATIO, LEAST = 20.0, 8.0, 3
@@ -96,41 +102,18 @@ def summary(log_odds: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.nda
     return out
 
 
-class _Sample:
-    """Tokens of the training documents: distinct words once, tokens as numbers of words."""
-
-    def __init__(self, each: list[np.ndarray]) -> None:
-        self.size = np.array([len(x) for x in each])
-        self.first = np.cumsum(self.size) - self.size
-        self.doc = np.repeat(np.arange(len(each), dtype=np.int32), self.size)
-        slots = np.concatenate(each)
-        key = np.zeros(len(slots), np.uint64)
-        for k in range(slots.shape[1]):
-            key += mix(slots[:, k].astype(np.uint64) + np.uint64(k * SLOTS))
-        _, once, word = np.unique(key, return_index=True, return_inverse=True)
-        self.words, self.word = slots[once], word.astype(np.int32)
-
-
-def _token_labels(sample: _Sample, toxic: np.ndarray) -> np.ndarray:
-    n1, n0 = int(toxic.sum()), int((~toxic).sum())
-    df = [np.zeros(SLOTS), np.zeros(SLOTS)]
-    pair = np.unique(sample.doc.astype(np.int64) * len(sample.words) + sample.word)
-    doc, word = pair // len(sample.words), pair % len(sample.words)
-    for k in range(sample.words.shape[1]):
-        seen = np.unique(doc * SLOTS + sample.words[word, k])
-        of = toxic[seen // SLOTS]
-        for y in (0, 1):
-            df[y] += np.bincount(seen[of == bool(y)] % SLOTS, minlength=SLOTS)
-    a, b = df[1], df[0]
+def _marked(toxic: np.ndarray, clean: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Features whose document frequencies in ``n1`` toxic and ``n0`` clean documents differ beyond doubt."""
 
     def part(x: np.ndarray, expected: np.ndarray) -> np.ndarray:
         return np.where(x > 0, x * np.log(np.maximum(x, 1e-9) / np.maximum(expected, 1e-9)), 0)
 
+    a, b = toxic.astype(float), clean.astype(float)
     rate = (a + b) / (n1 + n0)
     ratio = 2 * (part(a, n1 * rate) + part(b, n0 * rate) + part(n1 - a, n1 * (1 - rate)) + part(n0 - b, n0 * (1 - rate)))
     marked = (ratio > SURE) & (a >= LEAST) & ((a + 0.5) / n1 > RATIO * (b + 0.5) / n0)
     marked[0] = False
-    return marked[sample.words].any(1)[sample.word] & toxic[sample.doc]
+    return marked
 
 
 def _expected_steps(ahead: np.ndarray, right: np.ndarray, steps: np.ndarray, later: np.ndarray) -> np.ndarray:
@@ -145,37 +128,96 @@ def _expected_steps(ahead: np.ndarray, right: np.ndarray, steps: np.ndarray, lat
     return total
 
 
-def _fit_field(sample: _Sample, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Maximum conditional likelihood by AdaGrad over the whole sample."""
-    some = sample.size > 0
-    first, size = sample.first[some], sample.size[some]
-    used, local = np.unique(sample.words, return_inverse=True)
-    local = local.reshape(sample.words.shape)
-    weights, steps, bias = np.zeros(len(used)), np.zeros(3), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
+def _cut(size: np.ndarray, stretch: int) -> tuple[np.ndarray, np.ndarray]:
+    """First token and length of each stretch of documents of these lengths."""
+    pieces = -(-size // stretch)
+    first = np.cumsum(size) - size
+    nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    start = np.repeat(first, pieces) + nth * stretch
+    return start, np.minimum(stretch, np.repeat(first + size, pieces) - start)
+
+
+def _gradient(slots: np.ndarray, y: np.ndarray, size: np.ndarray, model: Model, stretch: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Of the log-likelihood: by feature, by kind of step, and of the bias."""
+    first, length = _cut(size, stretch)
+    unary = model.weights[slots].sum(1) + model.bias
+    odds, ahead, behind = marginals(unary, first, length, model.steps)
+    error = y - _sigmoid(odds)
     joined = np.ones(len(y), bool)
     joined[first] = False
     later = np.flatnonzero(joined)
     truth = np.array([(~y[later - 1] & y[later]).sum(), (y[later - 1] & ~y[later]).sum(), (y[later - 1] & y[later]).sum()], float)
-    seen_w, seen_s, seen_b = np.full(len(used), 1e-8), np.full(3, 1e-8), 1e-8
+    by_feature = np.zeros(SLOTS)
+    for k in range(slots.shape[1]):
+        by_feature += np.bincount(slots[:, k], weights=error, minlength=SLOTS)
+    by_feature[0] = 0
+    return by_feature, truth - _expected_steps(ahead, unary + behind, model.steps, later), float(error.sum())
+
+
+_SUMS = "at binary, sums binary, few binary"
+
+
+def _summed(sample: DataFrame, pass_over: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """``pass_over`` (slots, document sizes, document labels) gives sums by feature (a row or
+    more of ``SLOTS`` numbers) and a few others for each part of the sample; they are added up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(y, np.frombuffer(x.as_buffer(), np.int32)) for b in batches for y, x in zip(b.column(0).to_pylist(), b.column(1))]
+        if not rows:
+            return
+        slots = np.concatenate([x for _, x in rows]).reshape(-1, len(PREFIXES) + 1)
+        size = np.array([len(x) // slots.shape[1] for _, x in rows])
+        sums, few = pass_over(slots, size, np.array([y == 1 for y, _ in rows]))
+        at = np.flatnonzero(np.atleast_2d(sums).any(0)).astype(np.int32)
+        blobs = (at, np.ascontiguousarray(np.atleast_2d(sums)[:, at], float), np.asarray(few, float))
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in blobs], ["at", "sums", "few"])
+
+    # Bounded: TASKS rows of at most SLOTS numbers.
+    total, others = np.zeros(0), np.zeros(0)
+    for r in sample.mapInArrow(run, _SUMS).collect():
+        at, few = np.frombuffer(bytes(r["at"]), np.int32), np.frombuffer(bytes(r["few"]))
+        if not len(others):
+            total, others = np.zeros((len(r["sums"]) // 8 // max(1, len(at)) or 1, SLOTS)), np.zeros(len(few))
+        if len(at):
+            total[:, at] += np.frombuffer(bytes(r["sums"])).reshape(-1, len(at))
+        others += few
+    return total, others
+
+
+def _fit_field(sample: DataFrame, marked: np.ndarray) -> Model | None:
+    """Maximum conditional likelihood by AdaGrad, every step over the whole sample."""
+    context = sample.sparkSession.sparkContext
+    marks, stretch = context.broadcast(marked), STRETCH
+
+    def labels(slots: np.ndarray, size: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+        return marks.value[slots].any(1) & np.repeat(toxic, size)
+
+    def count(slots: np.ndarray, size: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.zeros(SLOTS), np.array([labels(slots, size, toxic).sum(), len(slots)])
+
+    few = _summed(sample, count)[1]
+    if not len(few) or not few[1]:
+        return None
+    model = Model(np.zeros(SLOTS, np.float32), np.zeros(3), float(np.log((few[0] + 1) / (few[1] - few[0] + 1))), np.zeros(4))
+    weights, seen_w, seen_s, seen_b = np.zeros(SLOTS), np.full(SLOTS, 1e-8), np.full(3, 1e-8), 1e-8
     for _ in range(ROUNDS):
-        unary = (weights[local].sum(1) + bias)[sample.word]
-        odds, ahead, behind = marginals(unary, first, size, steps)
-        error = y - _sigmoid(odds)
-        by_word = np.bincount(sample.word, weights=error, minlength=len(sample.words))
-        grad = np.bincount(local.ravel(), weights=np.repeat(by_word, local.shape[1]), minlength=len(used)) - RIDGE * len(y) * weights
-        if used[0] == 0:
-            grad[0] = 0
-        grad_s = truth - _expected_steps(ahead, unary + behind, steps, later)
+        now = context.broadcast(model)
+
+        def gradient(slots: np.ndarray, size: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            by_feature, by_step, bias = _gradient(slots, labels(slots, size, toxic), size, now.value, stretch)
+            return by_feature, np.r_[by_step, bias]
+
+        grad, others = _summed(sample, gradient)
+        now.destroy()
+        grad = grad[0] - RIDGE * few[1] * weights
         seen_w += grad**2
-        seen_s += grad_s**2
-        seen_b += error.sum() ** 2
+        seen_s += others[:3] ** 2
+        seen_b += others[3] ** 2
         weights += RATE * grad / np.sqrt(seen_w)
-        steps += RATE * grad_s / np.sqrt(seen_s)
-        bias += RATE * error.sum() / np.sqrt(seen_b)
-    full = np.zeros(SLOTS, np.float32)
-    full[used] = weights
-    full[0] = 0
-    return full, steps, bias
+        steps = model.steps + RATE * others[:3] / np.sqrt(seen_s)
+        model = Model(weights.astype(np.float32), steps, float(model.bias + RATE * others[3] / np.sqrt(seen_b)), model.document)
+    marks.destroy()
+    return model
 
 
 def _fit_documents(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -210,8 +252,7 @@ def train(
     drawn = [marks.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(n) for y, n in bounds]
     drawn = F.broadcast(staged(drawn[0].union(drawn[1]), "drawn"))
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(drawn, "id")
-    # Ids that several rows share may not exceed the bounds either.
-    parts = [rows.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(n).select("y", "text") for y, n in bounds]
+    rows = rows.repartition(TASKS, "id").groupBy("id", "y").agg(F.min("text").alias("text")).select("y", "text")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -222,25 +263,46 @@ def train(
                 blobs = [x.tobytes() for x in np.split(slots, np.cumsum(n)[:-1])]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(blobs, pa.binary())], ["y", "slots"])
 
-    taken = parts[0].union(parts[1]).mapInArrow(extract, "y int, slots binary").collect()
-    y = np.array([r["y"] == 1 for r in taken])
-    sample = _Sample([np.frombuffer(bytes(r["slots"]), np.int32).reshape(-1, len(PREFIXES) + 1) for r in taken])
-    del taken
-    if not len(sample.word):
+    sample = staged(rows.mapInArrow(extract, "y int, slots binary"), "sample")
+
+    def frequencies(slots: np.ndarray, size: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        doc, df = np.repeat(np.arange(len(size)), size), np.zeros((2, SLOTS))
+        seen = np.unique((doc[:, None] * SLOTS + slots).ravel())
+        for y in (0, 1):
+            df[y] = np.bincount(seen[toxic[seen // SLOTS] == bool(y)] % SLOTS, minlength=SLOTS)
+        return df, np.array([toxic.sum(), (~toxic).sum()])
+
+    df, number = _summed(sample, frequencies)
+    if not len(number) or number.min() < 1:
         return None
-    weights, steps, bias = _fit_field(sample, _token_labels(sample, y))
-    some = sample.size > 0
-    odds, _, _ = marginals(weights[sample.words].sum(1, dtype=np.float64)[sample.word] + bias, sample.first[some], sample.size[some], steps)
-    share = np.where(y, totals[1] / max(1, y.sum()), totals[0] / max(1, (~y).sum()))
-    document = _fit_documents(summary(odds, sample.first, sample.size), y.astype(float), share * len(y) / share.sum())
-    return Model(weights, steps, bias, document)
-
-
-def score(
-    docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None
-) -> DataFrame:
-    """``score`` and ``spans`` beside the columns named in ``keep`` (default: the id)."""
-    keep = [id_col] if keep is None else keep
+    model = _fit_field(sample, _marked(df[1], df[0], int(number[0]), int(number[1])))
+    if model is None:
+        return None
+    fitted = sample.sparkSession.sparkContext.broadcast(model)
+
+    def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for y, blob in zip(b.column(0).to_pylist(), b.column(1)):
+                slots = np.frombuffer(blob.as_buffer(), np.int32).reshape(-1, len(PREFIXES) + 1)
+                first, size = np.zeros(1, int), np.array([len(slots)])
+                some = size > 0
+                unary = fitted.value.weights[slots].sum(1, dtype=np.float64) + fitted.value.bias
+                x = summary(marginals(unary, first[some], size[some], fitted.value.steps)[0], first, size)[0]
+                yield pa.RecordBatch.from_pylist([{"y": y, "x0": x[0], "x1": x[1], "x2": x[2]}], pa.schema([("y", pa.int32()), *[(f"x{k}", pa.float64()) for k in range(3)]]))
+
+    # Bounded: four numbers for each document of the sample.
+    known = sample.mapInArrow(summaries, "y int, x0 double, x1 double, x2 double").toArrow()
+    y, x = known.column(0).to_numpy() == 1, np.stack([known.column(k).to_numpy() for k in (1, 2, 3)], 1)
+    share = np.where(y, totals[1] / number[0], totals[0] / number[1])
+    document = _fit_documents(x, y.astype(float), share * len(y) / share.sum())
+    return model._replace(document=document)
+
+
+_VERDICT = "struct<score:double,spans:array<struct<start:bigint,end:bigint,p:double>>>"
+
+
+def scored(docs: DataFrame, model: Model | None, text_col: str = "text", name: str = "verdict") -> DataFrame:
+    """All columns of ``docs``, and a struct ``name`` of ``score`` and ``spans``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS weights, whatever the corpus
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())])
 
@@ -266,13 +328,15 @@ def score(
                     for i, p in zip(hits, _sigmoid(odds[hits])):
                         base = points[at[text[i]]]
                         spans[lo + text[i]].append({"start": int(points[start[i]] - base), "end": int(points[end[i]] - base), "p": float(p)})
-            made = [pa.array(scores), pa.array(spans, pa.list_(span))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], [*b.schema.names[:-1], "score", "spans"])
+            verdict = pa.StructArray.from_arrays([pa.array(scores), pa.array(spans, pa.list_(span))], ["score", "spans"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], verdict], [*b.schema.names[:-1], name])
+
+    return beside(docs, text_or_empty(text_col), run, _VERDICT, name)
+
 
-    rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], text_or_empty(text_col).alias("text"))
-    kinds = ", ".join(f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-    out = rows.mapInArrow(run, f"{kinds}, score double, spans array<struct<start:bigint,end:bigint,p:double>>")
-    return out.toDF(*keep, *out.columns[len(keep) :])
+def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``score`` and ``spans`` beside the id."""
+    return scored(docs.select(id_col, text_col), model, text_col).select(id_col, "verdict.score", "verdict.spans")
 
 
 def training_labels(labels: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlens.llm import exact_dedup, language, near_dedup, packing, toxicity
-from emberlens.llm.common import staged
+from emberlens.llm.common import staged, unused
 
 #: A document goes if its toxicity score is this or more.
 TOXIC = 0.5
@@ -20,14 +20,20 @@ TOXIC = 0.5
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Score every document with the field trained on the labelled ones; toxic documents go."""
     model = toxicity.train(docs, toxicity.training_labels(spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    scored = toxicity.score(docs, model, keep=docs.columns)
-    return scored.where(F.col("score") < TOXIC).select(docs.columns)
+    name = unused(docs, "verdict")
+    return toxicity.scored(docs, model, name=name).where(F.col(f"{name}.score") < TOXIC).drop(name)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go that have no language: no text, or none with a letter."""
-    found = language.predict(docs, language.train(language.training_rows(docs)), keep=docs.columns)
-    return found.where(F.col("lang_pred") != "und").select(docs.columns)
+    """Documents go that have no language: no text, or none with a letter.
+
+    Where nothing can be learned (no training row with a language), no document goes.
+    """
+    model = language.train(language.training_rows(docs))
+    if not model[0]:
+        return docs
+    name = unused(docs, "answer")
+    return language.answered(docs, model, name=name).where(F.col(f"{name}.lang_pred") != "und").drop(name)
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +61,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Trained scores and tokenizers have no SQL; tests hold the pipeline against a plain version.
+#: Trained scores and tokenizers have no SQL; tests hold its stages against plain versions.
 ORACLE_SQL = None
 
 

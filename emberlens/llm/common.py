@@ -21,6 +21,9 @@ from pyspark.sql.types import DataType, StructField, StructType
 
 _OWN_DIR: list[str] = []
 
+#: Pairs of id and digest that may be broadcast, of some 60 bytes each.
+BROADCAST_ROWS = 200_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see; a private one only where the session names none and the
@@ -88,9 +91,11 @@ def without(docs: DataFrame, gone: DataFrame, repeated: DataFrame, id_col: str,
     """The rows of ``docs`` whose id and ``key`` are not in ``gone`` (columns ``id, key``); of the
     rows that share a pair in ``repeated`` one stays. Both name each pair once.
 
-    Spark broadcasts ``gone`` if its measured size is under its threshold, so texts are
-    shuffled only where more is dropped than that, and for repeated pairs.
+    ``gone`` is broadcast if it has ``BROADCAST_ROWS`` rows or fewer (it is counted), so texts
+    are shuffled only where more is dropped than that, and for repeated pairs.
     """
+    if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
     name = unused(docs, "key")
     marked = docs.withColumn(name, key)
 

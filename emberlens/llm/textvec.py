@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are worked on in groups of about this many bytes (a longer text is a group of its own).
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 20
 #: Words up to this many bytes are hashed together, longer ones singly.
 SHORT = 32
 

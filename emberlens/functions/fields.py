@@ -55,15 +55,19 @@ def _variant(value: Column, path: Path, spelled: Column | None = None) -> Field:
     here = F.try_variant_get(value, where, "variant")
     kind = F.schema_of_variant(here)
     is_number = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
-    f.number = F.when(is_number, F.try_variant_get(value, where, "double"))
+    # The value first: only what can be a number is asked for its type.
+    as_number = F.try_variant_get(value, where, "double")
+    f.number = F.when(as_number.isNotNull() & is_number, as_number)
     f.text = F.when(kind == "STRING", F.try_variant_get(value, where, "string"))
     f.flag = F.when(kind == "BOOLEAN", F.try_variant_get(value, where, "boolean"))
     f.null = F.coalesce(F.is_variant_null(here), F.lit(False))
     f.present = here.isNotNull() & ~f.null
-    shown = F.when(kind == "STRING", F.try_variant_get(value, where, "string")).otherwise(F.to_json(here))
+    shown = F.when(kind == "STRING", F.try_variant_get(value, where, "string"))
     if spelled is not None:
-        shown = F.when(is_number, F.coalesce(F.get_json_object(spelled, where.replace('"', "'")), shown)).otherwise(shown)
-    f.display = F.when(f.present, shown)
+        # Whole numbers have one spelling, but for zero (-0), so they need no second look at the text.
+        shown = shown.when((kind == "BIGINT") & (as_number != 0), F.to_json(here))
+        shown = shown.when(is_number, F.coalesce(F.get_json_object(spelled, where.replace('"', "'")), F.to_json(here)))
+    f.display = F.when(f.present, shown.otherwise(F.to_json(here)))
     f.instant = F.lit(None).cast("timestamp")
     return f
 

@@ -36,29 +36,33 @@ def classify(lines: DataFrame, max_line_bytes: int = DEFAULT_MAX_LINE_BYTES, kee
     """``status, raw, v`` beside ``keep``, from ``value`` (string or binary).
 
     The text is parsed as the first element of an array whose second is a mark nobody can
-    know, so that trailing text or a second value is not taken for a record. The parsed value passes through a generator,
-    which keeps later filters from being pushed below it and parsing again.
+    know, so that trailing text or a second value is not taken for a record. The parsed value
+    passes through a generator, which keeps later filters from being pushed below it and
+    parsing again.
     """
     prepare(lines.sparkSession)
     value = F.col("value").cast("string")
     mark = uuid.uuid4().hex
     # A source that measured its lines has left out the bytes of the long ones.
     size = F.col("bytes") if "bytes" in lines.columns else F.octet_length(value)
+    bare = F.when(value.endswith("\r"), F.substring(value, F.lit(1), F.char_length(value) - 1)).otherwise(value)
     cut = lines.select(
         *keep,
         size.alias("bytes"),
-        F.when((F.octet_length(value) <= max(1, max_line_bytes)) & F.is_valid_utf8(value), F.regexp_replace(value, r"\r\z", "")).alias("raw"),
+        F.when((F.octet_length(value) <= max(1, max_line_bytes)) & F.is_valid_utf8(value), bare).alias("raw"),
     )
     whole = F.try_parse_json(F.concat(F.lit("["), F.col("raw"), F.lit(f',"{mark}"]')))
     once = cut.select("*", F.inline(F.array(F.struct(whole.alias("parsed")))))
     inner = F.try_variant_get("parsed", "$[0]", "variant")
     # One element and then the mark, and the element starts like an object.
-    good = (F.try_variant_get("parsed", "$[1]", "string") == mark) & F.col("raw").rlike(r"^[ \t\r\n]*\{")
+    starts = F.col("raw").startswith("{") | F.ltrim("raw", F.lit(" \t\r\n")).startswith("{")
+    good = F.try_variant_get("parsed", "$[1]", "string") == mark
+    # Most lines are records, so the dearer questions are asked of the others only.
     status = (
-        F.when(F.col("bytes") > max(1, max_line_bytes), TOO_LONG)
+        F.when(F.coalesce(good & starts, F.lit(False)), RECORD)
+        .when(F.col("bytes") > max(1, max_line_bytes), TOO_LONG)
         .when(F.col("raw").isNull(), MALFORMED)
         .when(F.col("raw").rlike(r"(?U)^\s*\z"), BLANK)
-        .when(F.coalesce(good, F.lit(False)), RECORD)
         .otherwise(MALFORMED)
     )
     kept = once.select(*keep, "raw", F.inline(F.array(F.struct(status.alias("status"), inner.alias("v")))))

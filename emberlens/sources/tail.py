@@ -1,15 +1,18 @@
 """A growing file as a stream: a Python data source that survives rotation and truncation.
 
-The offset is the file's identity and a position. A line without its line feed is held back
-until it is whole. When the path names another file, or the file is shorter than the
-position, reading starts anew at 0. A batch holds about ``budget`` bytes and at least one
-line. Lines over the cap are passed on as such, without their bytes.
+The offset is the file's identity, a generation and a position. A line without its line feed
+is held back until it is whole. When the path names another file, what is left of the open
+one is read first; then, and when the file is shorter than the position, reading starts anew
+at 0 and the generation rises by one, so (generation, position) orders lines by arrival
+across rotations. A batch holds about ``budget`` bytes and at least one line. Lines over the
+cap are passed on as such, without their bytes.
 """
 
 from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from typing import BinaryIO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
@@ -47,29 +50,53 @@ class _TailReader(SimpleDataSourceStreamReader):
         self.cap = max(1, int(options.get("maxlinebytes", options.get("maxLineBytes", DEFAULT_MAX_LINE_BYTES))))
         self.budget = int(options.get("budget", BUDGET))
 
+        self.open: BinaryIO | None = None
+
     def initialOffset(self) -> dict[str, int]:  # noqa: N802
-        return {"ino": 0, "pos": 0}
+        return {"ino": 0, "gen": 0, "pos": 0}
 
-    def _read(self, start: dict[str, int], stop: int | None) -> tuple[list[tuple], dict[str, int]]:
+    def _files(self, start: dict[str, int]) -> Iterator[tuple[BinaryIO, dict[str, int]]]:
+        """What can be read on from ``start``: the file held open from before, then the one at the path."""
+        held = self.open
+        if held is not None and os.fstat(held.fileno()).st_ino == start["ino"]:
+            yield held, start
         try:
             handle = open(self.path, "rb")
         except FileNotFoundError:  # between a rotation's two steps
-            return [], start
-        with handle:
-            stat = os.fstat(handle.fileno())
-            at = start["pos"] if start["ino"] == stat.st_ino and stat.st_size >= start["pos"] else 0
+            return
+        stat = os.fstat(handle.fileno())
+        goes_on = start["ino"] == stat.st_ino and stat.st_size >= start["pos"]
+        yield handle, start if goes_on else {"ino": stat.st_ino, "gen": start["gen"] + (start["ino"] != 0), "pos": 0}
+
+    def _read(self, start: dict[str, int], stop: dict[str, int] | None) -> tuple[list[tuple], dict[str, int]]:
+        """Lines of one file from ``start`` on, to its end or to ``stop``; and where that is."""
+        for handle, begin in self._files(start):
+            size, at = os.fstat(handle.fileno()).st_size, begin["pos"]
             rows = []
-            for line, length, after in _lines(handle, at, stat.st_size if stop is None else stop, self.cap, self.budget if stop is None else stop - at + 1):
-                rows.append((line, length, stat.st_ino, at))
-                at = after
-            return rows, {"ino": stat.st_ino, "pos": at}
+            if size >= at and (stop is None or stop["ino"] == begin["ino"]):
+                last, budget = (size, self.budget) if stop is None else (stop["pos"], stop["pos"] - at + 1)
+                for line, length, after in _lines(handle, at, last, self.cap, budget):
+                    rows.append((line, length, begin["gen"], at))
+                    at = after
+            if handle is self.open:
+                if rows:
+                    return rows, {**begin, "pos": at}
+                continue
+            if stop is not None:
+                handle.close()
+            else:
+                if self.open is not None:
+                    self.open.close()
+                self.open = handle
+            return rows, {**begin, "pos": at}
+        return [], start
 
     def read(self, start: dict[str, int]) -> tuple[Iterator[tuple], dict[str, int]]:
         rows, end = self._read(start, None)
         return iter(rows), end
 
     def readBetweenOffsets(self, start: dict[str, int], end: dict[str, int]) -> Iterator[tuple]:  # noqa: N802
-        return iter(self._read(start, end["pos"])[0])
+        return iter(self._read(start, end)[0])
 
     def commit(self, end: dict[str, int]) -> None:
         pass
@@ -81,13 +108,13 @@ class TailDataSource(DataSource):
         return "tail"
 
     def schema(self) -> str:
-        return "value binary, bytes bigint, ino bigint, at bigint"
+        return "value binary, bytes bigint, gen bigint, at bigint"
 
     def simpleStreamReader(self, schema) -> _TailReader:  # noqa: ANN001, N802
         return _TailReader(dict(self.options))
 
 
 def read_tail(spark: SparkSession, path: str, max_line_bytes: int = DEFAULT_MAX_LINE_BYTES, budget: int = BUDGET) -> DataFrame:
-    """A streaming DataFrame ``value, bytes, ino, at``; ``value`` is NULL for lines over the cap."""
+    """A streaming DataFrame ``value, bytes, gen, at``; ``value`` is NULL for lines over the cap."""
     spark.dataSource.register(TailDataSource)
     return spark.readStream.format("tail").option("path", path).option("maxLineBytes", max_line_bytes).option("budget", budget).load()

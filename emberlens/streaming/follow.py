@@ -9,7 +9,6 @@ cannot be read again.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +25,7 @@ POLL = "300 milliseconds"
 def followed(spark: SparkSession, path: str, max_line_bytes: int = ndjson.DEFAULT_MAX_LINE_BYTES, budget: int = BUDGET) -> DataFrame:
     """Classified lines of a followed file, with ``pos``."""
     lines = read_tail(spark, path, max_line_bytes, budget)
-    placed = lines.withColumn("pos", F.struct("ino", "at"))
+    placed = lines.withColumn("pos", F.struct("gen", "at"))
     return ndjson.classify(placed, max_line_bytes)
 
 
@@ -40,7 +39,11 @@ def follow(
     max_line_bytes: int = ndjson.DEFAULT_MAX_LINE_BYTES,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Start the query; ``emit`` gets rendered text. Percentiles use sketches in the state."""
+    """Start the query; ``emit`` gets rendered text.
+
+    Exact percentiles keep the counts of each group's values as state; with
+    ``percentiles="approx"`` or ``"kll"`` a sketch bounds it.
+    """
     source = followed(spark, path, max_line_bytes)
     live = ndjson.records(source)
     trigger = trigger or {"processingTime": POLL}
@@ -54,14 +57,14 @@ def follow(
 
         return lines.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
-    mode = "approx" if query.percentiles == "exact" else query.percentiles
-    plan = over_records(live, replace(query, percentiles=mode))
-    groups = plan.aggregation.groups
+    plan = over_records(live, query)
 
     def whole(batch: DataFrame, _: int) -> None:
+        state = batch.persist()
         try:
-            emit(render.aggregation(plan.with_groups(batch.persist()), kind))
+            emit(render.aggregation(plan.with_groups(plan.aggregation.from_state(state)), kind))
         finally:
-            batch.unpersist()
+            state.unpersist()
 
-    return groups.writeStream.outputMode("complete").foreachBatch(whole).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    state = plan.aggregation.state
+    return state.writeStream.outputMode("complete").foreachBatch(whole).option("checkpointLocation", checkpoint).trigger(**trigger).start()

@@ -1,7 +1,8 @@
 import json
 import os
 
-from emberlens.plans.engine import Query
+from emberlens.plans.engine import Query, over_records
+from emberlens.sources.ndjson import read_ndjson
 from emberlens.sources.tail import _TailReader
 from emberlens.streaming.follow import follow
 
@@ -45,6 +46,23 @@ def test_reader_rotation_truncation_and_absence(tmp_path):
     assert values(r._read(end, None)[0]) == [b"x"]
 
 
+def test_reader_finishes_a_renamed_file_first(tmp_path):
+    p = tmp_path / "x.log"
+    p.write_bytes(b"one\n")
+    r = reader(p)
+    rows, end = r._read(r.initialOffset(), None)
+    with p.open("ab") as f:
+        f.write(b"two\n")
+    os.rename(p, tmp_path / "x.log.1")
+    p.write_bytes(b"new\n")
+    late, after = r._read(end, None)
+    assert values(late) == [b"two"] and values(r.readBetweenOffsets(end, after)) == [b"two"]
+    new, last = r._read(after, None)
+    assert values(new) == [b"new"] and [x[2] for x in rows + late + new] == [0, 0, 1]
+    assert values(r.readBetweenOffsets(after, last)) == [b"new"]
+    assert r._read(last, None) == ([], last)
+
+
 def test_reader_caps_and_budget(tmp_path):
     p = tmp_path / "x.log"
     p.write_bytes(b"a" * 200_000 + b"\nshort\n" + b"b" * 16 + b"\n")
@@ -87,3 +105,39 @@ def test_follow_aggregates_are_cumulative(spark, tmp_path):
     finally:
         q.stop()
     assert [json.loads(x) for x in seen[-1].split()] == [{"k": "a", "count": 4.0, "max(n)": 6.0}, {"k": "b", "count": 3.0, "max(n)": 5.0}]
+
+
+def test_followed_percentiles_are_exact(spark, tmp_path):
+    """The same as in batch: of 95 and 120 the 50th percentile is 120."""
+    p = tmp_path / "x.log"
+    p.write_text('{"k":"a","n":95}\n{"k":"b","n":-1.5}\n{"n":7}\n')
+    query, seen = Query.of(agg="p50(n),p90(n),count,avg(n)", group_by="k"), []
+    q = follow(spark, str(p), query, seen.append, str(tmp_path / "state"), trigger={"processingTime": "0 seconds"})
+    try:
+        q.processAllAvailable()
+        with p.open("a") as f:
+            f.write('{"k":"a","n":120}\n{"k":"b","n":0}\n{"k":"b","n":1e300}\n')
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    batch = over_records(read_ndjson(spark, str(p)), query).result.collect()
+    want = sorted(([r["k"] or "\0missing", *r[1:]] for r in batch), key=str)
+    assert want == [["\0missing", 7.0, 7.0, 1, 7.0], ["a", 120.0, 120.0, 2, 107.5], ["b", 0.0, 1e300, 3, 1e300 / 3]]
+    assert [[x["k"], x["p50(n)"], x["p90(n)"], x["count"], x["avg(n)"]] for x in map(json.loads, seen[-1].splitlines())] == want
+
+
+def test_followed_guard_keeps_first_keys_across_rotation(spark, tmp_path):
+    """The new file's inode is lower than the old one's; what was shown first stays."""
+    spare, p = tmp_path / "spare", tmp_path / "x.log"
+    spare.write_text('{"k":"late"}\n')
+    p.write_text('{"k":"early"}\n')
+    seen = []
+    q = follow(spark, str(p), Query.of(agg="count", group_by="k", limit=1), seen.append, str(tmp_path / "state"), trigger={"processingTime": "0 seconds"})
+    try:
+        q.processAllAvailable()
+        os.rename(p, tmp_path / "x.log.1")
+        os.rename(spare, p)
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert [json.loads(x)["k"] for x in seen] == ["early", "early"]

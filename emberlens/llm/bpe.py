@@ -9,8 +9,10 @@ The transducer reads a word through a window, emits what lies further than the l
 from the window's end, and starts anew behind the last token it emitted, which no merge
 crosses. Memory is constant, whatever the length of a word.
 
-Decoding feeds bytes of tokens to an incremental UTF-8 machine that gives out text as soon
-as code points are whole.
+Every word takes this way; what came out for a short word is remembered, within a bound.
+
+Decoding feeds a document's ids, token by token, to an incremental UTF-8 machine that gives
+out text as soon as code points are whole.
 
 Defined results: null text is empty; the empty text has no tokens, and its digest is that of
 the empty string; the strings of added tokens inside a text become those tokens, as the
@@ -26,6 +28,7 @@ import json
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -128,13 +131,8 @@ class Transducer:
         yield from self._merge(held)
 
     def word(self, piece: str) -> tuple[int, ...]:
-        letters = [self.letters[b] for b in piece.encode()]
-        if len(letters) < self.window:
-            letters[-1] += self.end
-            tokens: Iterable[str] = self._merge(letters)
-        else:
-            tokens = self.stream_word(letters)
-        return tuple(map(self.vocab.__getitem__, tokens))
+        """Every word goes through the window; one shorter than it comes out at its end."""
+        return tuple(map(self.vocab.__getitem__, self.stream_word(self.letters[b] for b in piece.encode())))
 
     def words_of(self, chunk: str) -> list[str]:
         """Words of a run without white space, normalised."""
@@ -161,32 +159,26 @@ class Transducer:
         return ids
 
     def encode_shown(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, the ids in decimal, and the tokens' spelling, both joined by blanks."""
-        parts: list[tuple[int, str, str]] = []
+        """Number of ids, the ids in decimal, joined by blanks, and the text that decoding them gives."""
+        parts: list[tuple[tuple[int, ...], str]] = []
         for k, part in enumerate(self.special.split(text) if "<|" in text else [text]):
             if k % 2:
-                parts.append((1, str(self.added[part]), part))
+                parts.append(((self.added[part],), str(self.added[part])))
             else:
                 parts.extend(map(self.chunks.__getitem__, self.split(part)))
-        if not parts:
-            return 0, "", ""
-        n, ids, shown = zip(*parts)
-        if 0 in n:
-            ids, shown = filter(None, ids), filter(None, shown)
-        return sum(n), " ".join(ids), " ".join(shown)
-
-    def _word_shown(self, word: str) -> tuple[int, str, str]:
+        ids = tuple(chain.from_iterable(x for x, _ in parts))
+        self.machine.restart()
+        return len(ids), " ".join(x for _, x in parts if x), self.machine.feed_all(ids) + self.machine.close()
+
+    def _word_shown(self, word: str) -> tuple[tuple[int, ...], str]:
         ids = self.word(word)
-        return len(ids), " ".join(map(str, ids)), self.machine.restart().feed_all(ids)
+        return ids, " ".join(map(str, ids))
 
-    def _chunk_shown(self, chunk: str) -> tuple[int, str, str]:
-        found = self.words_of(chunk)
+    def _chunk_shown(self, chunk: str) -> tuple[tuple[int, ...], str]:
+        found = [self.words[w] for w in self.words_of(chunk)]
         if len(found) == 1:
-            return self.words[found[0]]
-        if not found:
-            return 0, "", ""
-        n, ids, shown = zip(*[self.words[w] for w in found])
-        return sum(n), " ".join(ids), " ".join(shown)
+            return found[0]
+        return tuple(chain.from_iterable(x for x, _ in found)), " ".join(x for _, x in found)
 
     # -- decoding -----------------------------------------------------------------------
 
@@ -201,13 +193,13 @@ class Transducer:
 
 
 class _Memo(dict):
-    """Text -> (number of ids, ids in decimal, spelling). Bounded: when full, it starts anew."""
+    """Text -> (ids, ids in decimal). Bounded: when full, it starts anew."""
 
-    def __init__(self, owner: Transducer, make: Callable[[str], tuple[int, str, str]]) -> None:
+    def __init__(self, owner: Transducer, make: Callable[[str], tuple[tuple[int, ...], str]]) -> None:
         super().__init__()
         self.owner, self.make = owner, make
 
-    def __missing__(self, text: str) -> tuple[int, str, str]:
+    def __missing__(self, text: str) -> tuple[tuple[int, ...], str]:
         got = self.make(text)
         if len(text) <= 64:
             if len(self) >= self.owner.memo:

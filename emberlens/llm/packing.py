@@ -14,9 +14,10 @@ shuffle is needed: every task packs the rows it reads, and its sequences carry t
 number in the upper bits of their id. Each task leaves one partly filled sequence.
 
 Defined results: null text is empty and gives one piece with the terminator alone; repeated
-rows are packed one by one; a null id stays null; an empty table gives no pieces; in
-documents without a loss mask every token but the terminator bears loss; other columns are
-ignored.
+rows are packed one by one; a null id stays null; an empty table gives no pieces; where
+``loss_col`` names no column, or its spans are null, every token but the terminator bears
+loss, and with no spans none does; a token bears loss if its first byte lies in a span; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -63,6 +64,10 @@ class ByteBpe:
         back = {c: b for b, c in enumerate(byte_letters())}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {bytes(back[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.added}
+        #: Bytes of each id.
+        self.width = np.zeros(max([*ranks.values(), *self.added.values()]) + 1, np.int64)
+        for token, i in [*ranks.items(), *((t.encode(), i) for t, i in self.added.items())]:
+            self.width[i] = len(token)
         self.core = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")")
         self.chunks = _Blobs(self, memo)
@@ -186,7 +191,7 @@ class Packer:
         return True
 
 
-_PIECES = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
+_PIECES = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, loss_tokens bigint, ids binary"
 
 
 def pack(
@@ -196,26 +201,31 @@ def pack(
     text_col: str = "text",
     limits: tuple[int, int, int] = (SEQUENCE, SEGMENTS, LOSS),
     keep_ids: bool = True,
+    loss_col: str | None = None,
 ) -> DataFrame:
-    """One row per piece. ``ids`` holds its ids, little-endian unsigned 32-bit numbers."""
+    """One row per piece. ``ids`` holds its ids, little-endian unsigned 32-bit numbers.
+
+    ``loss_col``: an array of structs (start, end) of bytes of the text, the spans that bear
+    loss, as in instruction data. ``loss_tokens`` counts a piece's tokens that do.
+    """
     end = array("I", [TERMINATOR]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, packer, held = byte_bpe(path), Packer(limits, first=TaskContext.get().partitionId() << 40), {}
-        kinds = [pa.int64()] * 6 + [pa.binary()] * keep_ids
+        kinds = [pa.int64()] * 7 + [pa.binary()] * keep_ids
         names = [x.split()[0] for x in _PIECES.split(", ")][: len(kinds)]
         number = 0
 
         def out() -> pa.RecordBatch:
             rows = []
             for key, start, length, sequence, offset in packer.rows:
-                doc_id, blob, left = held[key]
-                ids = blob[4 * start : 4 * (start + length)]
-                rows.append((doc_id, start, length, zlib.crc32(ids), len(blob) // 4, sequence, offset, ids)[: len(names) + 1])
+                doc_id, blob, loss, left = held[key]
+                ids, borne = blob[4 * start : 4 * (start + length)], int(loss[start : start + length].sum())
+                rows.append((doc_id, start, length, zlib.crc32(ids), len(blob) // 4, sequence, offset, borne, ids)[: len(names) + 1])
                 if left == length:
                     del held[key]
                 else:
-                    held[key] = (doc_id, blob, left - length)
+                    held[key] = (doc_id, blob, loss, left - length)
             packer.rows = []
             cols = list(zip(*rows)) if rows else [()] * (len(names) + 1)
             arrays = [pa.array(cols[0], id_type), *(pa.array(c, k) for c, k in zip(cols[1:], kinds))]
@@ -224,11 +234,17 @@ def pack(
         id_type = None
         for b in batches:
             id_type = b.schema.field(0).type
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
+            for doc_id, text, spans in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
                 blob = bpe.encode(text.as_py()) + end
                 loss = np.ones(len(blob) // 4)
+                if spans.is_valid:
+                    width = bpe.width[np.frombuffer(blob, np.uint32)]
+                    first = np.cumsum(width) - width
+                    loss[:] = 0
+                    for span in spans.as_py():
+                        loss[(first >= span["start"]) & (first < span["end"])] = 1
                 loss[-1] = 0
-                held[number] = (doc_id, blob, len(loss))
+                held[number] = (doc_id, blob, loss, len(loss))
                 packer.add(number, loss)
                 number += 1
                 if len(packer.rows) >= 2000:
@@ -238,7 +254,8 @@ def pack(
             yield out()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    spans = (F.lit(None) if loss_col is None else F.col(loss_col)).cast("array<struct<start:bigint,end:bigint>>")
+    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"), spans.alias("spans"))
     return rows.mapInArrow(run, f"id {kind}, {_PIECES if keep_ids else _PIECES.removesuffix(', ids binary')}")
 
 

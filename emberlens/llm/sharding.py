@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from emberlens.llm.common import documents, staged, text_or_empty
+from emberlens.llm.common import documents, quoted, staged, text_or_empty, unused
 
 LIMIT_BYTES = 16 << 20
 HALF, STEP = 60, 8
@@ -119,10 +119,23 @@ def assign(
     )
 
 
-def write_shards(docs: DataFrame, shards: DataFrame, path: str, key_col: str = "doc_id") -> None:
-    """Write ``docs`` with one folder a shard. Keys must be unique; rows are dealt by shard."""
-    where = shards.select(F.col("key").alias(key_col), F.concat(F.lit("b"), "shard").alias("shard_bits"))
-    docs.join(where, key_col).repartition("shard_bits").write.partitionBy("shard_bits").parquet(path)
+def write_shards(docs: DataFrame, shards: DataFrame, path: str, key_col: str = "doc_id", text_col: str = "text") -> None:
+    """Write every row of ``docs`` once, with one folder a shard (``shard_bits``).
+
+    Rows find their shard by key and bytes, null keys too; of rows that share both each takes
+    one of the places, so every shard gets the bytes it was given. A column of ``docs`` that
+    is called ``shard_bits`` clashes with the folder's name: ``ValueError``.
+    """
+    if unused(docs, "shard_bits") != "shard_bits":
+        raise ValueError("docs has a column shard_bits")
+    size, nth = unused(docs, "bytes"), unused(docs, "nth")
+    same = Window.partitionBy(quoted(key_col), size).orderBy(F.lit(1))
+    rows = docs.withColumn(size, F.octet_length(text_or_empty(quoted(text_col))).cast("bigint")).withColumn(nth, F.row_number().over(same))
+    places = Window.partitionBy("key", "bytes").orderBy("rid")
+    where = shards.select("key", "bytes", F.row_number().over(places).alias("nth"), F.concat(F.lit("b"), "shard").alias("shard_bits"))
+    match = rows[quoted(key_col)].eqNullSafe(where["key"]) & (rows[size] == where["bytes"]) & (rows[nth] == where["nth"])
+    dealt = rows.join(where, match).select(*[rows[quoted(c)] for c in docs.columns], where["shard_bits"])
+    dealt.repartition("shard_bits").write.partitionBy("shard_bits").parquet(path)
 
 
 def op10_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from collections import defaultdict
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from emberlens.llm import chat, exact_dedup, queries, sharding
 from tests.oracle import connect, same
@@ -91,6 +92,20 @@ def test_written_shards(spark, tmp_path):
     assert back.count() == 40 and {r[0] for r in back.select("shard_bits").distinct().collect()} == {"b" + r[0] for r in found.select("shard").distinct().collect()}
 
 
+def test_written_shards_keep_null_repeated_and_clashing_rows(spark, tmp_path):
+    rows = [(None, "n" * 90, 1), (None, "n" * 90, 2), (5, "a", 3), (5, "a", 3), (5, "b" * 400, 4), *[(i, "z" * 60, i) for i in range(10, 30)], (7, None, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key long").withColumn("nth", F.lit(0)).withColumn("bytes", F.lit("x"))
+    found = sharding.assign(df, 500)
+    sharding.write_shards(df, found, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(str, back.select("doc_id", "text", "key").collect())) == sorted(map(str, df.select("doc_id", "text", "key").collect()))
+    got = {r[0]: r[1] for r in back.groupBy("shard_bits").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)))).collect()}
+    assert got == {"b" + r["shard"]: r["shard_bytes"] for r in found.collect()}
+    assert len({len(b) for b in got}) >= 2 and max(got.values()) <= 500
+    with pytest.raises(ValueError):
+        sharding.write_shards(df.withColumn("shard_bits", F.lit(1)), found, str(tmp_path / "no"))
+
+
 nasty = st.lists(st.sampled_from([*"<|>\\\nai_é", "im_start", "im_end", "<|im_end|>", "<\\|im_start|>"]), max_size=12).map("".join)
 
 

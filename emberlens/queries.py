@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime
 
@@ -208,11 +210,80 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ndjson.line_counts(ndjson.classify(lines, 2000, keep=())).select("record", "too_long")
 
 
-@_register("record_rendering", "SELECT '{\"a\":' || (event_id % 10) || ',\"z\":\"' || event_type || '\"}' AS line FROM events WHERE event_id % 3 = 0")
+@_register("record_rendering", "SELECT '{\"a\":' || (event_id % 10) || ',\"z\":\"' || event_type || '\"}' AS line FROM events")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _table(spark, sf_dir, "events").where("event_id % 3 = 0")
+    e = _table(spark, sf_dir, "events")
     lines = e.select(F.concat(F.lit('{ "z": "'), F.col("event_type"), F.lit('", "a": '), F.col("event_id") % 10, F.lit("}")).alias("value"))
     return render.record_lines(over_records(ndjson.records(ndjson.classify(lines, keep=())), Query.of())).select("line")
 
 
+_aggregate("agg_percentiles_global", "lineitem", Query.of("l_quantity > 1", "p50(l_extendedprice),p99(l_extendedprice),p25(l_discount),count"),
+           f'SELECT {_rank("l_extendedprice", 50)} AS "p50(l_extendedprice)", {_rank("l_extendedprice", 99)} AS "p99(l_extendedprice)", {_rank("l_discount", 25)} AS "p25(l_discount)", count(*) AS "count" FROM lineitem WHERE l_quantity > 1', digits=9)
+
+
+@_register("time_millis", "SELECT event_id, event_id % 2 = 0 AS in_millis FROM events WHERE epoch_ms(ts) // 1000 BETWEEN epoch(TIMESTAMP '2024-01-01 02:00:00') AND epoch(TIMESTAMP '2024-01-01 09:00:00')")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole seconds of the same instants, as numbers of milliseconds and of seconds in turn."""
+    e = _table(spark, sf_dir, "events")
+    seconds = F.unix_timestamp("ts")
+    stamp = F.when(F.col("event_id") % 2 == 0, seconds * 1000).otherwise(seconds)
+    lines = e.select(F.concat(F.lit('{"id":'), F.col("event_id"), F.lit(',"timestamp":'), stamp, F.lit("}")).alias("value"))
+    query = Query.of(since="2024-01-01T02:00:00Z", until="2024-01-01T09:00:00Z")
+    identity = F.variant_get("v", "$.id", "bigint")
+    found = over_records(ndjson.records(ndjson.classify(lines, keep=())), query).records
+    return found.select(identity.alias("event_id"), (identity % 2 == 0).alias("in_millis"))
+
+
+def _written(lines: DataFrame) -> str:
+    """``lines`` as text files, in the folder that the cluster shares (one of this machine's in tests)."""
+    spark = lines.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    at = f"{(shared or 'file://' + tempfile.gettempdir()).rstrip('/')}/emberlens-{spark.sparkContext.applicationId}/lines-{uuid.uuid4().hex}"
+    lines.write.text(at)
+    return at
+
+
+_FILE_LINES = """CASE event_id % 6 WHEN 0 THEN '{"id":' || event_id || ',"kind":"' || event_type || '"}' || chr(13)
+    WHEN 1 THEN '{"id":' || event_id || ',"pad":"' || repeat('x', CAST(event_id % 400 AS INT)) || '"}'
+    WHEN 2 THEN '  ' WHEN 3 THEN '["' || event_type || '"]' ELSE '{"id":' || event_id || '}' END"""
+
+
+@_register("ndjson_file_scan", f"""WITH l AS (SELECT event_id, {_FILE_LINES} AS value FROM events)
+    SELECT event_id AS id, event_id % 6 = 0 AS has_kind FROM l
+    WHERE (event_id % 6 IN (0, 1) OR event_id % 6 = 4) AND strlen(rtrim(value, chr(13))) <= 200""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text files with carriage returns, blank and long lines, and bytes that are no UTF-8 (every sixth line)."""
+    e = _table(spark, sf_dir, "events")
+    spoilt = F.concat(F.lit('{"id":"'), F.unhex(F.lit("FFFE")).cast("string"), F.lit('"}'))
+    at = _written(e.select(F.when(F.col("event_id") % 6 == 5, spoilt).otherwise(F.expr(_FILE_LINES)).alias("value")))
+    found = over_records(ndjson.read_ndjson(spark, at, 200), Query.of("has id")).records
+    return found.select(F.variant_get("v", "$.id", "bigint").alias("id"), F.try_variant_get("v", "$.kind", "string").isNotNull().alias("has_kind"))
+
+
+_BY_TYPE = Query.of(None, "count,max(user_id)", "event_type")
+
+
+def _rendered(name: str, kind: str, sql: str) -> None:
+    """The lines that a grouped aggregate is printed as. The guard bounds them."""
+
+    @_register(name, sql)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        text = render.aggregation(over_columns(_table(spark, sf_dir, "events"), _BY_TYPE, "event_id"), kind)
+        return spark.createDataFrame([(i, x) for i, x in enumerate(text.splitlines())], "nr long, line string")
+
+
+_GROUPED = "WITH g AS (SELECT event_type AS k, count(*) AS n, max(user_id) AS m, row_number() OVER (ORDER BY event_type) AS r FROM events GROUP BY event_type)"
+_rendered("render_ndjson", "ndjson", _GROUPED + """ SELECT r - 1 AS nr, '{"count":' || n || '.0,"event_type":"' || k || '","max(user_id)":' || m || '.0}' AS line FROM g""")
+_rendered("render_table", "table", _GROUPED + """, w AS (SELECT greatest(10, max(strlen(k))) AS a, greatest(5, max(strlen(n::VARCHAR))) AS b, greatest(12, max(strlen(m::VARCHAR))) AS c FROM g),
+    l AS (SELECT 0 AS nr, 'event_type' AS x, 'count' AS y, 'max(user_id)' AS z UNION ALL SELECT 1, repeat('-', a), repeat('-', b), repeat('-', c) FROM w UNION ALL SELECT r + 1, k, n::VARCHAR, m::VARCHAR FROM g)
+    SELECT CAST(nr AS BIGINT) AS nr, rpad(x, CAST(a AS INT), ' ') || '  ' || rpad(y, CAST(b AS INT), ' ') || '  ' || rpad(z, CAST(c AS INT), ' ') || '  ' AS line FROM l, w""")
+_rendered("render_json", "json", _GROUPED + """, l AS (SELECT 10 * r AS nr, '    {' AS line FROM g UNION ALL SELECT 10 * r + 1, '      "count": ' || n || '.0,' FROM g
+    UNION ALL SELECT 10 * r + 2, '      "event_type": "' || k || '",' FROM g UNION ALL SELECT 10 * r + 3, '      "max(user_id)": ' || m || '.0' FROM g
+    UNION ALL SELECT 10 * r + 4, CASE WHEN r = max(r) OVER () THEN '    }' ELSE '    },' END FROM g
+    UNION ALL SELECT 0, '{' UNION ALL SELECT 1, '  "rows": [' UNION ALL SELECT 1000000, '  ],'
+    UNION ALL SELECT 1000001, '  "truncated": false,' UNION ALL SELECT 1000002, '  "truncated_count": 0' UNION ALL SELECT 1000003, '}')
+    SELECT row_number() OVER (ORDER BY nr) - 1 AS nr, line FROM l""")
+
 QUERIES, ORACLE = _FOUND, _SQL

@@ -24,6 +24,10 @@ _OWN_DIR: list[str] = []
 #: Pairs of id and digest that may be broadcast, of some 60 bytes each.
 BROADCAST_ROWS = 200_000
 
+#: Tables of one row per key that ``looked_up`` broadcasts have this many bytes of values or
+#: fewer; beyond that each key has this many copies.
+BROADCAST_BYTES, SALTS = 32 << 20, 64
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see; a private one only where the session names none and the
@@ -108,3 +112,21 @@ def without(docs: DataFrame, gone: DataFrame, repeated: DataFrame, id_col: str,
         again = again.withColumn(nth, F.row_number().over(Window.partitionBy(quoted(id_col), name).orderBy(F.lit(1))))
         out = out.join(repeated, matches(out, repeated), "left_anti").unionAll(again.where(F.col(nth) == 1).drop(nth))
     return out.drop(name)
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table``, which has one row per ``key``; no task gets a hot key's rows.
+
+    ``table`` is written and measured. Up to ``BROADCAST_ROWS`` rows and ``BROADCAST_BYTES`` bytes
+    it is broadcast. Beyond, every key gets ``SALTS`` copies, and each row goes to the copy
+    that its value of ``spread`` (such as a row number) tells. Null keys match nothing.
+    """
+    table = staged(table, "lookup")
+    bytes_ = F.sum(F.octet_length(F.to_json(F.struct(*table.columns))))
+    n, size = table.agg(F.count(F.lit(1)), F.coalesce(bytes_, F.lit(0))).first()
+    if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(table), key, how)
+    salt = unused(rows, "salt")
+    copies = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    return salted.join(copies.hint("merge"), [key, salt], how).drop(salt)

@@ -32,7 +32,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlens.llm.common import documents, staged, text_or_empty
+from emberlens.llm.common import documents, looked_up, staged, text_or_empty
 
 THRESHOLD, COVERAGE = 0.75, 0.9
 
@@ -239,7 +239,7 @@ def scan(
     each = rows.select("rid", F.explode("notices").alias("notice"))
     size = F.size(F.split("notice", r"\s+"))
     own = (
-        each.join(scored, "notice")
+        looked_up(each, scored, "notice", "rid")
         .groupBy("rid")
         .agg(
             F.min(F.struct((-F.col("score")).alias("worse"), "license")).alias("b"),
@@ -248,7 +248,8 @@ def scan(
         )
         .select("rid", F.col("b.license").alias("own"), (-F.col("b.worse")).alias("own_score"), "licenses", "covered")
     )
-    held = rows.select("rid", F.explode("blocks").alias("notice")).join(score_blocks(rows, threshold), "notice").select("rid", "license", "score", "whole")
+    held = looked_up(rows.select("rid", F.explode("blocks").alias("notice")), score_blocks(rows, threshold), "notice", "rid")
+    held = held.select("rid", "license", "score", "whole")
     spdx = rows.select("rid", F.explode("named").alias("license"), F.lit(1.0).alias("score"), F.lit(False).alias("whole"))
     held = held.union(spdx).groupBy("rid").agg(
         # "All rights reserved." is in many licences.
@@ -277,7 +278,7 @@ def scan(
     given = inherit(whole.where("own is null"), granting)
     basis = F.when(F.col("is_file"), "file").when(F.col("own").isNotNull(), "header").when(F.col("license").isNotNull(), "inherited").otherwise("none")
     mine = F.col("own").isNotNull()
-    return whole.join(given, "dir", "left").select(
+    return looked_up(whole, given, "dir", "rid", "left").select(
         "id",
         "path",
         F.coalesce("own", "license").alias("license"),

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from emberlens.llm import language, licenses, toxicity
+from emberlens.llm import common, language, licenses, toxicity
 
 
 def chain(unary, steps):
@@ -238,6 +238,27 @@ def test_licences(spark):
     assert licenses.scan(df.limit(0), F.col("path")).count() == 0
 
 
+def test_licence_odd_rows(spark, monkeypatch):
+    """Null ids and paths, ties, repeated and very long rows, one directory with most rows; both ways of the lookups."""
+    grant = "Released under the MIT License."
+    tie = "Released under the ISC License.\nReleased under the MIT License."
+    rows = [(None, None, grant), (1, "a/LICENSE", grant), (2, "a/tie", tie), (3, "a/long", "word " * 200_000 + "\n" + grant), (3, "a/long", None)]
+    rows += [(i, f"a/deep/{i}", "no notice") for i in range(10, 210)] + [(10, "a/deep/10", "no notice")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string")
+
+    def found():
+        got = licenses.scan(df, F.col("path")).collect()
+        return sorted((str(r["id"]), r["path"], str(r["license"]), r["basis"], str(r["inherited_from"])) for r in got)
+
+    by_broadcast = found()
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    assert found() == by_broadcast and len(by_broadcast) == len(rows)
+    expected = [("None", "", "MIT", "file", "None"), ("1", "a/LICENSE", "MIT", "file", "None"), ("2", "a/tie", "ISC", "file", "None")]
+    expected += [("3", "a/long", "MIT", "header", "None"), ("3", "a/long", "ISC", "inherited", "a")]
+    expected += [(str(i), f"a/deep/{i}", "ISC", "inherited", "a") for i in [*range(10, 210), 10, 10]]
+    assert by_broadcast == sorted(expected)
+
+
 def test_licence_files_and_wrapped_headers(spark):
     from pathlib import Path
 

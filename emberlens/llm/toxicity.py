@@ -26,11 +26,12 @@ spans, as code point offsets.
 
 Defined results: null and empty texts, and texts without a word, get the score of no toxic
 token and no spans; rows with a null id or label never train; without training rows of both
-classes every score is 0; repeated rows are scored one by one; other columns are ignored.
+classes, or without a word in them, every score is 0; repeated rows are scored one by one; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -154,12 +155,19 @@ def _gradient(slots: np.ndarray, y: np.ndarray, size: np.ndarray, model: Model,
     return by_feature, truth - _expected_steps(ahead, unary + behind, model.steps, later), float(error.sum())
 
 
-_SUMS = "at binary, sums binary, few binary"
+_SUMS = "part bigint, at binary, sums binary, few binary"
 
 
-def _summed(sample: DataFrame, pass_over: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+def _summed(
+    sample: DataFrame, pass_over: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], places: dict[int, np.ndarray]
+) -> tuple[np.ndarray, np.ndarray]:
     """``pass_over`` (slots, document sizes, document labels) gives sums by feature (a row or
-    more of ``SLOTS`` numbers) and a few others for each part of the sample; they are added up."""
+    more of ``SLOTS`` numbers) and a few others for each part of the sample; they are added up.
+
+    A part sends one float32 for each feature that it holds. Which these are it sends only
+    where ``places`` (by a digest of them) does not say yet; what is new is put there.
+    """
+    known = set(places)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [(y, np.frombuffer(x.as_buffer(), np.int32)) for b in batches for y, x in zip(b.column(0).to_pylist(), b.column(1))]
@@ -168,23 +176,30 @@ def _summed(sample: DataFrame, pass_over: Callable[[np.ndarray, np.ndarray, np.n
         slots = np.concatenate([x for _, x in rows]).reshape(-1, len(PREFIXES) + 1)
         size = np.array([len(x) // slots.shape[1] for _, x in rows])
         sums, few = pass_over(slots, size, np.array([y == 1 for y, _ in rows]))
-        at = np.flatnonzero(np.atleast_2d(sums).any(0)).astype(np.int32)
-        blobs = (at, np.ascontiguousarray(np.atleast_2d(sums)[:, at], float), np.asarray(few, float))
-        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in blobs], ["at", "sums", "few"])
+        at = np.flatnonzero(np.bincount(slots.ravel(), minlength=SLOTS)).astype(np.int32)
+        part = int.from_bytes(hashlib.blake2b(at.tobytes(), digest_size=8).digest(), "little", signed=True)
+        held = np.ascontiguousarray(np.atleast_2d(sums)[:, at], np.float32)
+        blobs = (None if part in known else at.tobytes(), held.tobytes(), np.asarray(few, float).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([part]), *[pa.array([x], pa.binary()) for x in blobs]], ["part", "at", "sums", "few"])
 
     # Bounded: TASKS rows of at most SLOTS numbers.
     total, others = np.zeros(0), np.zeros(0)
     for r in sample.mapInArrow(run, _SUMS).collect():
-        at, few = np.frombuffer(bytes(r["at"]), np.int32), np.frombuffer(bytes(r["few"]))
+        if r["at"] is not None:
+            places[r["part"]] = np.frombuffer(bytes(r["at"]), np.int32)
+        at, few = places[r["part"]], np.frombuffer(bytes(r["few"]))
         if not len(others):
-            total, others = np.zeros((len(r["sums"]) // 8 // max(1, len(at)) or 1, SLOTS)), np.zeros(len(few))
+            others = np.zeros(len(few))
         if len(at):
-            total[:, at] += np.frombuffer(bytes(r["sums"])).reshape(-1, len(at))
+            held = np.frombuffer(bytes(r["sums"]), np.float32).reshape(-1, len(at))
+            if not len(total):
+                total = np.zeros((len(held), SLOTS))
+            total[:, at] += held
         others += few
-    return total, others
+    return (total if len(total) else np.zeros((1, SLOTS))), others
 
 
-def _fit_field(sample: DataFrame, marked: np.ndarray) -> Model | None:
+def _fit_field(sample: DataFrame, marked: np.ndarray, places: dict[int, np.ndarray]) -> Model | None:
     """Maximum conditional likelihood by AdaGrad, every step over the whole sample."""
     context = sample.sparkSession.sparkContext
     marks, stretch = context.broadcast(marked), STRETCH
@@ -195,7 +210,7 @@ def _fit_field(sample: DataFrame, marked: np.ndarray) -> Model | None:
     def count(slots: np.ndarray, size: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(SLOTS), np.array([labels(slots, size, toxic).sum(), len(slots)])
 
-    few = _summed(sample, count)[1]
+    few = _summed(sample, count, places)[1]
     if not len(few) or not few[1]:
         return None
     model = Model(np.zeros(SLOTS, np.float32), np.zeros(3), float(np.log((few[0] + 1) / (few[1] - few[0] + 1))), np.zeros(4))
@@ -207,7 +222,7 @@ def _fit_field(sample: DataFrame, marked: np.ndarray) -> Model | None:
             by_feature, by_step, bias = _gradient(slots, labels(slots, size, toxic), size, now.value, stretch)
             return by_feature, np.r_[by_step, bias]
 
-        grad, others = _summed(sample, gradient)
+        grad, others = _summed(sample, gradient, places)
         now.destroy()
         grad = grad[0] - RIDGE * few[1] * weights
         seen_w += grad**2
@@ -272,10 +287,11 @@ def train(
             df[y] = np.bincount(seen[toxic[seen // SLOTS] == bool(y)] % SLOTS, minlength=SLOTS)
         return df, np.array([toxic.sum(), (~toxic).sum()])
 
-    df, number = _summed(sample, frequencies)
-    if not len(number) or number.min() < 1:
+    places: dict[int, np.ndarray] = {}
+    df, number = _summed(sample, frequencies, places)
+    if not len(number) or number.min() < 1 or len(df) < 2:
         return None
-    model = _fit_field(sample, _marked(df[1], df[0], int(number[0]), int(number[1])))
+    model = _fit_field(sample, _marked(df[1], df[0], int(number[0]), int(number[1])), places)
     if model is None:
         return None
     fitted = sample.sparkSession.sparkContext.broadcast(model)

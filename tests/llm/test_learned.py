@@ -238,6 +238,31 @@ def test_licences(spark):
     assert licenses.scan(df.limit(0), F.col("path")).count() == 0
 
 
+def test_toxicity_without_a_word_to_learn_from(spark):
+    docs = spark.createDataFrame([(1, "!"), (2, None), (3, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    assert toxicity.train(docs, labels) is None
+    assert [r["score"] for r in toxicity.score(docs, None).collect()] == [0.0] * 3
+
+
+def test_sums_are_the_same_when_places_are_known(spark):
+    """Parts send the places of their features once; with or without, sums are those of all rows."""
+    rng = np.random.default_rng(5)
+    width = len(toxicity.PREFIXES) + 1
+    blobs = [(i % 2, rng.integers(0, 50, (n, width), dtype=np.int32)) for i, n in enumerate([3, 0, 7, 1, 12])]
+    sample = spark.createDataFrame([(y, bytearray(x.tobytes())) for y, x in blobs], "y int, slots binary")
+
+    def counts(slots, size, toxic):
+        return np.bincount(slots.ravel(), minlength=toxicity.SLOTS), np.array([len(slots), toxic.sum()])
+
+    places = {}
+    first = toxicity._summed(sample, counts, places)
+    again = toxicity._summed(sample, counts, places)
+    whole = np.bincount(np.concatenate([x.ravel() for _, x in blobs]), minlength=toxicity.SLOTS)
+    assert places and (first[0][0] == whole).all() and (again[0][0] == whole).all()
+    assert first[1].tolist() == again[1].tolist() == [23, 2]
+
+
 def test_licence_odd_rows(spark, monkeypatch):
     """Null ids and paths, ties, repeated and very long rows, one directory with most rows; both ways of the lookups."""
     grant = "Released under the MIT License."

@@ -35,7 +35,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlens.llm.common import documents, text_or_empty
+from emberlens.llm.common import documents, mapped, text_or_empty
 
 #: Words and chunks kept per worker; when full, a memo starts anew.
 MEMO = 200_000
@@ -264,7 +264,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, ids array<int>")
+    return mapped(rows, run, f"id {kind}, ids array<int>")
 
 
 def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -283,7 +283,7 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return mapped(rows, run, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def op7_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:

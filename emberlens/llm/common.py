@@ -28,6 +28,11 @@ BROADCAST_ROWS = 200_000
 #: fewer; beyond that each key has this many copies.
 BROADCAST_BYTES, SALTS = 32 << 20, 64
 
+#: Rows go to Python in Arrow batches of about this many bytes (a longer row is a batch of its
+#: own); both the executor's JVM and the worker hold a batch, in and out.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see; a private one only where the session names none and the
@@ -75,6 +80,18 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def mapped(rows: DataFrame, run: Callable, schema: StructType | str) -> DataFrame:
+    """``rows.mapInArrow(run, schema)`` in batches of about ``BATCH_BYTES``.
+
+    Spark reads the limit from the session when the plan runs, so it is set there and stays;
+    one that the session names already is kept.
+    """
+    conf = rows.sparkSession.conf
+    if _BATCH not in conf.getAll:
+        conf.set(_BATCH, BATCH_BYTES)
+    return rows.mapInArrow(run, schema)
+
+
 def beside(docs: DataFrame, text: Column, run: Callable, kind: str, name: str) -> DataFrame:
     """All columns of ``docs`` and one more, called ``name``, that ``run`` puts in place of ``text``.
 
@@ -84,7 +101,7 @@ def beside(docs: DataFrame, text: Column, run: Callable, kind: str, name: str) -
     given = docs.select(text.alias("text"), *[F.col(quoted(c)).alias(f"k{i}") for i, c in enumerate(docs.columns)])
     given = given.select(*numbered.columns, "text")
     schema = StructType([*numbered.schema.fields, StructField(name, DataType.fromDDL(kind))])
-    return given.mapInArrow(run, schema).toDF(*docs.columns, name)
+    return mapped(given, run, schema).toDF(*docs.columns, name)
 
 
 def quoted(name: str) -> str:

@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlens.llm.common import beside, crc_mod, documents, text_or_empty
+from emberlens.llm.common import beside, crc_mod, documents, mapped, text_or_empty
 from emberlens.llm.textvec import FOLD, LETTER, groups, words
 
 SLOTS = 1 << 16
@@ -74,7 +74,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             yield pa.RecordBatch.from_arrays(cols, ["lang", "slot", "n"])
 
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), text_or_empty(text_col).alias("text"))
-    found = rows.mapInArrow(count, "lang string, slot int, n bigint").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
+    found = mapped(rows, count, "lang string, slot int, n bigint").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(found["lang"].unique())
     table = np.zeros((SLOTS, len(langs)))
     for i, one in enumerate(langs):

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from emberlens.llm.common import documents, quoted, staged, text_or_empty, without
+from emberlens.llm.common import documents, mapped, quoted, staged, text_or_empty, without
 from emberlens.llm.graph import SMALL, linked, main_parts
 from emberlens.llm.textvec import GROUP_BYTES, flat, groups, hashes, mix, shingles, words
 
@@ -231,7 +231,7 @@ def verifier(own: DataFrame, threshold: float) -> Callable[[DataFrame], DataFram
         copies = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part")
         hubs = hubs.select(F.col("rid").alias("a"), copies, F.col("text").alias("text_a"))
         p = p.join(hubs, ["a", "part"]).select("a", "b", "text_a", "text_b")
-        return p.mapInArrow(_verify, "a bigint, b bigint, sim double").where(F.col("sim") >= threshold).select("a", "b")
+        return mapped(p, _verify, "a bigint, b bigint, sim double").where(F.col("sim") >= threshold).select("a", "b")
 
     return verify
 
@@ -262,7 +262,7 @@ def bounded(own: DataFrame, threshold: float) -> Callable[[DataFrame], list[Call
 
     def within(groups: DataFrame) -> list[Callable[[DataFrame], DataFrame]]:
         texts = own.join(groups.select(F.col("node").alias("rid")).distinct(), "rid").select("rid", "text")
-        bagged = staged(texts.mapInArrow(_bag_rows, "node bigint, shingle bigint, n bigint, size bigint"), "bags")
+        bagged = staged(mapped(texts, _bag_rows, "node bigint, shingle bigint, n bigint, size bigint"), "bags")
         # Shingles of one node need no join, and those of many nodes are only summed.
         spread = bagged.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), F.min(F.struct("node", "n")).alias("one"))
         spread = staged(spread.where(F.col("df") <= SMALL), "spread")
@@ -311,7 +311,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = _texts(docs, id_col, text_col)
     rows = texts.select(F.monotonically_increasing_id().alias("rid"), "id", "exact", "text")
     kind = docs.schema[id_col].dataType.simpleString()
-    signed = staged(rows.mapInArrow(_sign, f"rid bigint, id {kind}, exact bigint, d1 bigint, d2 bigint, bands array<bigint>"), "signed")
+    signed = staged(mapped(rows, _sign, f"rid bigint, id {kind}, exact bigint, d1 bigint, d2 bigint, bands array<bigint>"), "signed")
 
     # Equal word sequences become one node, the least row number.
     same = signed.groupBy("d1", "d2").agg(F.min("rid").alias("node"), F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlens.llm.bpe import byte_letters
-from emberlens.llm.common import documents, text_or_empty
+from emberlens.llm.common import documents, mapped, text_or_empty
 
 SEQUENCE, SEGMENTS, LOSS, TERMINATOR = 1024, 256, 1024, 0
 WAITING, MEMO = 256, 300_000
@@ -256,7 +256,7 @@ def pack(
     kind = docs.schema[id_col].dataType.simpleString()
     spans = (F.lit(None) if loss_col is None else F.col(loss_col)).cast("array<struct<start:bigint,end:bigint>>")
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"), spans.alias("spans"))
-    return rows.mapInArrow(run, f"id {kind}, {_PIECES if keep_ids else _PIECES.removesuffix(', ids binary')}")
+    return mapped(rows, run, f"id {kind}, {_PIECES if keep_ids else _PIECES.removesuffix(', ids binary')}")
 
 
 def op2_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

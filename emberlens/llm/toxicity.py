@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlens.llm.common import beside, crc_mod, documents, staged, text_or_empty
+from emberlens.llm.common import beside, crc_mod, documents, mapped, staged, text_or_empty
 from emberlens.llm.textvec import groups, hashes, words
 
 MOST_TOXIC, MOST_CLEAN = 1500, 2000
@@ -184,7 +184,7 @@ def _summed(
 
     # Bounded: TASKS rows of at most SLOTS numbers.
     total, others = np.zeros(0), np.zeros(0)
-    for r in sample.mapInArrow(run, _SUMS).collect():
+    for r in mapped(sample, run, _SUMS).collect():
         if r["at"] is not None:
             places[r["part"]] = np.frombuffer(bytes(r["at"]), np.int32)
         at, few = places[r["part"]], np.frombuffer(bytes(r["few"]))
@@ -278,7 +278,7 @@ def train(
                 blobs = [x.tobytes() for x in np.split(slots, np.cumsum(n)[:-1])]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(blobs, pa.binary())], ["y", "slots"])
 
-    sample = staged(rows.mapInArrow(extract, "y int, slots binary"), "sample")
+    sample = staged(mapped(rows, extract, "y int, slots binary"), "sample")
 
     def frequencies(slots: np.ndarray, size: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         doc, df = np.repeat(np.arange(len(size)), size), np.zeros((2, SLOTS))
@@ -307,7 +307,7 @@ def train(
                 yield pa.RecordBatch.from_pylist([{"y": y, "x0": x[0], "x1": x[1], "x2": x[2]}], pa.schema([("y", pa.int32()), *[(f"x{k}", pa.float64()) for k in range(3)]]))
 
     # Bounded: four numbers for each document of the sample.
-    known = sample.mapInArrow(summaries, "y int, x0 double, x1 double, x2 double").toArrow()
+    known = mapped(sample, summaries, "y int, x0 double, x1 double, x2 double").toArrow()
     y, x = known.column(0).to_numpy() == 1, np.stack([known.column(k).to_numpy() for k in (1, 2, 3)], 1)
     share = np.where(y, totals[1] / number[0], totals[0] / number[1])
     document = _fit_documents(x, y.astype(float), share * len(y) / share.sum())

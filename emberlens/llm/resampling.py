@@ -42,11 +42,12 @@ def words(text: Column) -> Column:
 
 def runs(found: Column, longest: int) -> Column:
     """All runs of 1 to ``longest`` consecutive words of an array, joined by one space."""
-    kinds = [found]
-    for n in range(2, longest + 1):
+
+    def of(n: int) -> Column:
         starts = F.when(F.size(found) >= n, F.sequence(F.lit(1), F.size(found) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        kinds.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(found, i, n), " ")))
-    return kinds[0] if len(kinds) == 1 else F.flatten(F.array(*kinds))
+        return F.transform(starts, lambda i: F.array_join(F.slice(found, i, n), " "))
+
+    return found if longest == 1 else F.flatten(F.array(found, *map(of, range(2, longest + 1))))
 
 
 def featured(docs: DataFrame, text_col: str, longest: int, keep: dict[str, Column]) -> DataFrame:

@@ -1,0 +1,70 @@
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter
+
+from emberlens.llm import queries, resampling
+from tests.oracle import connect
+
+
+def words(text):
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+
+
+def runs(found, longest):
+    return [" ".join(found[i : i + n]) for n in range(1, longest + 1) for i in range(len(found) - n + 1)]
+
+
+def bucket(feature):
+    return zlib.crc32(feature.encode()) % 10_000
+
+
+def plain(docs, target, longest=1, percent=10, least=20):
+    s, t = (Counter(bucket(f) for x in side for f in runs(words(x), longest)) for side in ([x for _, x in docs], target))
+    S, T = sum(s.values()), sum(t.values())
+    gain = {b: math.floor(1000 * math.log((t[b] + 1) * (S + 10_000) / ((s[b] + 1) * (T + 10_000)))) for b in s | t}
+    rows = []
+    for doc, x in docs:
+        features = runs(words(x), longest)
+        h = int(hashlib.sha256(f"2024:{'' if doc is None else doc}".encode()).hexdigest()[:8], 16)
+        weight = sum(gain[bucket(f)] for f in features)
+        rows.append((doc, len(features), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), len(words(x)) >= least))
+    able = sorted((r for r in rows if r[4]), key=lambda r: (-r[3], r[0] is None, r[0] or 0))
+    rank = {id(r): i + 1 for i, r in enumerate(able[: percent * len(able) // 100])}
+    return sorted(((*r[:4], rank.get(id(r))) for r in rows), key=str)
+
+
+def found(spark, docs, target, **more):
+    rows = [(i, x, 1, 2, 3, 4) for i, x in docs]
+    df = spark.createDataFrame(rows, "doc_id long, text string, bucket long, rid long, able boolean, n long".replace("boolean", "long"))
+    out = resampling.resampled(df, spark.createDataFrame([(x,) for x in target], "text string"), **more)
+    return sorted(map(tuple, out.collect()), key=str)
+
+
+DOCS = [(i, " ".join(f"w{(i * k) % (7 + i % 90)}" for k in range(i % 60)) + (" Été x×y" if i % 5 == 0 else "")) for i in range(400)]
+TARGET = ["w1 w2 W3 w4, w5.w6", None, "", "w80 w81"]
+
+
+def test_against_a_plain_version(spark):
+    assert found(spark, DOCS, TARGET) == plain(DOCS, TARGET)
+
+
+def test_longer_runs_and_other_shares(spark):
+    assert found(spark, DOCS, TARGET, longest=3, percent=37, least=5) == plain(DOCS, TARGET, 3, 37, 5)
+
+
+def test_odd_rows(spark):
+    long = "Word " * 50_000
+    odd = [(None, "a " * 30), (1, None), (2, ""), (3, "..."), (4, long), (5, "x\u0000y " * 20), (6, "a " * 30), (6, "a " * 30), *DOCS[:50]]
+    for target in (TARGET, []):
+        assert found(spark, odd, target) == plain(odd, target)
+    assert found(spark, [], TARGET) == []
+
+
+def test_query_against_duckdb(spark, sf):
+    name = "op13_importance_resampling"
+    mine, other = queries.QUERIES[name](spark, sf).toPandas(), connect(sf).sql(queries.ORACLE[name]).df()
+    tidy = [x.fillna(-1).astype("int64")[sorted(mine.columns)].sort_values("doc_id").reset_index(drop=True) for x in (mine, other)]
+    assert tidy[0].equals(tidy[1]) and (tidy[0]["rank"] > 0).sum() > 0

@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
@@ -92,16 +94,22 @@ def mapped(rows: DataFrame, run: Callable, schema: StructType | str) -> DataFram
     return rows.mapInArrow(run, schema)
 
 
-def beside(docs: DataFrame, text: Column, run: Callable, kind: str, name: str) -> DataFrame:
-    """All columns of ``docs`` and one more, called ``name``, that ``run`` puts in place of ``text``.
+def beside(docs: DataFrame, text_col: str, run: Callable, kind: str, name: str) -> DataFrame:
+    """All columns of ``docs`` and one more, called ``name``, that ``run`` puts in place of the text.
 
-    ``run`` maps Arrow batches; columns go through it under numbers, so theirs may have any name.
+    ``run`` maps Arrow batches whose last column is the text, null as the empty one; it is added
+    in the worker, so texts are sent once. Columns go through under numbers, so theirs may have
+    any name.
     """
     numbered = docs.toDF(*[f"k{i}" for i in range(len(docs.columns))])
-    given = docs.select(text.alias("text"), *[F.col(quoted(c)).alias(f"k{i}") for i, c in enumerate(docs.columns)])
-    given = given.select(*numbered.columns, "text")
+    at = docs.columns.index(text_col)
+
+    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.append_column("text", pc.fill_null(b.column(at), "") if b.column(at).null_count else b.column(at))
+
     schema = StructType([*numbered.schema.fields, StructField(name, DataType.fromDDL(kind))])
-    return mapped(given, run, schema).toDF(*docs.columns, name)
+    return mapped(numbered, lambda batches: run(filled(batches)), schema).toDF(*docs.columns, name)
 
 
 def quoted(name: str) -> str:

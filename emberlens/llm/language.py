@@ -177,7 +177,7 @@ def answered(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
             answer = pa.StructArray.from_arrays(made, ["lang_pred", "score", "languages", "proportions"])
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], answer], [*b.schema.names[:-1], name])
 
-    return beside(docs, text_or_empty(text_col), run, _ANSWER, name)
+    return beside(docs, text_col, run, _ANSWER, name)
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -45,6 +45,8 @@ from emberlens.llm.textvec import groups, hashes, words
 
 MOST_TOXIC, MOST_CLEAN = 1500, 2000
 TASKS, STRETCH = 8, 256
+#: Bytes of slots that a pass over the sample works on at a time.
+AT_ONCE = 4 << 20
 PREFIXES = (4, 5, 6, 7, 8)
 SLOTS = 1 << 19
 SURE, RATIO, LEAST = 20.0, 8.0, 3
@@ -155,6 +157,19 @@ def _gradient(slots: np.ndarray, y: np.ndarray, size: np.ndarray, model: Model,
     return by_feature, truth - _expected_steps(ahead, unary + behind, model.steps, later), float(error.sum())
 
 
+def _documents(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Labels, slots and sizes of groups of documents ``y, slots``, of about ``AT_ONCE`` bytes (a longer one alone)."""
+    width = len(PREFIXES) + 1
+    y, blobs = batch.column(0).to_numpy(zero_copy_only=False) == 1, batch.column(1)
+    size = np.array([len(x.as_buffer()) for x in blobs], np.int64)
+    at, lo = np.r_[0, np.cumsum(size)], 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + AT_ONCE, side="right")) - 1)
+        slots = np.frombuffer(b"".join(x.as_buffer() for x in blobs[lo:hi]), np.int32).reshape(-1, width)
+        yield y[lo:hi], slots, size[lo:hi] // (4 * width)
+        lo = hi
+
+
 _SUMS = "part bigint, at binary, sums binary, few binary"
 
 
@@ -162,24 +177,28 @@ def _summed(
     sample: DataFrame, pass_over: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], places: dict[int, np.ndarray]
 ) -> tuple[np.ndarray, np.ndarray]:
     """``pass_over`` (slots, document sizes, document labels) gives sums by feature (a row or
-    more of ``SLOTS`` numbers) and a few others for each part of the sample; they are added up.
+    more of ``SLOTS`` numbers) and a few others for a group of documents; they are added up.
 
-    A part sends one float32 for each feature that it holds. Which these are it sends only
+    A task works on groups of about ``AT_ONCE`` bytes, so what it holds does not grow with the
+    part it reads. A part sends one float32 for each feature that it holds. Which these are it sends only
     where ``places`` (by a digest of them) does not say yet; what is new is put there.
     """
     known = set(places)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(y, np.frombuffer(x.as_buffer(), np.int32)) for b in batches for y, x in zip(b.column(0).to_pylist(), b.column(1))]
-        if not rows:
+        sums, few, there = None, None, np.zeros(SLOTS, bool)
+        for b in batches:
+            for y, slots, size in _documents(b):
+                there[slots.ravel()] = True
+                more, others = pass_over(slots, size, y)
+                more = np.atleast_2d(more)
+                sums, few = (more, np.asarray(others, float)) if sums is None else (sums + more, few + others)
+        if sums is None:
             return
-        slots = np.concatenate([x for _, x in rows]).reshape(-1, len(PREFIXES) + 1)
-        size = np.array([len(x) // slots.shape[1] for _, x in rows])
-        sums, few = pass_over(slots, size, np.array([y == 1 for y, _ in rows]))
-        at = np.flatnonzero(np.bincount(slots.ravel(), minlength=SLOTS)).astype(np.int32)
+        at = np.flatnonzero(there).astype(np.int32)
         part = int.from_bytes(hashlib.blake2b(at.tobytes(), digest_size=8).digest(), "little", signed=True)
-        held = np.ascontiguousarray(np.atleast_2d(sums)[:, at], np.float32)
-        blobs = (None if part in known else at.tobytes(), held.tobytes(), np.asarray(few, float).tobytes())
+        held = np.ascontiguousarray(sums[:, at], np.float32)
+        blobs = (None if part in known else at.tobytes(), held.tobytes(), few.tobytes())
         yield pa.RecordBatch.from_arrays([pa.array([part]), *[pa.array([x], pa.binary()) for x in blobs]], ["part", "at", "sums", "few"])
 
     # Bounded: TASKS rows of at most SLOTS numbers.
@@ -347,7 +366,7 @@ def scored(docs: DataFrame, model: Model | None, text_col: str = "text", name: s
             verdict = pa.StructArray.from_arrays([pa.array(scores), pa.array(spans, pa.list_(span))], ["score", "spans"])
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], verdict], [*b.schema.names[:-1], name])
 
-    return beside(docs, text_or_empty(text_col), run, _VERDICT, name)
+    return beside(docs, text_col, run, _VERDICT, name)
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -13,9 +13,13 @@ from emberlens.llm.common import staged
 def components(edges: DataFrame) -> DataFrame:
     """``node, comp`` for every node of ``edges`` (columns ``a, b``); ``comp`` is its least node.
 
-    Each round takes the least label among the neighbours and then the label's own label, so
-    the rounds grow with the logarithm of a component's diameter. Every round is written to
-    the shared folder; the driver sees one sum.
+    Every node points to a node of its component, at first to its least neighbour. In each
+    round (FastSV: Zhang, Azad and Hu, 2020) a node hears the least of what its neighbours'
+    pointers point to; it takes that itself and offers it to the node it points to, and then
+    takes what its pointer pointed to. So whole trees of pointers are hooked at once, and the
+    rounds grow with the logarithm of the number of nodes, on long chains too. Every round is
+    written to the shared folder; the driver sees one sum. When a round changes nothing, both
+    ends of every edge point to the same node, which points to itself.
     """
     both = staged(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("comp")), "labels")
@@ -25,11 +29,14 @@ def components(edges: DataFrame) -> DataFrame:
         if total == before:
             return labels
         before = total
-        heard = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("comp").alias("heard"))
-        moved = heard.join(labels, heard["a"] == labels["node"]).select("node", F.least("heard", "comp").alias("comp"))
         up = labels.select(F.col("node").alias("up"), F.col("comp").alias("higher"))
-        jumped = moved.join(up, moved["comp"] == up["up"], "left").select("node", F.least("comp", F.coalesce("higher", "comp")).alias("comp"))
-        labels = staged(jumped, "labels")
+        high = staged(labels.join(up, labels["comp"] == up["up"]).select("node", "comp", "higher"), "higher")
+        heard = both.join(high.select("node", "higher"), both["b"] == high["node"]).groupBy("a").agg(F.min("higher").alias("heard"))
+        moved = heard.join(high, heard["a"] == high["node"])
+        own = F.struct("node", F.least("higher", "heard").alias("comp"))
+        offer = F.struct(F.col("comp").alias("node"), F.col("heard").alias("comp"))
+        news = moved.select(F.explode(F.when(F.col("heard") < F.col("higher"), F.array(own, offer)).otherwise(F.array(own))).alias("n"))
+        labels = staged(news.groupBy("n.node").agg(F.min("n.comp").alias("comp")), "labels")
 
 
 def merged(found: DataFrame, links: DataFrame) -> DataFrame:

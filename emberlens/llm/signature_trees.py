@@ -322,7 +322,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     every = signed.select("rid", "id", "size").join(copies, "rid", "left").withColumn("node", F.coalesce("node", "rid"))
     every = staged(every.join(found, "node", "left").select("rid", "id", "size", F.coalesce("comp", "node").alias("comp")), "every")
     least = every.groupBy("comp").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return every.join(least, "comp", "left").select(
+    return looked_up(every, least, "comp", "rid", "left").select(
         "id", F.col("size").alias("n_shingles"), F.when(F.col("component_id").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id")
     )
 

@@ -1,5 +1,8 @@
+import itertools
 import random
+import re
 import textwrap
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -217,6 +220,74 @@ def test_language(spark):
     assert language.predict(df, nothing).where("lang_pred != 'und'").count() == 0
 
 
+def plain_language(train, text):
+    """Answer and evidence of one text, by dictionaries, one word and one set of languages at a time."""
+
+    def found(t):
+        out, low = [], bytes(b + 32 if 65 <= b <= 90 else b for b in (t or "").encode())
+        for w in re.findall(rb"[a-z\x80-\xff]+", low):
+            padded = b" " + w + b" "
+            out.append([padded[i : i + 3] for i in range(len(w))])
+        return out
+
+    slot = lambda g: (int.from_bytes(g, "big") * 2654435761 % 2**32) >> 16
+    langs = sorted({lang for _, lang in train})
+    counts, letters = {x: Counter() for x in langs}, Counter()
+    for t, lang in train:
+        for w in found(t):
+            counts[lang].update(map(slot, w))
+            letters.update(b for g in w for b in g)
+    total = {x: sum(c.values()) for x, c in counts.items()}
+    ll = [[sum(np.log((counts[x][slot(g)] + 0.5) / (total[x] + 0.5 * 65536)) for g in w) for x in langs] for w in found(text)]
+
+    def fit(use):
+        p = [1 / len(use)] * len(use)
+        for _ in range(400):
+            shares = []
+            for w in ll:
+                each = [q * np.exp(w[i] - max(w)) for q, i in zip(p, use)]
+                shares.append([e / sum(each) for e in each])
+            p = [sum(s[k] for s in shares) / len(ll) for k in range(len(use))]
+        return p, sum(np.log(sum(q * np.exp(w[i] - max(w)) for q, i in zip(p, use))) + max(w) for w in ll)
+
+    sets = [c for n in range(1, len(langs) + 1) for c in itertools.combinations(range(len(langs)), n)]
+    fits = {c: fit(c) for c in sets}
+    best = max(sets, key=lambda c: fits[c][1] - (len(c) - 1) * 0.5 * np.log(len(ll)))
+    chance = sum(np.log(0.02 / 256 + 0.98 * letters[b] / sum(letters.values())) for w in found(text) for g in w for b in g)
+    top = best[int(np.argmax(fits[best][0]))]
+    return langs[top], fits[sets[-1]][0][top], fits[sets[-1]][1] - chance, [langs[i] for i in best], fits[best][0]
+
+
+def test_language_against_a_plain_version(spark):
+    rnd = random.Random(11)
+    kinds = {"aa": "abcdefg", "bb": "efghijk", "cc": "uvwxyz"}
+    train = [(" ".join(words(rnd, 25, kinds[k])), k) for _ in range(6) for k in kinds]
+    tests = [" ".join(words(rnd, 40, "abcdefg")), " ".join(words(rnd, 30, "abcdefg") + words(rnd, 20, "uvwxyz")), " ".join(words(rnd, 25, "efghijk")), "Ünder ÖL uvw"]
+    model = language.train(spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate(train)], "doc_id long, text string, lang string"))
+    got = language.predict(spark.createDataFrame(list(enumerate(tests)), "doc_id long, text string"), model).collect()
+    for r in got:
+        top, score, evidence, chosen, shares = plain_language(train, tests[r["doc_id"]])
+        assert r["lang_pred"] == top and abs(r["score"] - score) < 0.02 and set(r["languages"]) == set(chosen)
+        assert abs(r["evidence"] - evidence) < 0.01 * abs(evidence) + 0.1
+        assert np.allclose(sorted(r["proportions"]), sorted(shares), atol=0.02)
+
+
+def test_letters_in_random_order_have_no_language(spark, sf):
+    sf = sf.replace("sf0.001", "sf0.01")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rnd = random.Random(8)
+    some = [r["text"] for r in docs.where("n_chars > 300").orderBy("doc_id").limit(20).collect()]
+    scrambled = []
+    for i, text in enumerate(some):
+        letters = [c for c in text if c.isalpha()]
+        rnd.shuffle(letters)
+        left = iter(letters)
+        scrambled.append((20_000 + i, "".join(next(left) if c.isalpha() else c for c in text), None, "s", len(text)))
+    kept = dict(corpus_pipeline.STAGES)["language"](spark, docs.unionByName(spark.createDataFrame(scrambled, docs.schema)), sf)
+    assert kept.where("doc_id >= 20000").count() == 0
+    assert kept.count() == docs.where(F.col("text").rlike(r"\p{L}")).count()
+
+
 def test_licences(spark):
     rows = [
         ("a/LICENSE", "Released under the MIT License."),

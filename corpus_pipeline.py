@@ -15,6 +15,8 @@ from emberlens.llm.common import staged, unused
 
 #: A document goes if its toxicity score is this or more.
 TOXIC = 0.5
+#: A document goes if the log-likelihood of its mixture over the background's is this or less.
+NO_LANGUAGE = -20.0
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +27,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go that have no language: no text, or none with a letter.
+    """Documents go that have no language: no text, none with a letter, or a text whose mixture of
+    the learned languages is beyond doubt worse than letters in random order (``NO_LANGUAGE``).
 
     Where nothing can be learned (no training row with a language), no document goes.
     """
@@ -33,7 +36,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     if not model[0]:
         return docs
     name = unused(docs, "answer")
-    return language.answered(docs, model, name=name).where(F.col(f"{name}.lang_pred") != "und").drop(name)
+    spoken = (F.col(f"{name}.lang_pred") != "und") & (F.col(f"{name}.evidence") > NO_LANGUAGE)
+    return language.answered(docs, model, name=name).where(spoken).drop(name)
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,10 +1,20 @@
 """Grouped aggregates over typed fields, nearest-rank percentiles and the cardinality guard.
 
-Without percentiles a query is one partial and one final hash aggregate. Exact percentiles
-come from the groups' value counts: records are first counted by (keys, field, value), which
-is combined before the shuffle and never gathers a group in memory. Sums over buckets of
-values then tell where the wanted ranks lie, and only the values of those buckets are put in
-order. All other aggregates come from the same counts, so the input is read once.
+Every mode reduces the input to *parts* that can be added up, combined before the shuffle:
+
+* without percentiles, and with sketches (``kll``): a row of counts, sums, bounds and sketches
+  for each key;
+* ``exact`` (the default): counts of the values for each key, from which all else follows;
+* ``sample``: the first kind, and for each key and field the ``capacity`` values whose records
+  have the least hash of their position: a uniform sample that does not depend on the layout,
+  holds everything up to the capacity, and of two samples gives that of both together;
+* ``approx`` has no parts that can be added up: records are read again once the keys are known.
+
+The guard (with an arrival order) admits the first ``limit`` keys. It is found from the parts,
+broadcast (``limit`` rows), and folds the parts of all other keys into one overflow group
+before anything is put in order or kept. So the input is read once, and groups and overflow
+come from the same rows. Parts can be written and added to, as a followed query does: what is
+kept then is ``limit`` groups and the overflow.
 """
 
 from __future__ import annotations
@@ -22,6 +32,8 @@ from emberlens.plans.language import Path, plain_number
 
 DEFAULT_LIMIT, DEFAULT_CAPACITY = 10_000, 10_000
 
+MODES = ("exact", "sample", "kll", "approx")
+
 #: Other names of the functions.
 ALIASES = {"mean": "avg", "median": "p50"}
 _SPEC = re.compile(r"([A-Za-z][A-Za-z0-9.+-]*)\((.*)\)", re.DOTALL)
@@ -77,15 +89,24 @@ def rank(p: float, n: Column) -> Column:
 
 
 def _counts(rows: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
-    """Counts of (keys, field number ``f``, value ``x``). Field 0 counts records."""
-    entry = [F.struct(F.lit(0).alias("f"), F.lit(None).cast("double").alias("x"))]
-    entry += [F.struct(F.lit(i + 1).alias("f"), F.col(f"m{i}").alias("x")) for i in range(len(fields))]
-    each = rows.select(*keys, "pos", F.explode(F.array(*entry)).alias("e")).select(*keys, "pos", "e.f", "e.x").where("f = 0 or x is not null")
+    """Counts of (keys, field number ``f``, value ``x``). Field 1 has every record, with no value if need be."""
+    if len(fields) == 1:
+        each = rows.select(*keys, "pos", F.lit(1).alias("f"), F.col("m0").alias("x"))
+    else:
+        each = _each(rows, keys, fields, "pos").where("f = 1 or x is not null")
     return each.groupBy(*keys, "f", "x").agg(F.count(F.lit(1)).alias("c"), F.min("pos").alias("pos"))
 
 
+def _each(rows: DataFrame, keys: list[str], fields: list[str], *more: str) -> DataFrame:
+    """A row for each field of each record."""
+    entry = F.array(*[F.struct(F.lit(i + 1).alias("f"), F.col(f"m{i}").alias("x")) for i in range(len(fields))])
+    return rows.select(*keys, *more, F.explode(entry).alias("e")).select(*keys, *more, "e.f", "e.x")
+
+
 #: Steps of one doubling of a value: values of a bucket differ by less than 1 in 5,900.
 STEPS = 4096
+#: A bucket of more distinct values than this is split again, into so many parts of its range.
+MOST, SPLITS = 1 << 16, 1 << 16
 
 
 def _bucket(x: Column) -> Column:
@@ -99,72 +120,60 @@ def _same(a: list[str], b: list[str]) -> Column:
     return reduce(lambda x, y: x & y, [F.col(p).eqNullSafe(F.col(q)) for p, q in zip(a, b)])
 
 
-def _from_counts(counted: DataFrame, keys: list[str], wanted: Sequence[AggSpec], fields: list[str]) -> DataFrame:
-    """All aggregates of the groups, from their ``_counts``.
+def _holders(values: DataFrame, at: list[str], whole: list[str], place: Column, below: Column) -> DataFrame:
+    """``values`` (``x, c``) of the buckets ``at`` that hold a wanted place of their ``whole``.
 
-    Ranks are found in two steps, so no task gets all values of a field, however few the
-    groups: the counts of value buckets and their running sums tell which buckets hold the
-    wanted ranks, and only those buckets' values are put in order.
+    ``place`` tells, from ``upto`` (values up to and with the bucket) and ``c`` (in it), whether
+    one is held; ``below`` is what the whole starts from. Adds ``below``, ``low``, ``high``
+    and ``distinct`` of the bucket and keeps ``n``, if it is there, or sets it.
     """
+    n = [F.first("n").alias("n")] if "n" in values.columns else []
+    sums = values.groupBy(*at).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("distinct"), F.min("x").alias("low"), F.max("x").alias("high"), below.alias("below"), *n)
+    group = Window.partitionBy(*whole)
+    running = F.col("below") + F.sum("c").over(group.orderBy(at[-1]).rowsBetween(Window.unboundedPreceding, 0))
+    sums = sums.withColumn("upto", running)
+    if not n:
+        sums = sums.withColumn("n", F.sum("c").over(group))
+    held = sums.where(place).select(*[F.col(k).alias(f"{k}_") for k in at], (F.col("upto") - F.col("c")).alias("below"), "n", "low", "high", "distinct")
+    return values.select(*at, "x", "c").join(held, _same(at, [f"{k}_" for k in at])).drop(*[f"{k}_" for k in at])
 
-    def value(s: AggSpec) -> Column:
-        if s.kind == "count":
-            return F.sum(F.when(F.col("f") == 0, F.col("c")))
-        mine = F.col("f") == fields.index(s.field) + 1
-        x = F.when(mine, F.col("x"))
-        if s.kind in ("min", "max"):
-            return {"min": F.min, "max": F.max}[s.kind](x)
-        total = F.sum(x * F.col("c"))
-        return total if s.kind == "sum" else total / F.sum(F.when(mine, F.col("c")))
-
-    def cast(s: AggSpec, c: Column) -> Column:
-        return c.cast("bigint" if s.kind == "count" else "double")
-
-    # Through a generator, so that the two readers below ask for the same counts and share them.
-    counted = counted.select(F.inline(F.array(F.struct(*counted.columns))))
-    ranked = [s for s in wanted if s.kind == "percentile"]
-    records = F.sum(F.when(F.col("f") == 0, F.col("c")))
-    direct = [cast(s, F.lit(None) if s.kind == "percentile" else value(s)).alias(f"a{i}") for i, s in enumerate(wanted)]
-    groups = counted.groupBy(*keys).agg(*direct, records.alias("records"), F.min("pos").alias("first"))
 
-    numbers = sorted({fields.index(s.field) + 1 for s in ranked})
-    values = counted.where(F.col("f").isin(numbers)).select(*keys, "f", "x", "c", _bucket(F.col("x")).alias("b"))
-    whole = Window.partitionBy(*keys, "f")
-    running = whole.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-    buckets = values.groupBy(*keys, "f", "b").agg(F.sum("c").alias("c"))
-    buckets = buckets.withColumns({"upto": F.sum("c").over(running), "n": F.sum("c").over(whole)})
-    places = [(F.col("f") == fields.index(s.field) + 1) & (F.col("upto") > rank(s.p, F.col("n"))) & (F.col("upto") - F.col("c") <= rank(s.p, F.col("n"))) for s in ranked]
-    held = buckets.where(reduce(lambda a, b: a | b, places))
-    held = held.select(*[F.col(c).alias(f"{c}_") for c in (*keys, "f", "b")], (F.col("upto") - F.col("c")).alias("below"), "n")
-    at = [*keys, "f", "b"]
-    inside = values.join(held, _same(at, [f"{c}_" for c in at]))
-    upto = F.col("below") + F.sum("c").over(Window.partitionBy(*at).orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
-    inside = inside.withColumn("upto", upto)
-    found = []
-    for i, s in enumerate(wanted):
-        here = (F.col("f") == (fields.index(s.field) + 1 if s.field else 0)) & (F.col("upto") > rank(s.p or 0.0, F.col("n")))
-        found.append(cast(s, F.min(F.when(here, F.col("x"))) if s.kind == "percentile" else F.lit(None)).alias(f"a{i}"))
-    inside = inside.groupBy(*keys).agg(*found).withColumn("records", F.lit(None).cast("bigint"))
-    both = groups.unionByName(inside.withColumn("first", F.lit(None).cast(groups.schema["first"].dataType)))
-    ends = [F.max(c).alias(c) for c in (*[f"a{i}" for i in range(len(wanted))], "records", "first")]
-    return both.groupBy(*keys).agg(*ends)
+def _wants(s: AggSpec, fields: list[str]) -> Column:
+    return (F.col("f") == fields.index(s.field) + 1) & (F.col("upto") > rank(s.p, F.col("n")))
 
 
-def _direct(rows: DataFrame, keys: list[str], wanted: Sequence[AggSpec], fields: list[str], mode: str, capacity: int) -> DataFrame:
-    def value(s: AggSpec) -> Column:
-        if s.kind == "count":
-            return F.count(F.lit(1))
-        x = F.col(f"m{fields.index(s.field)}")
-        if s.kind == "percentile":
-            p = min(max(s.p, 0.0), 100.0) / 100.0
-            if mode == "kll":
-                return F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double(x), F.lit(p))
-            return F.percentile_approx(x, p, capacity)
-        return {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}[s.kind](x)
+def _held(values: DataFrame, keys: list[str], ranked: Sequence[AggSpec], fields: list[str]) -> DataFrame:
+    """``values`` (``f, x, c``) of the buckets that hold the percentiles' places, with ``n, below`` and the bucket's ``part``.
 
-    return rows.groupBy(*keys).agg(
-        *[value(s).alias(f"a{i}") for i, s in enumerate(wanted)], F.count(F.lit(1)).alias("records"), F.min("pos").alias("first")
-    )
+    Running sums over buckets of values tell which these are. A bucket of more than ``MOST``
+    distinct values is split by its own range twice: within a bucket numbers differ by one
+    part in 5,900 at most, which leaves fewer than 2 ** 41 of them, and after two splits by
+    2 ** 16 some hundreds. So whatever the values, no bucket has more than ``MOST``.
+    """
+    place = reduce(lambda a, b: a | b, [_wants(s, fields) & (F.col("upto") - F.col("c") <= rank(s.p, F.col("n"))) for s in ranked])
+    numbers = sorted({fields.index(s.field) + 1 for s in ranked})
+    values = values.where(F.col("f").isin(numbers) & F.col("x").isNotNull()).select(*keys, "f", "x", "c", _bucket(F.col("x")).alias("b"))
+    at = [*keys, "f", "b"]
+    inside = _holders(values, at, at[:-1], place, F.lit(0).cast("bigint"))
+    large = inside.where(F.col("distinct") > MOST)
+    done = [inside.where(F.col("distinct") <= MOST).select(*keys, "f", "x", "c", "n", "below", F.lit(0).alias("part"))]
+    for step in range(2):
+        name = f"b{step + 2}"
+        share = (F.col("x") - F.col("low")) / F.when(F.col("high") > F.col("low"), F.col("high") - F.col("low")).otherwise(1.0)
+        split = large.withColumn(name, F.floor(share * SPLITS).cast("bigint"))
+        large = _holders(split, [*at, name], at, place, F.first("below"))
+        at = [*at, name]
+    done.append(large.select(*keys, "f", "x", "c", "n", "below", F.xxhash64(*at[len(keys) + 1 :]).alias("part")))
+    return done[0].unionByName(done[1])
+
+
+def _ranked(values: DataFrame, keys: list[str], wanted: Sequence[AggSpec], fields: list[str]) -> DataFrame:
+    """``keys`` and, under the names a0, a1, ..., the wanted percentiles of ``values``."""
+    inside = _held(values, keys, [s for s in wanted if s.kind == "percentile"], fields)
+    running = Window.partitionBy(*keys, "f", "below", "part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    inside = inside.withColumn("upto", F.col("below") + F.sum("c").over(running))
+    found = [F.min(F.when(_wants(s, fields), F.col("x"))).alias(f"a{i}") for i, s in enumerate(wanted) if s.kind == "percentile"]
+    return inside.groupBy(*keys).agg(*found)
 
 
 class Aggregation:
@@ -187,75 +196,180 @@ class Aggregation:
         percentiles: str = "exact",
         capacity: int = DEFAULT_CAPACITY,
     ) -> None:
-        if percentiles not in ("exact", "approx", "kll"):
+        if percentiles not in MODES:
             raise ValueError(f"unknown percentile mode `{percentiles}`")
         self.names, self.wanted = list(keys), list(dict.fromkeys(wanted))
-        self.percentiles, self.capacity = percentiles, capacity
+        self.capacity = max(1, capacity)
+        self.mode = percentiles if any(s.kind == "percentile" for s in self.wanted) else "none"
         self.limit = max(1, limit) if order is not None and keys else None
         self.measures = list(dict.fromkeys(s.field for s in self.wanted if s.field is not None))
         self.keys = [f"k{i}" for i in range(len(keys))]
+        #: Overflow flag, then the keys: what parts and groups are told apart by.
+        self.by = ["o", *self.keys]
+        if self.mode == "sample":  # lets Spark cut each task's rows before the shuffle, too
+            df.sparkSession.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", self.capacity)
         self.input = df.select(
+            F.lit(False).alias("o"),
             *[c.alias(k) for k, c in zip(self.keys, keys.values())],
             *[fields(dotted(m)).number.alias(f"m{i}") for i, m in enumerate(self.measures)],
             (order if order is not None else F.lit(0)).alias("pos"),
+            *([F.xxhash64(order if order is not None else F.monotonically_increasing_id()).alias("h")] if self.mode == "sample" else []),
         )
 
-    @property
-    def counts_values(self) -> bool:
-        """Whether the groups come from their values' counts."""
-        return self.percentiles == "exact" and any(s.kind == "percentile" for s in self.wanted)
+    # Parts: tables that can be added up, by name.
 
-    @property
-    def state(self) -> DataFrame:
-        """What a followed query keeps: the groups, or their values' counts."""
-        return _counts(self.input, self.keys, self.measures) if self.counts_values else self.groups
+    def _stats(self) -> dict[str, Column]:
+        made: dict[str, Column] = {"records": F.count(F.lit(1)), "pos": F.min("pos")}
+        for i in range(len(self.measures)):
+            x = F.col(f"m{i}")
+            made |= {f"n{i}": F.count(x), f"s{i}": F.sum(x), f"lo{i}": F.min(x), f"hi{i}": F.max(x)}
+            if self.mode == "kll":
+                made[f"q{i}"] = F.kll_sketch_agg_double(x)
+        return made
 
-    def from_state(self, state: DataFrame) -> DataFrame:
-        """The groups of a ``state``."""
-        return _from_counts(state, self.keys, self.wanted, self.measures).where("records > 0") if self.counts_values else state
+    def _least(self, values: DataFrame) -> DataFrame:
+        """Of each group and field the ``capacity`` values of least hash."""
+        place = F.row_number().over(Window.partitionBy(*self.by, "f").orderBy("h", "x"))
+        return values.withColumn("place", place).where(F.col("place") <= self.capacity).drop("place")
 
-    def _aggregate(self, rows: DataFrame, keys: list[str]) -> DataFrame:
-        if self.counts_values:
-            return _from_counts(_counts(rows, keys, self.measures), keys, self.wanted, self.measures)
-        return _direct(rows, keys, self.wanted, self.measures, self.percentiles, self.capacity)
+    def _sampled(self, rows: DataFrame) -> DataFrame:
+        each = _each(rows, self.by, self.measures, "h").where("x is not null")
+        return self._least(each.select(*self.by, "f", "x", F.lit(1).cast("bigint").alias("c"), "h"))
 
     @cached_property
-    def groups(self) -> DataFrame:
-        """Every group, guarded or not."""
-        return self._aggregate(self.input, self.keys).where("records > 0")
+    def parts(self) -> dict[str, DataFrame]:
+        """The input's parts, with all keys; a sample is of the admitted keys and the overflow."""
+        if self.mode == "exact":
+            first = _counts(self.input, self.by, self.measures)
+        else:
+            first = self.input.groupBy(*self.by).agg(*[c.alias(k) for k, c in self._stats().items()])
+        # Through a generator, so that all readers ask for the same columns and share one shuffle.
+        return {"values" if self.mode == "exact" else "stats": first.select(F.inline(F.array(F.struct(*first.columns))))}
+
+    def _admitted(self, *parts: DataFrame) -> DataFrame | None:
+        """The first ``limit`` keys: so many rows at most, broadcast."""
+        if self.limit is None:
+            return None
+        seen = reduce(DataFrame.unionByName, [p.where("not o").select(*self.keys, "pos") for p in parts])
+        first = seen.groupBy(*self.keys).agg(F.min("pos").alias("first")).orderBy("first").limit(self.limit)
+        return F.broadcast(first.select(*[F.col(k).alias(f"{k}_") for k in self.keys], F.lit(True).alias("let")))
+
+    def _folded(self, rows: DataFrame, let: DataFrame | None) -> DataFrame:
+        """``rows`` with all keys that are not admitted made one, the overflow."""
+        if let is None:
+            return rows
+        beside = rows.join(let, _same(self.keys, [f"{k}_" for k in self.keys]), "left")
+        out = F.col("o") | F.col("let").isNull()
+        others = [c for c in rows.columns if c not in self.by]
+        return beside.select(out.alias("o"), *[F.when(~out, F.col(k)).alias(k) for k in self.keys], *others)
+
+    def _combined(self, name: str, parts: DataFrame) -> DataFrame:
+        if name == "values" and self.mode == "sample":
+            return self._least(parts)
+        if name == "values":
+            return parts.groupBy(*self.by, "f", "x").agg(F.sum("c").alias("c"), F.min("pos").alias("pos"))
+        how = {"records": F.sum, "pos": F.min, "n": F.sum, "s": F.sum, "lo": F.min, "hi": F.max, "q": F.kll_merge_agg_double}
+        return parts.groupBy(*self.by).agg(*[how[c.rstrip("0123456789")](c).alias(c) for c in parts.columns if c not in self.by])
+
+    def added(self, before: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+        """The input's parts and those of ``before`` (folded ones, of earlier records) as one: groups and overflow."""
+        own, before = dict(self.parts), before or {}
+        source = "values" if self.mode == "exact" else "stats"
+        let = self._admitted(own[source], *([before[source]] if before else []))
+        if self.mode == "sample":
+            own["values"] = self._sampled(self._folded(self.input, let))
+        found = {}
+        for name, mine in own.items():
+            folded = mine if name != source else self._folded(mine, let)
+            if before:
+                folded = folded.unionByName(before[name])
+            found[name] = self._combined(name, folded) if before or (let is not None and name == source) else folded
+        return found
+
+    # Groups.
+
+    def _from_values(self, values: DataFrame) -> tuple[list[Column], list[Column]]:
+        """Aggregates but percentiles from value counts, and what each group has besides."""
+
+        def value(s: AggSpec) -> Column:
+            if s.kind == "count":
+                return F.sum(F.when(F.col("f") == 1, F.col("c")))
+            mine = F.col("f") == self.measures.index(s.field) + 1
+            x = F.when(mine, F.col("x"))
+            if s.kind in ("min", "max"):
+                return {"min": F.min, "max": F.max}[s.kind](x)
+            total = F.sum(x * F.col("c"))
+            return total if s.kind == "sum" else total / F.sum(F.when(mine & F.col("x").isNotNull(), F.col("c")))
+
+        return [value(s) for s in self.wanted if s.kind != "percentile"], [F.sum(F.when(F.col("f") == 1, F.col("c"))).alias("records"), F.min("pos").alias("first")]
+
+    def _from_stats(self, s: AggSpec) -> Column:
+        if s.kind == "count":
+            return F.col("records")
+        i = self.measures.index(s.field)
+        if s.kind == "percentile":
+            return F.when(F.col(f"n{i}") > 0, F.kll_sketch_get_quantile_double(f"q{i}", F.lit(min(max(s.p, 0.0), 100.0) / 100.0)))
+        return {"sum": F.col(f"s{i}"), "avg": F.col(f"s{i}") / F.col(f"n{i}"), "min": F.col(f"lo{i}"), "max": F.col(f"hi{i}")}[s.kind]
+
+    def groups_of(self, parts: dict[str, DataFrame]) -> DataFrame:
+        """``o``, the keys, ``a0, a1, ...``, ``records`` and ``first`` of folded parts."""
+        kind = lambda s: "bigint" if s.kind == "count" else "double"
+        plain = [(f"a{i}", s) for i, s in enumerate(self.wanted) if self.mode == "kll" or s.kind != "percentile"]
+        if self.mode == "exact":
+            made, more = self._from_values(parts["values"])
+            found = parts["values"].groupBy(*self.by).agg(*[c.cast(kind(s)).alias(a) for (a, s), c in zip(plain, made)], *more)
+        else:
+            found = parts["stats"].select(*self.by, *[self._from_stats(s).cast(kind(s)).alias(a) for a, s in plain], "records", F.col("pos").alias("first"))
+        if self.mode in ("exact", "sample"):
+            ranks = _ranked(parts["values"], self.by, self.wanted, self.measures)
+            # Side by side through one grouping, which takes null keys for equal.
+            both = found.unionByName(ranks, allowMissingColumns=True)
+            names = [*[f"a{i}" for i in range(len(self.wanted))], "records", "first"]
+            found = both.groupBy(*self.by).agg(*[F.max(c).alias(c) for c in names])
+        return found.where("records > 0")
 
     @cached_property
-    def kept(self) -> DataFrame:
-        """The groups that the guard lets through: at most ``limit`` rows, found by top-n per task."""
-        return self.groups if self.limit is None else self.groups.orderBy("first").limit(self.limit)
-
-    def _shown(self, rows: DataFrame, keys: list[Column]) -> DataFrame:
-        return rows.select(*keys, *[F.col(f"a{i}").alias(str(s)) for i, s in enumerate(self.wanted)])
+    def groups(self) -> DataFrame:
+        """The groups that the guard lets through, ``limit`` at most, and the overflow (``o``), if there is one."""
+        if self.mode != "approx":
+            return self.groups_of(self.added())
+        let = self._admitted(self.input)
+
+        def value(s: AggSpec) -> Column:
+            if s.kind == "count":
+                return F.count(F.lit(1))
+            x = F.col(f"m{self.measures.index(s.field)}")
+            if s.kind == "percentile":
+                return F.percentile_approx(x, min(max(s.p, 0.0), 100.0) / 100.0, self.capacity)
+            return {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}[s.kind](x)
+
+        return self._folded(self.input, let).groupBy(*self.by).agg(
+            *[value(s).alias(f"a{i}") for i, s in enumerate(self.wanted)], F.count(F.lit(1)).alias("records"), F.min("pos").alias("first")
+        )
+
+    def shown(self, groups: DataFrame, keys: bool = True, *more: str) -> DataFrame:
+        names = [F.col(k).alias(n) for k, n in zip(self.keys, self.names)] if keys else []
+        return groups.select(*more, *names, *[F.col(f"a{i}").alias(str(s)) for i, s in enumerate(self.wanted)])
 
     @property
     def rows(self) -> DataFrame:
-        found = self._shown(self.kept, [F.col(k).alias(n) for k, n in zip(self.keys, self.names)])
+        found = self.shown(self.groups.where("not o"))
         order = [F.col(f"`{n}`").cast("string").asc_nulls_first() for n in self.names]
         return found.orderBy(*order) if order else found
 
     @property
     def overflow(self) -> DataFrame:
         """One row: the same aggregates over the records of the groups left out; none, if there are none."""
-        if self.limit is None:
-            return self._shown(self.groups.limit(0), [])
-        let = self.kept.select(*[F.col(k).alias(f"_{k}") for k in self.keys])
-        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in self.keys])
-        rest = self.input.join(let, same, "left_anti")
-        return self._shown(self._aggregate(rest, []).where("records > 0"), [])
+        return self.shown(self.groups.where("o"), False)
 
     @property
     def report(self) -> DataFrame:
         """One row: groups kept, and the records and distinct keys left out."""
-        total = self.groups.agg(F.count(F.lit(1)).alias("keys"), F.coalesce(F.sum("records"), F.lit(0)).alias("records"))
-        let = self.kept.agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum("records"), F.lit(0)).alias("let"))
-        return total.join(let).select(
-            "groups",
-            (F.col("records") - F.col("let")).alias("truncated_records"),
-            (F.col("keys") - F.col("groups")).alias("truncated_keys"),
-            (F.col("keys") > F.col("groups")).alias("truncated"),
-        )
+        keys = self.input.select(*self.by, "pos") if self.mode == "approx" else next(iter(self.parts.values()))
+        amount = F.sum(F.when(F.col("f") == 1, F.col("c"))) if self.mode == "exact" else F.count(F.lit(1)) if self.mode == "approx" else F.sum("records")
+        each = keys.groupBy(*self.by).agg(amount.alias("records"))
+        each = self._folded(each.withColumn("every", F.lit(1)), self._admitted(keys))
+        out = lambda c: F.coalesce(F.sum(F.when(F.col("o"), F.col(c))), F.lit(0))
+        return each.agg(
+            F.count_if(~F.col("o")).alias("groups"), out("records").alias("truncated_records"), out("every").cast("bigint").alias("truncated_keys")
+        ).select("*", (F.col("truncated_keys") > 0).alias("truncated"))

@@ -5,7 +5,6 @@
 
 from __future__ import annotations
 
-from copy import copy
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
@@ -91,14 +90,6 @@ class Plan:
             Aggregation(kept, fields, keys, query.aggs, order, query.limit, query.percentiles, query.capacity) if query.aggs else None
         )
 
-    def with_groups(self, groups: DataFrame) -> Plan:
-        """The same plan over groups that are already aggregated, as a stream's batches are."""
-        other = copy(self)
-        other.aggregation = copy(self.aggregation)
-        other.aggregation.__dict__.update(groups=groups)
-        other.aggregation.__dict__.pop("kept", None)
-        return other
-
     @property
     def result(self) -> DataFrame:
         return self.aggregation.rows if self.aggregation else self.records

@@ -8,6 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberlens.operators.aggregate import Aggregation
 from emberlens.plans.engine import WINDOW, Plan
 
 FORMATS = {"table": "table", "json": "json", "ndjson": "ndjson", "jsonl": "ndjson"}
@@ -38,15 +39,23 @@ def _table(names: list[str], keys: int, rows: list[list], left_out: int | None)
 
 
 def aggregation(plan: Plan, kind: str) -> str:
-    """Rows are sorted by the text of their keys; at most ``limit`` of them reach the driver."""
-    result = plan.aggregation
+    """One action: rows, sorted by the text of their keys, and the overflow, ``limit`` + 1 at most."""
+    return groups(plan.aggregation, plan.aggregation.groups, kind)
+
+
+def groups(result: Aggregation, found: DataFrame, kind: str) -> str:
+    """``found``: groups as ``result`` makes them."""
     names, keys = [*result.names, *map(str, result.wanted)], len(result.names)
-    rows = [[*(MISSING if k is None else str(k) for k in r[:keys]), *(None if x is None else float(x) for x in r[keys:])] for r in result.rows.collect()]
+    rows, left_out = [], 0
+    for r in result.shown(found, True, "o", "records").collect():
+        if r[0]:
+            left_out = r[1]
+            continue
+        rows.append([*(MISSING if k is None else str(k) for k in r[2 : 2 + keys]), *(None if x is None else float(x) for x in r[2 + keys :])])
     rows.sort(key=lambda r: r[:keys])
     objects = [dict(zip(names, row)) for row in rows]
     if kind == "ndjson":
         return "".join(json.dumps(o, sort_keys=True, separators=(",", ":"), ensure_ascii=False) + "\n" for o in objects)
-    left_out = result.report.first()["truncated_records"] if result.limit is not None else 0
     if kind == "json":
         whole = {"rows": objects, "truncated": left_out > 0, "truncated_count": left_out}
         return json.dumps(whole, sort_keys=True, indent=2, ensure_ascii=False)

@@ -1,6 +1,8 @@
 import json
 import os
 
+import pytest
+
 from emberlens.plans.engine import Query, over_records
 from emberlens.sources.ndjson import read_ndjson
 from emberlens.sources.tail import _TailReader
@@ -141,3 +143,80 @@ def test_followed_guard_keeps_first_keys_across_rotation(spark, tmp_path):
     finally:
         q.stop()
     assert [json.loads(x)["k"] for x in seen] == ["early", "early"]
+
+
+def test_reader_goes_on_after_a_restart_and_two_rotations(tmp_path):
+    """What was added and rotated away while nothing ran is read: the old file's rest, the one between, the new one."""
+    p = tmp_path / "x.log"
+    p.write_bytes(b"one\ntwo\n")
+    rows, end = reader(p)._read(reader(p).initialOffset(), None)
+    with p.open("ab") as f:
+        f.write(b"three\n")
+    os.rename(p, tmp_path / "x.log.1")
+    p.write_bytes(b"four\nfive\n")
+    os.utime(p, ns=(0, os.stat(tmp_path / "x.log.1").st_mtime_ns + 1000))
+    os.rename(tmp_path / "x.log.1", tmp_path / "x.log.2")
+    os.rename(p, tmp_path / "x.log.1")
+    (tmp_path / "x.log.swp").write_bytes(b"no log\n")
+    p.write_bytes(b"six\n")
+    again, seen, offsets = reader(p), [], [end]
+    while True:
+        more, end = again._read(end, None)
+        if not more:
+            break
+        seen += more
+        offsets.append(end)
+    assert values(seen) == [b"three", b"four", b"five", b"six"] and [x[2] for x in seen] == [0, 1, 1, 2]
+    replayed = [x for a, b in zip(offsets, offsets[1:]) for x in reader(p).readBetweenOffsets(a, b)]
+    assert replayed == seen
+
+
+def test_reader_tells_a_new_file_of_the_same_inode(tmp_path):
+    p = tmp_path / "x.log"
+    p.write_bytes(b"one\ntwo\n")
+    rows, end = reader(p)._read(reader(p).initialOffset(), None)
+    with p.open("r+b") as f:
+        f.write(b"uno\ndos\ntres\n")
+    more, after = reader(p)._read(end, None)
+    assert values(more) == [b"uno", b"dos", b"tres"] and after["gen"] == 1
+
+
+def followed(spark, path, state, query, pieces, restart=False):
+    """What is emitted last, and the counts of lines, after ``pieces`` were added one by one."""
+    seen, counts = [], []
+    running = None
+    for piece in pieces:
+        with open(path, "a") as f:
+            f.write(piece)
+        if running is None or restart:
+            if running is not None:
+                running.stop()
+            running = follow(spark, str(path), query, seen.append, str(state), trigger={"processingTime": "0 seconds"}, counted=counts.append)
+        running.processAllAvailable()
+    running.stop()
+    return seen[-1], counts[-1]
+
+
+@pytest.mark.parametrize("mode", ["exact", "sample", "kll"])
+def test_followed_guard_keeps_bounded_state(spark, tmp_path, mode):
+    """10,000 keys and a limit of 3: four groups are kept, and they are those of a batch."""
+    lines = [json.dumps({"k": f"key{i % 10_000}", "n": i % 7}) + "\n" for i in range(12_000)]
+    pieces = ["".join(lines[:2]), "".join(lines[2:9000]), "bad\n\n" + "".join(lines[9000:])]
+    query = Query.of(agg="count,sum(n),p50(n),max(n)", group_by="k", limit=3, percentiles=mode, capacity=20_000)
+    p = tmp_path / "x.log"
+    last, counts = followed(spark, p, tmp_path / "state", query, pieces, restart=True)
+    assert counts == {"record": 12_000, "blank": 1, "malformed": 1, "too_long": 0}
+    kept = spark.read.parquet(*[str(x) for x in sorted((tmp_path / "state" / "parts").glob("2/[sv]*"))][:1])
+    assert kept.select("o", "k0").distinct().count() == 4
+    batch = over_records(read_ndjson(spark, str(p)), query).aggregation
+    want = {r["k"]: tuple(r)[1:] for r in batch.rows.collect()}
+    got = {r["k"]: (int(r["count"]), r["sum(n)"], r["p50(n)"], r["max(n)"]) for r in map(json.loads, last.splitlines())}
+    assert got == want and set(want) == {"key0", "key1", "key2"}
+    state = {x.name: spark.read.parquet(str(x)) for x in (tmp_path / "state" / "parts" / "2").iterdir() if x.name != "lines"}
+    over = batch.groups_of(state).where("o").first()
+    assert over["records"] == 12_000 - sum(r[0] for r in want.values()) == batch.overflow.first()["count"]
+
+
+def test_follow_refuses_what_it_cannot_keep(spark, tmp_path):
+    with pytest.raises(ValueError, match="exact, sample or kll"):
+        follow(spark, str(tmp_path / "x"), Query.of(agg="p50(n)", percentiles="approx"), print, str(tmp_path / "s"))

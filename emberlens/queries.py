@@ -221,6 +221,18 @@ _aggregate("agg_percentiles_global", "lineitem", Query.of("l_quantity > 1", "p50
            f'SELECT {_rank("l_extendedprice", 50)} AS "p50(l_extendedprice)", {_rank("l_extendedprice", 99)} AS "p99(l_extendedprice)", {_rank("l_discount", 25)} AS "p25(l_discount)", count(*) AS "count" FROM lineitem WHERE l_quantity > 1', digits=9)
 
 
+@_register("agg_percentiles_epoch", "SELECT event_type, " + ", ".join(f"{_rank('ms', p)} AS p{p}" for p in (1, 50, 99)) + " FROM (SELECT event_type, (epoch_us(ts) // 1000)::DOUBLE AS ms FROM events) GROUP BY event_type")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instants as milliseconds: many values, all within a few thousandths of each other."""
+    e = _table(spark, sf_dir, "events").select("event_type", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
+    found = over_columns(e, Query.of(None, "p1(ms),p50(ms),p99(ms)", "event_type")).result
+    return found.toDF("event_type", "p1", "p50", "p99")
+
+
+_aggregate("agg_percentiles_sample", "events", Query.of(None, "count,sum(value),p50(value),p90(value)", "user_id", percentiles="sample"),
+           f'SELECT CAST(user_id AS VARCHAR) AS user_id, count(*) AS "count", round(sum(value), 4) AS "sum(value)", {_rank("value", 50)} AS "p50(value)", {_rank("value", 90)} AS "p90(value)" FROM events GROUP BY user_id')
+
+
 @_register("time_millis", "SELECT event_id, event_id % 2 = 0 AS in_millis FROM events WHERE epoch_ms(ts) // 1000 BETWEEN epoch(TIMESTAMP '2024-01-01 02:00:00') AND epoch(TIMESTAMP '2024-01-01 09:00:00')")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole seconds of the same instants, as numbers of milliseconds and of seconds in turn."""

@@ -1,10 +1,14 @@
 import json
+import math
+import random
+import re
 from datetime import UTC, datetime
 
 import pytest
 
 from emberlens import cli
 from emberlens.functions import times
+from emberlens.operators import aggregate
 from emberlens.operators.aggregate import AggSpec, specs
 from emberlens.plans.engine import Query, over_columns, over_records
 from emberlens.sources import ndjson
@@ -165,3 +169,79 @@ def test_scale(spark, tmp_path):
     assert ndjson.line_counts(lines).first()["malformed"] == 30
     rows = over_records(ndjson.records(lines), Query.of("status >= 500", "count,p99(latency_ms)", "service")).result.collect()
     assert sum(r["count"] for r in rows) == 600 and len(rows) == 7
+
+
+def nearest(values, p):
+    ordered = sorted(values)
+    return ordered[int(min(max(p, 0), 100) / 100 * (len(ordered) - 1) + 0.5)]
+
+
+def test_percentiles_split_any_bucket(spark, monkeypatch):
+    """Milliseconds of a day, numbers beside one outlier, equal numbers, infinities: no bucket stays large."""
+    monkeypatch.setattr(aggregate, "MOST", 64)
+    monkeypatch.setattr(aggregate, "SPLITS", 256)
+    rnd = random.Random(3)
+    day = [1.7e12 + 37 * i for i in range(6000)]
+    groups = {
+        "day": day, "near": [1 + i * 2.0**-52 for i in range(3000)] + [1e300], "same": [5.0] * 500, "few": [2.0, -1.0],
+        "mixed": [rnd.choice([-1, 1]) * 10 ** rnd.uniform(-300, 300) for _ in range(900)] + [0.0] * 40 + [math.inf, -math.inf], "tiny": [i * 5e-324 for i in range(400)],
+    }
+    rows = [(k, v) for k, values in groups.items() for v in values]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, v double")
+    ps = (0, 1, 25, 50, 90, 99.9, 100)
+    plan = over_columns(df, Query.of(agg=",".join(f"p{p}(v)" for p in ps), group_by="k"))
+    got = {r["k"]: list(r)[1:] for r in plan.result.collect()}
+    assert got == {k: [nearest(v, p) for p in ps] for k, v in groups.items()}
+    a = plan.aggregation
+    held = aggregate._held(a.added()["values"], a.by, a.wanted, a.measures)
+    assert held.groupBy(*a.by, "f", "below", "part").count().agg({"count": "max"}).first()[0] <= 64
+
+
+def test_sample_is_exact_up_to_its_capacity(spark):
+    df = spark.range(3000).selectExpr("id i", "cast(id % 3 as string) k", "double(hash(id) % 1000) v", "if(id % 5 = 0, null, double(id)) w")
+    agg = "count,p50(v),p90(v),p99(w),avg(w),min(v)"
+    exact = over_columns(df, Query.of(agg=agg, group_by="k"), "i").result.collect()
+    assert over_columns(df.repartition(7), Query.of(agg=agg, group_by="k", percentiles="sample", capacity=1000), "i").result.collect() == exact
+    one = over_columns(df, Query.of(agg="p50(v),count", percentiles="sample", capacity=200), "i")
+    again = over_columns(df.repartition(5), Query.of(agg="p50(v),count", percentiles="sample", capacity=200), "i")
+    assert one.result.collect() == again.result.collect() and one.aggregation.added()["values"].count() == 200
+    values, found = sorted(r["v"] for r in df.collect()), one.result.first()["p50(v)"]
+    at = sum(v <= found for v in values) / len(values)
+    assert abs(at - 0.5) < 4 * (0.25 / 200) ** 0.5
+
+
+def test_samples_add_up(spark):
+    """Of two halves' samples the sample of the whole."""
+    df = spark.range(4000).selectExpr("id i", "cast(id % 5 as string) k", "double(hash(id)) v")
+    query = Query.of(agg="count,p50(v)", group_by="k", percentiles="sample", capacity=50, limit=2)
+    whole = over_columns(df, query, "i").aggregation
+    first, rest = (over_columns(df.where(x), query, "i").aggregation for x in ("i < 1500", "i >= 1500"))
+    both = rest.groups_of(rest.added(first.added()))
+    assert sorted(map(str, both.collect())) == sorted(map(str, whole.groups.collect()))
+
+
+@pytest.mark.parametrize("mode", ["exact", "sample", "kll", "approx"])
+def test_guard_folds_the_same_in_every_mode(spark, mode):
+    df = spark.range(600).selectExpr("id i", "if(id % 4 = 1, null, concat('k', id % 50)) k", "double(id % 11) v")
+    a = over_columns(df, Query.of(agg="count,sum(v),avg(v),min(v),max(v),p50(v)", group_by="k", limit=3, percentiles=mode), "i").aggregation
+    rows = df.collect()
+    first = list(dict.fromkeys(r["k"] for r in rows))[:3]
+    over = [r["v"] for r in rows if r["k"] not in first]
+    kept = {r["k"]: r["count"] for r in a.rows.collect()}
+    assert kept == {k: sum(r["k"] == k for r in rows) for k in first} and None in kept
+    out = a.overflow.first()
+    assert list(out)[:5] == [len(over), sum(over), sum(over) / len(over), min(over), max(over)] and abs(out["p50(v)"] - nearest(over, 50)) <= 1
+    assert a.report.first().asDict() == {"groups": 3, "truncated_records": len(over), "truncated_keys": len({r["k"] for r in rows}) - 3, "truncated": True}
+
+
+def test_guard_reads_its_input_once(spark, sf):
+    for agg in ("count,sum(value)", "count,p50(value)"):
+        df = spark.read.parquet(f"{sf}/events.parquet")
+        groups = over_columns(df, Query.of(agg=agg, group_by="user_id", limit=20), "event_id").aggregation.groups
+        groups.collect()
+        plan = groups._jdf.queryExecution().executedPlan().toString()
+        final = plan.split("== Initial Plan ==")[0]
+        stages = re.findall(r"(?:ShuffleQueryStage|BroadcastQueryStage) (\d+)", final)
+        scans = len(re.findall(r"Scan parquet", final))
+        assert stages and scans - final.count("ReusedExchange") <= 1, final

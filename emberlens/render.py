@@ -73,10 +73,10 @@ def record_text(df: DataFrame, window: bool = False) -> Column:
     return F.to_json(F.to_variant_object(F.map_concat(members, start)))
 
 
-def record_lines(plan: Plan) -> DataFrame:
-    """``line`` per record, in input order where it is known."""
+def record_lines(plan: Plan, in_order: bool = False) -> DataFrame:
+    """``line`` per record, sorted into input order where that is known and not given already (``in_order``)."""
     df, text = plan.records, record_text(plan.records, plan.query.window is not None)
-    return (df.orderBy("pos") if "pos" in df.columns and not df.isStreaming else df).select(text.alias("line"))
+    return (df.orderBy("pos") if "pos" in df.columns and not in_order and not df.isStreaming else df).select(text.alias("line"))
 
 
 def records(lines: Iterable[str], kind: str) -> Iterable[str]:

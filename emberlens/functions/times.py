@@ -24,6 +24,8 @@ UNITS = {
     "years year yr y": 31557600 * 10**9,
 }
 _NANOS = {name: n for names, n in UNITS.items() for name in names.split()}
+#: Fixed value: what an error says.
+_NO_INSTANT = "`{}` is not a valid RFC3339 timestamp or a duration like `5m`, `2h`, `1d`"
 INSTANT = r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(\.\d{1,9})?Z?$"
 #: Numbers above this are milliseconds, others seconds.
 MILLIS_FROM = 1e12
@@ -62,7 +64,7 @@ def instant(text: str, now: datetime) -> datetime:
     try:
         nanos = duration_nanos(text)
     except TimeError:
-        raise TimeError(f"`{text}` is not a valid RFC3339 timestamp or a duration like `5m`, `2h`, `1d`") from None
+        raise TimeError(_NO_INSTANT.format(text)) from None
     try:
         found = now - timedelta(microseconds=nanos // 1000)
     except OverflowError:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from emberlens import render
 from emberlens.plans.engine import WINDOW, Query, over_columns, over_records
-from emberlens.sources import ndjson
+from emberlens.sources import ndjson, splits
 
 EPS = "2.220446049250313e-16"
 NOW = datetime(2024, 1, 1, 12, tzinfo=UTC)
@@ -274,6 +274,22 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.variant_get("v", "$.id", "bigint").alias("id"), F.try_variant_get("v", "$.kind", "string").isNotNull().alias("has_kind"))
 
 
+_LONG = "event_id % 6 IN (0, 1, 4) AND (strlen(value) > 200 OR event_id = 7)"
+
+
+@_register("ndjson_split_counts", f"""WITH l AS (SELECT event_id, {_FILE_LINES} AS value FROM events)
+    SELECT count(*) FILTER (event_id % 6 IN (0, 1, 4) AND NOT ({_LONG})) AS record, count(*) FILTER (event_id % 6 = 2) AS blank,
+           count(*) FILTER (event_id % 6 IN (3, 5)) AS malformed, count(*) FILTER ({_LONG}) AS too_long FROM l""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lines by byte ranges of 1 MiB; one of them, of 64 MiB, takes no more memory than the others."""
+    e = _table(spark, sf_dir, "events")
+    spoilt = F.concat(F.lit('{"id":"'), F.unhex(F.lit("FFFE")).cast("string"), F.lit('"}'))
+    value = F.when(F.col("event_id") == 7, F.repeat(F.lit("x"), 64 << 20)).when(F.col("event_id") % 6 == 5, spoilt).otherwise(F.expr(_FILE_LINES))
+    at = _written(e.select(value.alias("value")))
+    lines = splits.read_splits(spark, splits.splits(at, 1 << 20), 200)
+    return ndjson.line_counts(ndjson.classify(lines, 200))
+
+
 _BY_TYPE = Query.of(None, "count,max(user_id)", "event_type")
 
 

@@ -14,6 +14,8 @@ from emberlens.plans.engine import WINDOW, Plan
 FORMATS = {"table": "table", "json": "json", "ndjson": "ndjson", "jsonl": "ndjson"}
 #: Shown where a group key is missing or null.
 MISSING = "\0missing"
+#: Fixed value: printed below a table that is not whole.
+_LEFT_OUT = "(warning: group-by cardinality limit reached; {} additional value(s) folded into an overflow bucket)"
 
 
 def output_format(name: str) -> str:
@@ -34,7 +36,7 @@ def _table(names: list[str], keys: int, rows: list[list], left_out: int | None)
     cells.insert(1, ["-" * w for w in widths])
     lines = ["".join(f"{c:<{w}}  " for c, w in zip(r, widths)) for r in cells]
     if left_out:
-        lines += ["", f"(warning: group-by cardinality limit reached; {left_out} additional value(s) folded into an overflow bucket)"]
+        lines += ["", _LEFT_OUT.format(left_out)]
     return "\n".join(lines) + "\n"
 
 

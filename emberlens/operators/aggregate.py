@@ -20,7 +20,8 @@ kept then is ``limit`` groups and the overflow.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import cached_property, reduce
 
@@ -103,10 +104,10 @@ def _each(rows: DataFrame, keys: list[str], fields: list[str], *more: str) -> Da
     return rows.select(*keys, *more, F.explode(entry).alias("e")).select(*keys, *more, "e.f", "e.x")
 
 
-#: Steps of one doubling of a value: values of a bucket differ by less than 1 in 5,900.
-STEPS = 4096
-#: A bucket of more distinct values than this is split again, into so many parts of its range.
-MOST, SPLITS = 1 << 16, 1 << 16
+#: Fine steps of one doubling of a value, and how many of them are a coarse one. A fine bucket
+#: has 2 ** 21 different numbers at most (doubles have 2 ** 52 in a doubling), a coarse one has
+#: ``COARSE`` fine ones, and there are 4,096 coarse ones in a doubling.
+STEPS, COARSE = 1 << 32, 1 << 20
 
 
 def _bucket(x: Column) -> Column:
@@ -120,58 +121,49 @@ def _same(a: list[str], b: list[str]) -> Column:
     return reduce(lambda x, y: x & y, [F.col(p).eqNullSafe(F.col(q)) for p, q in zip(a, b)])
 
 
-def _holders(values: DataFrame, at: list[str], whole: list[str], place: Column, below: Column) -> DataFrame:
-    """``values`` (``x, c``) of the buckets ``at`` that hold a wanted place of their ``whole``.
-
-    ``place`` tells, from ``upto`` (values up to and with the bucket) and ``c`` (in it), whether
-    one is held; ``below`` is what the whole starts from. Adds ``below``, ``low``, ``high``
-    and ``distinct`` of the bucket and keeps ``n``, if it is there, or sets it.
-    """
-    n = [F.first("n").alias("n")] if "n" in values.columns else []
-    sums = values.groupBy(*at).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("distinct"), F.min("x").alias("low"), F.max("x").alias("high"), below.alias("below"), *n)
-    group = Window.partitionBy(*whole)
-    running = F.col("below") + F.sum("c").over(group.orderBy(at[-1]).rowsBetween(Window.unboundedPreceding, 0))
-    sums = sums.withColumn("upto", running)
-    if not n:
-        sums = sums.withColumn("n", F.sum("c").over(group))
-    held = sums.where(place).select(*[F.col(k).alias(f"{k}_") for k in at], (F.col("upto") - F.col("c")).alias("below"), "n", "low", "high", "distinct")
-    return values.select(*at, "x", "c").join(held, _same(at, [f"{k}_" for k in at])).drop(*[f"{k}_" for k in at])
-
-
 def _wants(s: AggSpec, fields: list[str]) -> Column:
     return (F.col("f") == fields.index(s.field) + 1) & (F.col("upto") > rank(s.p, F.col("n")))
 
 
+def _running(rows: DataFrame, group: list[str], by: str) -> DataFrame:
+    """``upto``: ``below`` and the counts of the group's rows up to and with this one."""
+    before = Window.partitionBy(*group).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("upto", F.col("below") + F.sum("c").over(before))
+
+
 def _held(values: DataFrame, keys: list[str], ranked: Sequence[AggSpec], fields: list[str]) -> DataFrame:
-    """``values`` (``f, x, c``) of the buckets that hold the percentiles' places, with ``n, below`` and the bucket's ``part``.
+    """``values`` (``f, x, c``) of the fine buckets ``b`` that hold the percentiles' places, with ``n`` and ``below``.
 
-    Running sums over buckets of values tell which these are. A bucket of more than ``MOST``
-    distinct values is split by its own range twice: within a bucket numbers differ by one
-    part in 5,900 at most, which leaves fewer than 2 ** 41 of them, and after two splits by
-    2 ** 16 some hundreds. So whatever the values, no bucket has more than ``MOST``.
+    Values are counted by fine buckets and these by coarse ones; running sums over a group's
+    coarse buckets tell which hold a place, over their fine ones which of those do. Every sum
+    runs over a number of rows that the buckets bound, however many values a group has and
+    wherever they lie.
     """
     place = reduce(lambda a, b: a | b, [_wants(s, fields) & (F.col("upto") - F.col("c") <= rank(s.p, F.col("n"))) for s in ranked])
     numbers = sorted({fields.index(s.field) + 1 for s in ranked})
     values = values.where(F.col("f").isin(numbers) & F.col("x").isNotNull()).select(*keys, "f", "x", "c", _bucket(F.col("x")).alias("b"))
-    at = [*keys, "f", "b"]
-    inside = _holders(values, at, at[:-1], place, F.lit(0).cast("bigint"))
-    large = inside.where(F.col("distinct") > MOST)
-    done = [inside.where(F.col("distinct") <= MOST).select(*keys, "f", "x", "c", "n", "below", F.lit(0).alias("part"))]
-    for step in range(2):
-        name = f"b{step + 2}"
-        share = (F.col("x") - F.col("low")) / F.when(F.col("high") > F.col("low"), F.col("high") - F.col("low")).otherwise(1.0)
-        split = large.withColumn(name, F.floor(share * SPLITS).cast("bigint"))
-        large = _holders(split, [*at, name], at, place, F.first("below"))
-        at = [*at, name]
-    done.append(large.select(*keys, "f", "x", "c", "n", "below", F.xxhash64(*at[len(keys) + 1 :]).alias("part")))
-    return done[0].unionByName(done[1])
+    group = [*keys, "f"]
+    # Through a generator, so that both readers share one shuffle.
+    fine = values.groupBy(*group, "b").agg(F.sum("c").alias("c"))
+    fine = fine.select(F.inline(F.array(F.struct(*fine.columns)))).withColumn("w", F.floor(F.col("b") / COARSE))
+    coarse = fine.groupBy(*group, "w").agg(F.sum("c").alias("c")).withColumn("below", F.lit(0).cast("bigint"))
+    coarse = _running(coarse, group, "w").withColumn("n", F.sum("c").over(Window.partitionBy(*group))).where(place)
+
+    def named(df: DataFrame, *at: str) -> DataFrame:
+        return df.select(*[F.col(c).alias(f"{c}_") for c in (*group, *at)], (F.col("upto") - F.col("c")).alias("below"), "n")
+
+    def beside(df: DataFrame, held: DataFrame, at: str) -> DataFrame:
+        both = [*group, at]
+        return df.join(held, _same(both, [f"{c}_" for c in both])).select(*df.columns, "below", "n")
+
+    narrow = _running(beside(fine, named(coarse, "w"), "w"), [*group, "w"], "b").where(place)
+    return beside(values, named(narrow, "b"), "b")
 
 
 def _ranked(values: DataFrame, keys: list[str], wanted: Sequence[AggSpec], fields: list[str]) -> DataFrame:
     """``keys`` and, under the names a0, a1, ..., the wanted percentiles of ``values``."""
     inside = _held(values, keys, [s for s in wanted if s.kind == "percentile"], fields)
-    running = Window.partitionBy(*keys, "f", "below", "part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    inside = inside.withColumn("upto", F.col("below") + F.sum("c").over(running))
+    inside = _running(inside, [*keys, "f", "b"], "x")
     found = [F.min(F.when(_wants(s, fields), F.col("x"))).alias(f"a{i}") for i, s in enumerate(wanted) if s.kind == "percentile"]
     return inside.groupBy(*keys).agg(*found)
 
@@ -246,6 +238,23 @@ class Aggregation:
         # Through a generator, so that all readers ask for the same columns and share one shuffle.
         return {"values" if self.mode == "exact" else "stats": first.select(F.inline(F.array(F.struct(*first.columns))))}
 
+    @contextmanager
+    def held(self) -> Iterator[None]:
+        """Parts kept on the executors (on their disks, if need be) while the groups are collected.
+
+        Spark shares the shuffle of parts between their readers where it can tell that these
+        read the same source, which it cannot for data sources in Python.
+        """
+        if self.mode == "approx":
+            yield
+            return
+        self.__dict__["parts"] = {name: part.persist() for name, part in self.parts.items()}
+        try:
+            yield
+        finally:
+            for part in self.parts.values():
+                part.unpersist()
+
     def _admitted(self, *parts: DataFrame) -> DataFrame | None:
         """The first ``limit`` keys: so many rows at most, broadcast."""
         if self.limit is None:

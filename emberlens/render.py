@@ -41,8 +41,9 @@ def _table(names: list[str], keys: int, rows: list[list], left_out: int | None)
 
 
 def aggregation(plan: Plan, kind: str) -> str:
-    """One action: rows, sorted by the text of their keys, and the overflow, ``limit`` + 1 at most."""
-    return groups(plan.aggregation, plan.aggregation.groups, kind)
+    """Rows, sorted by the text of their keys, and the overflow, ``limit`` + 1 at most; the input is read once."""
+    with plan.aggregation.held():
+        return groups(plan.aggregation, plan.aggregation.groups, kind)
 
 
 def groups(result: Aggregation, found: DataFrame, kind: str) -> str:

@@ -33,7 +33,7 @@ KEPT = 3
 def followed(spark: SparkSession, path: str, max_line_bytes: int = ndjson.DEFAULT_MAX_LINE_BYTES, budget: int = BUDGET) -> DataFrame:
     """Classified lines of a followed file, with ``pos``."""
     lines = read_tail(spark, path, max_line_bytes, budget)
-    placed = lines.withColumn("pos", F.struct("gen", "at"))
+    placed = lines.withColumn("pos", F.shiftleft("gen", 44).bitwiseOR(F.col("at")))
     return ndjson.classify(placed, max_line_bytes)
 
 

@@ -59,7 +59,7 @@ def _query(a: argparse.Namespace, spark: SparkSession) -> tuple[Query, str]:
 
 
 def _session() -> SparkSession:
-    return SparkSession.builder.appName(NAME).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+    return SparkSession.builder.appName(NAME).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.python.sql.dataFrameDebugging.enabled", "false").getOrCreate()
 
 
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> int:

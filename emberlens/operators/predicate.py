@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from emberlens.functions.fields import Field
-from emberlens.functions.patterns import to_java
+from emberlens.functions.patterns import matches
 from emberlens.plans.language import And, Compare, Contains, Everything, Expr, Has, Matches, Not, Or, Path
 
 #: Numbers are equal when they differ by less than this.
@@ -51,7 +51,7 @@ def compile_predicate(expr: Expr, fields: Callable[[Path], Field]) -> Column:
         case Compare(path, op, value):
             return _two_valued(_compare(fields(path), op, value))
         case Matches(path, pattern):
-            return _two_valued(fields(path).text.rlike(to_java(pattern)))
+            return _two_valued(matches(fields(path).text, pattern))
         case Contains(path, needle):
             return _two_valued(F.contains(fields(path).text, F.lit(needle)))
     raise TypeError(expr)

@@ -59,6 +59,7 @@ _filter("filter_and_or_not", "events", "event_id, event_type, value",
         "NOT (event_type = 'click' OR value < 10) AND (value < 80 OR event_type = 'error')")
 _filter("filter_contains", "documents", "doc_id", 'text contains "License"', "contains(text, 'License')")
 _filter("filter_regex", "pages", "page_id, url", 'url ~ "^https?://[^/]+[.]com(/|$)"', "regexp_matches(url, '^https?://[^/]+[.]com(/|$)')")
+_filter("filter_regex_ambiguous", "pages", "page_id, url", 'url ~ "^https?://([a-z0-9]+[.]?)+/(.*/?)*[05]$"', "regexp_matches(url, '^https?://([a-z0-9]+[.]?)+/(.*/?)*[05]$')")
 _filter("filter_nested_json", "events", "event_id, props", "props.k >= 50", "CAST(json_extract(props::JSON, '$.k') AS DOUBLE) >= 50", json=("props",))
 _filter("filter_has_missing_column", "events", "event_id", "has value and not has nothing and not nothing == 1", "value IS NOT NULL")
 _filter("filter_type_mismatch", "events", "event_id", 'value == "5" or event_type > 3 or user_id != "x" or not event_id ~ "1"', "true")

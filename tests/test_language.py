@@ -1,13 +1,16 @@
 import json
 import math
 import operator
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from emberlens.functions.fields import ColumnFields, RecordFields
-from emberlens.functions.patterns import PatternError, check, to_java
+from emberlens.functions.ambiguity import hazardous
+from emberlens.functions.patterns import PatternError, check, matches, to_java
 from emberlens.operators.predicate import EPSILON, compile_predicate
 from emberlens.plans.language import And, Compare, Contains, Everything, Has, Matches, Not, Or, QueryError, parse
 from emberlens.sources import ndjson
@@ -138,3 +141,43 @@ def test_patterns(spark):
         with pytest.raises(PatternError):
             check(spark, bad)
     check(spark, r"\\1[+]+(a|b)*\++$")
+
+
+HARMFUL = [
+    r"(a+)+$", r"(a*)*b", r"(a|a)*b", r"(a|ab|b)*c", r"(\w|\d)+x", r"(.*a){12}", r"((x?|y?)a)*z", r"(a{1,20}){1,20}b", r"(\w+\s?)+$",
+    r"^(([a-z])+.)+[A-Z]([a-z])+$", r"(?i)(a|A)*b", r".*.*.*.*x", r"((a*)*b)*", r"(\s*\w*)*;", r"(é|\w)*x", r"(?P<n>[\d_]|\w)+!$",
+]
+HARMLESS = [
+    r"^https?://[^/]+[.]com(/|$)", r"(/\w+)+/x", r"(\d{1,3}\.){3}\d{1,3}", r"[a-f0-9]{8}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{12}", r"a.*b.*c",
+    r"^\[(error|warn)\]", r"(ab|cd)*e", r"([a-z]+,)*[a-z]+", r"x{2,300}", r"(?P<n>a|b)+c", r"\\1[+]+(a|b)*\++$", r"(?x) ( a | b )+ c # (a+)+",
+    r"[[:alpha:]]+\d", r"\bfoo\b", "", "a||b", r"(\.\d+)?$",
+]
+
+
+def test_patterns_that_would_take_exponential_time_are_told():
+    assert [p for p in HARMFUL if not hazardous(p)] == []
+    assert [p for p in HARMLESS if hazardous(p)] == []
+
+
+def test_linear_matching_agrees_with_backtracking(spark):
+    texts = ["", "aaab", "ab c;", "AbaB", "x\ny", "éxx!", "٣٤_!", "a.b.c/1", "xayaz", "ab" * 6, "a" * 12, "foo bar Baz", "ſ", "\u3000w;", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    columns = [c for k, p in enumerate(HARMFUL) for c in (matches(F.col("t"), p).alias(f"m{k}"), F.col("t").rlike(to_java(p)).alias(f"j{k}"))]
+    for row in rows.select("t", *columns).collect():
+        for k, p in enumerate(HARMFUL):
+            assert row[f"m{k}"] == row[f"j{k}"], (row["t"], p)
+
+
+def test_a_hostile_line_is_answered_at_once(spark):
+    hostile = spark.range(3).select(F.concat(F.repeat(F.lit("a"), 200_000), F.lit("!")).alias("t"))
+    began = time.monotonic()
+    assert hostile.where(matches(F.col("t"), "(a+)+$")).count() == 0
+    assert hostile.where(matches(F.col("t"), "(a+)+!")).count() == 3
+    assert time.monotonic() - began < 20
+
+
+def test_patterns_without_a_linear_form_are_refused(spark):
+    for bad in (r"([\W]+)+$", r"(?x)(a +)+ $", r"([a-c&&b]+)+$", r"(a{1,2000}){1,2000}"):
+        with pytest.raises(PatternError):
+            check(spark, bad)
+    check(spark, r"(?<n>[\w-]+\u0041?)+$")

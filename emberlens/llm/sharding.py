@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from emberlens.llm.common import documents, quoted, staged, text_or_empty, unused
 
 LIMIT_BYTES = 16 << 20
+#: The limit of the registered query: small shards, so that small tables split too.
+QUERY_LIMIT = 256 << 10
 HALF, STEP = 60, 8
 
 
@@ -139,7 +141,7 @@ def write_shards(docs: DataFrame, shards: DataFrame, path: str, key_col: str = "
 
 
 def op10_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assign(documents(spark, sf_dir)).select(
+    return assign(documents(spark, sf_dir), QUERY_LIMIT).select(
         F.col("key").alias("doc_id"), "bytes", "depth", "shard", "shard_bytes", "shard_rows", "oversize"
     )
 
@@ -153,7 +155,7 @@ p AS (SELECT doc_id, bytes, CAST(d AS INTEGER) AS depth, left(bits, CAST(d AS IN
       FROM a, (SELECT unnest(range(0, {HALF + 1})) AS d)),
 s AS (SELECT depth, shard, CAST(sum(bytes) AS BIGINT) AS shard_bytes, count(*) AS shard_rows FROM p GROUP BY ALL),
 leaf AS (SELECT p.doc_id, min(p.depth) AS depth FROM p JOIN s USING (depth, shard)
-         WHERE shard_bytes <= {LIMIT_BYTES} OR shard_rows = 1 GROUP BY p.doc_id)
-SELECT p.doc_id, p.bytes, p.depth, p.shard, s.shard_bytes, s.shard_rows, s.shard_bytes > {LIMIT_BYTES} AS oversize
+         WHERE shard_bytes <= {QUERY_LIMIT} OR shard_rows = 1 GROUP BY p.doc_id)
+SELECT p.doc_id, p.bytes, p.depth, p.shard, s.shard_bytes, s.shard_rows, s.shard_bytes > {QUERY_LIMIT} AS oversize
 FROM p JOIN leaf USING (doc_id, depth) JOIN s USING (depth, shard)
 """

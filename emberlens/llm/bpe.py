@@ -7,12 +7,15 @@ merge list the tokens that may differ reach further left only if the merge's lef
 where the difference starts, so the reach is the longest such chain of merges of rising rank.
 The transducer reads a word through a window, emits what lies further than the lookahead
 from the window's end, and starts anew behind the last token it emitted, which no merge
-crosses. Memory is constant, whatever the length of a word.
+crosses. That lookahead is the greatest of all words; what a window's own letters leave open is
+mostly less (``Transducer.reach``), so it looks from 64 letters on and emits what is stable.
+Tokens held are bounded, whatever the length of a word.
 
 Every word takes this way; what came out for a short word is remembered, within a bound.
 
-Decoding feeds a document's ids, token by token, to an incremental UTF-8 machine that gives
-out text as soon as code points are whole.
+Decoding feeds a document's ids, a bounded group at a time, to an incremental UTF-8 machine
+that gives out text as soon as code points are whole. The digests of ids and text take up
+what comes out, so of a document only its text is held whole.
 
 Defined results: null text is empty; the empty text has no tokens, and its digest is that of
 the empty string; the strings of added tokens inside a text become those tokens, as the
@@ -28,7 +31,7 @@ import json
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import pyarrow as pa
 import regex
@@ -39,6 +42,8 @@ from emberlens.llm.common import documents, mapped, text_or_empty
 
 #: Words and chunks kept per worker; when full, a memo starts anew.
 MEMO = 200_000
+#: Letters of a text, or ids, that are held as tokens at a time; letters of a word at the first look.
+GROUP, FIRST_LOOK = 1 << 14, 64
 
 #: Unicode white space. (str.split() also breaks at U+001C to U+001F, which are not.)
 _SPACES = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
@@ -89,6 +94,9 @@ class Transducer:
         bare = [tuple(x.removesuffix(self.end) if self.end else x for x in p) for p in pairs]
         self.ahead = lookahead(bare) + 1
         self.longest = max(map(len, self.vocab))
+        self.rights: dict[str, list[tuple[int, str]]] = {}
+        for rank, (left, right) in enumerate(bare):
+            self.rights.setdefault(left, []).append((rank, right))
         self.window = 2 * (self.ahead + self.longest)
         self.spelled = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.added.items()}
         self.joined = {i: (" " + t).encode() for i, t in self.spelled.items()}
@@ -111,36 +119,59 @@ class Transducer:
                 rank[at] = ranks((symbols[at], symbols[at + 1]), none)
         return symbols
 
+    def reach(self, text: str) -> int:
+        """Letters at the end of a word's beginning about whose tokens the rest of the word decides.
+
+        Where the difference may start, at which rank at the least: at the end at any rank; and
+        before a merge's left part if it may start behind that at a lower rank, and the
+        merge's right part agrees with the text from there on, as far as it is known.
+        """
+        least = {len(text): 0}
+        for at in range(len(text), 0, -1):
+            if at not in least:
+                continue
+            rest = text[at:]
+            for n in range(1, min(self.longest, at) + 1):
+                for rank, right in self.rights.get(text[at - n : at], ()):
+                    if rank >= least[at] and (right.startswith(rest) or rest.startswith(right)):
+                        least[at - n] = min(rank, least.get(at - n, rank))
+                        break  # the others have greater ranks
+        return len(text) - min(least)
+
     def stream_word(self, symbols: Iterable[str]) -> Iterator[str]:
         """Tokens of one word from its letters, each as soon as it is stable."""
         held: list[str] = []
-        source = iter(symbols)
+        source, full = iter(symbols), FIRST_LOOK
         last = next(source, None)
         while last is not None:
             nxt = next(source, None)
             held.append(last if nxt is not None else last + self.end)
             last = nxt
-            if last is not None and len(held) >= self.window:
-                stable, keep = 0, len(held) - self.ahead
+            if last is not None and len(held) >= full:
+                stable, keep = 0, len(held) - min(self.ahead, self.reach("".join(held)) + 1)
                 for token in self._merge(list(held)):
                     if stable + len(token) > keep:
                         break
                     stable += len(token)
                     yield token
                 del held[:stable]
+                # Where little comes out, the next look is later, up to the lookahead of all words.
+                full = min(self.window, max(FIRST_LOOK, 2 * len(held)))
         yield from self._merge(held)
 
     def word(self, piece: str) -> tuple[int, ...]:
         """Every word goes through the window; one shorter than it comes out at its end."""
         return tuple(map(self.vocab.__getitem__, self.stream_word(self.letters[b] for b in piece.encode())))
 
-    def words_of(self, chunk: str) -> list[str]:
+    def words_of(self, chunk: str) -> Iterable[str]:
         """Words of a run without white space, normalised."""
         if not chunk.isascii():
             chunk = unicodedata.normalize("NFC", chunk)
-            if "Σ" in chunk:  # one by one where a letter's lower case depends on its neighbours
-                return self.pieces.findall("".join(c.lower() for c in chunk))
-        return self.pieces.findall(chunk.lower())
+        # One by one where a letter's lower case depends on its neighbours.
+        chunk = "".join(c.lower() for c in chunk) if "Σ" in chunk else chunk.lower()
+        if len(chunk) > GROUP:
+            return (found[0] for found in self.pieces.finditer(chunk))
+        return self.pieces.findall(chunk)
 
     def split(self, text: str) -> list[str]:
         if _SEPARATORS.search(text):
@@ -158,17 +189,60 @@ class Transducer:
                         ids.extend(self.word(w))
         return ids
 
+    def stream(self, text: str) -> Iterator[tuple[tuple[int, ...], str]]:
+        """The ids of a text, and the ids in decimal, in groups of bounded size."""
+        at = 0
+        for special in self.special.finditer(text) if "<|" in text else ():
+            yield from self._plain(text, at, special.start())
+            own = self.added[special[0]]
+            yield (own,), str(own)
+            at = special.end()
+        yield from self._plain(text, at, len(text))
+
+    def _plain(self, text: str, at: int, end: int) -> Iterator[tuple[tuple[int, ...], str]]:
+        while at < end:
+            to = at + GROUP
+            if to < end:
+                space = _SPACES.search(text, to, end)
+                to = space.end() if space else end
+            else:
+                to = end
+            short: list[tuple[tuple[int, ...], str]] = []
+            for chunk in self.split(text[at:to]):
+                if len(chunk) <= GROUP:
+                    short.append(self.chunks[chunk])
+                    continue
+                yield _one(short)
+                short = []
+                for word in self.words_of(chunk):
+                    tokens = map(self.vocab.__getitem__, self.stream_word(self.letters[b] for b in word.encode()))
+                    while some := tuple(islice(tokens, GROUP)):
+                        yield some, " ".join(map(str, some))
+            yield _one(short)
+            at = to
+
     def encode_shown(self, text: str) -> tuple[int, str, str]:
         """Number of ids, the ids in decimal, joined by blanks, and the text that decoding them gives."""
-        parts: list[tuple[tuple[int, ...], str]] = []
-        for k, part in enumerate(self.special.split(text) if "<|" in text else [text]):
-            if k % 2:
-                parts.append(((self.added[part],), str(self.added[part])))
-            else:
-                parts.extend(map(self.chunks.__getitem__, self.split(part)))
-        ids = tuple(chain.from_iterable(x for x, _ in parts))
-        self.machine.restart()
-        return len(ids), " ".join(x for _, x in parts if x), self.machine.feed_all(ids) + self.machine.close()
+        shown, decoded, machine = [], [], self.machine.restart()
+        n = 0
+        for ids, decimal in self.stream(text):
+            if ids:
+                n += len(ids)
+                shown.append(decimal)
+                decoded.append(machine.feed_all(ids))
+        return n, " ".join(shown), "".join(decoded) + machine.close()
+
+    def digests(self, text: str) -> tuple[int, str, str]:
+        """Number of ids, and SHA-256 of what ``encode_shown`` gives, of which only a group is held."""
+        shown, decoded, machine = hashlib.sha256(), hashlib.sha256(), self.machine.restart()
+        n = 0
+        for ids, decimal in self.stream(text):
+            if ids:
+                shown.update((" " + decimal if n else decimal).encode())
+                decoded.update(machine.feed_all(ids).encode())
+                n += len(ids)
+        decoded.update(machine.close().encode())
+        return n, shown.hexdigest(), decoded.hexdigest()
 
     def _word_shown(self, word: str) -> tuple[tuple[int, ...], str]:
         ids = self.word(word)
@@ -192,6 +266,11 @@ class Transducer:
         return d.feed_all(ids) + d.close()
 
 
+def _one(found: list[tuple[tuple[int, ...], str]]) -> tuple[tuple[int, ...], str]:
+    """Neighbouring pieces as one; pieces may be without ids."""
+    return tuple(chain.from_iterable(x for x, _ in found)), " ".join(x for _, x in found if x)
+
+
 class _Memo(dict):
     """Text -> (ids, ids in decimal). Bounded: when full, it starts anew."""
 
@@ -273,10 +352,7 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(path)
         for b in batches:
-            rows = []
-            for x in b.column(1):
-                n, ids, decoded = t.encode_shown(x.as_py())
-                rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+            rows = [t.digests(x.as_py()) for x in b.column(1)]
             n, a, d = zip(*rows) if rows else ((), (), ())
             cols = [b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())]
             yield pa.RecordBatch.from_arrays(cols, ["id", "n_tokens", "ids_sha256", "decoded_sha256"])

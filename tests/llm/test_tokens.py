@@ -1,3 +1,4 @@
+import hashlib
 import zlib
 from array import array
 from collections import defaultdict
@@ -65,7 +66,39 @@ def test_streamed_words(ours, theirs):
             yield c
 
     next(t.stream_word(letters()))
-    assert seen <= t.window + 1  # a token comes out after one window, not after the word
+    assert seen <= 2 * bpe.FIRST_LOOK + 1 < t.window  # a token comes out at the first looks, not after the word
+
+
+def test_reach_of_a_words_beginning(ours):
+    """Whatever follows, tokens left of the reach stay; so says every cut of long words."""
+    t = ours[1]
+    rng = np.random.default_rng(11)
+    for alphabet in ("etaoinshr", "ab", "aaab", "the", "-=_", "0123", "хо"):
+        for _ in range(6):
+            letters = [t.letters[b] for b in "".join(rng.choice(list(alphabet), 90)).encode()]
+            whole = t._merge([*letters[:-1], letters[-1] + t.end])
+            ends = np.cumsum([len(x.removesuffix(t.end)) for x in whole]).tolist()
+            for cut in range(1, len(letters)):
+                keep, at = cut - t.reach("".join(letters[:cut])), 0
+                for token in t._merge(letters[:cut]):
+                    at += len(token)
+                    if at > keep:
+                        break
+                    assert at in ends and whole[ends.index(at)] == token
+
+
+def test_digests_hold_a_bounded_group(ours, theirs):
+    """Long texts, long words and special strings over the groups' borders; what is held at a time."""
+    t = ours[1]
+    rng = np.random.default_rng(3)
+    words = ["the", "naïve", "x" * 70, "ab" * 9000, "<|endoftext|>", "\x1cq", "ΑΣ", "!?", "\u3000"]
+    text = " ".join(rng.choice(words, 700, p=[0.3, 0.2, 0.1, 0.01, 0.09, 0.1, 0.1, 0.05, 0.05]).tolist() + ["word"] * 400_000)
+    ids = theirs[1].encode(text, add_special_tokens=False).ids
+    shown, decoded = " ".join(map(str, ids)), theirs[1].decode(ids, skip_special_tokens=False)
+    assert t.digests(text) == (len(ids), hashlib.sha256(shown.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+    assert max(len(some) for some, _ in t.stream(text)) <= 2 * bpe.GROUP
+    assert max(len(some) for some, _ in t.stream("ab" * 200_000)) <= bpe.GROUP
+    assert t.digests("") == (0, hashlib.sha256(b"").hexdigest(), hashlib.sha256(b"").hexdigest())
 
 
 def test_every_word_is_streamed_and_every_id_decoded(monkeypatch):
@@ -87,7 +120,7 @@ def test_every_word_is_streamed_and_every_id_decoded(monkeypatch):
 
     monkeypatch.setattr(t, "stream_word", stream)
     monkeypatch.setattr(t.machine, "feed_all", feeding)
-    total = sum(t.encode_shown(x)[0] for x in texts)
+    total = sum(t.digests(x)[0] for x in texts)
     assert fed == total > 0 and len(streamed) == len(t.words) > 1000
 
 

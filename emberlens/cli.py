@@ -111,7 +111,8 @@ def _batch(a: argparse.Namespace, spark: SparkSession, query: Query, kind: str,
         # The bounded result is one action, which carries the counts along.
         lines, seen = observed(ndjson.read_lines(spark, path) if ranges is None else splits.read_splits(spark, ranges, a.max_line_bytes))
         print(render.aggregation(over_records(lines, query), kind))
-        total.update(seen.get)
+        if ranges is None or ranges:  # without a range nothing is read, and nothing observed
+            total.update(seen.get)
     elif ranges is None:
         # Another store's files: their order is known by their positions only.
         lines = ndjson.classify(ndjson.read_lines(spark, path), a.max_line_bytes)

@@ -108,6 +108,8 @@ def _each(rows: DataFrame, keys: list[str], fields: list[str], *more: str) -> Da
 #: has 2 ** 21 different numbers at most (doubles have 2 ** 52 in a doubling), a coarse one has
 #: ``COARSE`` fine ones, and there are 4,096 coarse ones in a doubling.
 STEPS, COARSE = 1 << 32, 1 << 20
+#: Groups of no more different values than this are put in order whole, where that is known.
+NARROW = 1 << 20
 
 
 def _bucket(x: Column) -> Column:
@@ -163,9 +165,19 @@ def _held(values: DataFrame, keys: list[str], ranked: Sequence[AggSpec], fields:
 def _ranked(values: DataFrame, keys: list[str], wanted: Sequence[AggSpec], fields: list[str]) -> DataFrame:
     """``keys`` and, under the names a0, a1, ..., the wanted percentiles of ``values``."""
     inside = _held(values, keys, [s for s in wanted if s.kind == "percentile"], fields)
-    inside = _running(inside, [*keys, "f", "b"], "x")
-    found = [F.min(F.when(_wants(s, fields), F.col("x"))).alias(f"a{i}") for i, s in enumerate(wanted) if s.kind == "percentile"]
-    return inside.groupBy(*keys).agg(*found)
+    return _running(inside, [*keys, "f", "b"], "x").groupBy(*keys).agg(*_places(wanted, fields))
+
+
+def _places(wanted: Sequence[AggSpec], fields: list[str]) -> list[Column]:
+    return [F.min(F.when(_wants(s, fields), F.col("x"))).alias(f"a{i}") for i, s in enumerate(wanted) if s.kind == "percentile"]
+
+
+def _in_order(values: DataFrame, keys: list[str]) -> DataFrame:
+    """``values`` with ``upto`` and ``n``, for groups of ``NARROW`` values at most: one shuffle, by the keys."""
+    group = Window.partitionBy(*keys, "f")
+    amount = F.when(F.col("x").isNotNull(), F.col("c")).otherwise(F.lit(0).cast("bigint"))
+    upto = F.sum(amount).over(group.orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    return values.repartition(*keys).select("*", upto.alias("upto"), F.sum(amount).over(group).alias("n"))
 
 
 class Aggregation:
@@ -198,6 +210,8 @@ class Aggregation:
         self.keys = [f"k{i}" for i in range(len(keys))]
         #: Overflow flag, then the keys: what parts and groups are told apart by.
         self.by = ["o", *self.keys]
+        #: Known to have ``NARROW`` different values of a group and field at most.
+        self.narrow = self.mode == "sample" and self.capacity <= NARROW
         if self.mode == "sample":  # lets Spark cut each task's rows before the shuffle, too
             df.sparkSession.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", self.capacity)
         self.input = df.select(
@@ -243,16 +257,24 @@ class Aggregation:
         """Parts kept on the executors (on their disks, if need be) while the groups are collected.
 
         Spark shares the shuffle of parts between their readers where it can tell that these
-        read the same source, which it cannot for data sources in Python.
+        read the same source, which it cannot for data sources in Python. With the folded parts
+        at hand, one more action tells how many values the widest group has: mostly few enough
+        to put each group in order whole.
         """
         if self.mode == "approx":
             yield
             return
         self.__dict__["parts"] = {name: part.persist() for name, part in self.parts.items()}
+        kept = list(self.parts.values())
         try:
+            if self.mode == "exact":
+                values = self.folded["values"].persist()
+                self.folded["values"] = values
+                kept.append(values)
+                self.measure(self.folded)
             yield
         finally:
-            for part in self.parts.values():
+            for part in kept:
                 part.unpersist()
 
     def _admitted(self, *parts: DataFrame) -> DataFrame | None:
@@ -295,6 +317,17 @@ class Aggregation:
             found[name] = self._combined(name, folded) if before or (let is not None and name == source) else folded
         return found
 
+    @cached_property
+    def folded(self) -> dict[str, DataFrame]:
+        """Parts of the admitted groups and the overflow."""
+        return self.added()
+
+    def measure(self, parts: dict[str, DataFrame]) -> None:
+        """An action that learns from folded parts how wide the groups are; parts should be written or held."""
+        if self.mode == "exact":
+            sizes = parts["values"].groupBy(*self.by, "f").agg(F.count(F.lit(1)).alias("n"))
+            self.narrow = (sizes.agg(F.max("n").alias("n")).first()["n"] or 0) <= NARROW
+
     # Groups.
 
     def _from_values(self, values: DataFrame) -> tuple[list[Column], list[Column]]:
@@ -326,11 +359,19 @@ class Aggregation:
         plain = [(f"a{i}", s) for i, s in enumerate(self.wanted) if self.mode == "kll" or s.kind != "percentile"]
         if self.mode == "exact":
             made, more = self._from_values(parts["values"])
-            found = parts["values"].groupBy(*self.by).agg(*[c.cast(kind(s)).alias(a) for (a, s), c in zip(plain, made)], *more)
+            made = [c.cast(kind(s)).alias(a) for (a, s), c in zip(plain, made)]
+            if self.narrow:
+                found = _in_order(parts["values"], self.by).groupBy(*self.by).agg(*made, *_places(self.wanted, self.measures), *more)
+                return found.select(*self.by, *[f"a{i}" for i in range(len(self.wanted))], "records", "first").where("records > 0")
+            found = parts["values"].groupBy(*self.by).agg(*made, *more)
         else:
             found = parts["stats"].select(*self.by, *[self._from_stats(s).cast(kind(s)).alias(a) for a, s in plain], "records", F.col("pos").alias("first"))
         if self.mode in ("exact", "sample"):
-            ranks = _ranked(parts["values"], self.by, self.wanted, self.measures)
+            ranks = (
+                _in_order(parts["values"], self.by).groupBy(*self.by).agg(*_places(self.wanted, self.measures))
+                if self.narrow
+                else _ranked(parts["values"], self.by, self.wanted, self.measures)
+            )
             # Side by side through one grouping, which takes null keys for equal.
             both = found.unionByName(ranks, allowMissingColumns=True)
             names = [*[f"a{i}" for i in range(len(self.wanted))], "records", "first"]
@@ -341,7 +382,7 @@ class Aggregation:
     def groups(self) -> DataFrame:
         """The groups that the guard lets through, ``limit`` at most, and the overflow (``o``), if there is one."""
         if self.mode != "approx":
-            return self.groups_of(self.added())
+            return self.groups_of(self.folded)
         let = self._admitted(self.input)
 
         def value(s: AggSpec) -> Column:

@@ -93,6 +93,7 @@ def follow(
             if counted is not None:
                 counted(kept.pop("lines").first().asDict())
             if query.aggs:
+                plan.aggregation.measure(kept)
                 emit(render.groups(plan.aggregation, plan.aggregation.groups_of(kept), kind))
             else:
                 for text in render.records((r["line"] for r in render.record_lines(plan).toLocalIterator()), kind):

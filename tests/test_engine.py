@@ -1,3 +1,4 @@
+import contextlib
 import json
 import math
 import random
@@ -197,6 +198,27 @@ def test_percentiles_split_any_bucket(spark):
     assert max(n for (k, _), n in sizes.items() if k == "day") <= 8 and len(sizes) >= 6 * 3
 
 
+@pytest.mark.parametrize("keys", ["k", ""])
+def test_narrow_groups_in_order_equal_buckets(spark, monkeypatch, keys):
+    """Held parts of few values are put in order whole; the result is that of the buckets."""
+    odd = [("a", None, 1.0), ("a", math.nan, None), ("a", -0.0, 2.0), ("a", 0.0, 2.0), (None, 3.0, None), (None, None, None), ("c", None, 7.0), ("c", math.inf, 7.0)]
+    rows = [(i, k, v, w) for i, (k, v, w) in enumerate(odd + [(f"k{i % 4}", float(i * i % 97), float(-i)) for i in range(300)])]
+    df = spark.createDataFrame(rows, "i long, k string, v double, w double")
+    query = Query.of(agg="count,p0(v),p50(v),p99(v),p50(w),sum(w),min(v),max(w)", group_by=keys, limit=4)
+    found = []
+    for bound, hold in ((1 << 20, True), (0, True), (1 << 20, False)):
+        monkeypatch.setattr(aggregate, "NARROW", bound)
+        a = over_columns(df, query, "i").aggregation
+        with a.held() if hold else contextlib.nullcontext():
+            assert a.narrow == (hold and bound > 0)
+            found.append(sorted(map(str, a.groups.collect())))
+    assert found[0] == found[1] == found[2] and len(found[0]) == (5 if keys else 1)
+    monkeypatch.setattr(aggregate, "NARROW", 1 << 20)
+    a = over_columns(df.where("i < 0"), query, "i").aggregation
+    with a.held():
+        assert a.groups.collect() == []
+
+
 def test_sample_is_exact_up_to_its_capacity(spark):
     df = spark.range(3000).selectExpr("id i", "cast(id % 3 as string) k", "double(hash(id) % 1000) v", "if(id % 5 = 0, null, double(id)) w")
     agg = "count,p50(v),p90(v),p99(w),avg(w),min(v)"

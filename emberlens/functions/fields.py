@@ -48,8 +48,34 @@ def _typed(dtype: T.DataType, value: Column) -> Field:
     return f
 
 
+def double_text(x: Column) -> Column:
+    """The shortest digits that tell a double, plain from 1e-5 to below 1e16, else as in ``1.5e-7``."""
+    text = x.cast("string")
+    sign, bare = F.when(text.startswith("-"), "-").otherwise(""), F.ltrim(text, F.lit("-"))
+    power = F.substring_index(text, "E", -1).try_cast("int")
+    head = F.substring_index(bare, "E", 1)
+    whole, part = F.substring_index(head, ".", 1), F.substring_index(head, ".", -1)
+    part = F.when(part == "0", "").otherwise(part)
+    digits = F.concat(whole, part)
+    more = power - F.length(part)
+    large = F.when(more >= 0, F.concat(digits, F.repeat(F.lit("0"), more), F.lit(".0"))).otherwise(
+        F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, F.length(digits)))
+    )
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    wide = F.concat(whole, F.when(part == "", "").otherwise(F.concat(F.lit("."), part)), F.lit("e"), power.cast("string"))
+    shown = F.when(power.between(7, 15), large).when(power.between(-5, -4), small).otherwise(wide)
+    return F.when(text.contains("E"), F.concat(sign, shown)).otherwise(text)
+
+
+def number_text(token: Column) -> Column:
+    """A JSON number as a group key: whole numbers of 64 bits as they are spelled, others as doubles."""
+    whole = token.rlike("^-?[0-9]+$") & (token != "-0")
+    fits = token.try_cast("decimal(38,0)").between(F.lit("-9223372036854775808").cast("decimal(38,0)"), F.lit("18446744073709551615").cast("decimal(38,0)"))
+    return F.when(whole & fits, token).otherwise(double_text(token.try_cast("double")))
+
+
 def _variant(value: Column, path: Path, spelled: Column | None = None) -> Field:
-    """``spelled``: the record's own JSON, for numbers' original spelling in group keys."""
+    """``spelled``: the record's own JSON, which tells ``5`` from ``5.0`` in group keys."""
     f = Field()
     where = "$" + "".join(map(_step, path))
     here = F.try_variant_get(value, where, "variant")
@@ -66,7 +92,7 @@ def _variant(value: Column, path: Path, spelled: Column | None = None) -> Field:
     if spelled is not None:
         # Whole numbers have one spelling, but for zero (-0), so they need no second look at the text.
         shown = shown.when((kind == "BIGINT") & (as_number != 0), F.to_json(here))
-        shown = shown.when(is_number, F.coalesce(F.get_json_object(spelled, where.replace('"', "'")), F.to_json(here)))
+        shown = shown.when(is_number, number_text(F.coalesce(F.get_json_object(spelled, where.replace('"', "'")), F.to_json(here))))
     f.display = F.when(f.present, shown.otherwise(F.to_json(here)))
     f.instant = F.lit(None).cast("timestamp")
     return f

@@ -1,7 +1,8 @@
 """NDJSON: lines to records, with every line accounted for.
 
 A line ends at a line feed; one carriage return before it is taken off. Each line is a
-record (a JSON object), blank, malformed (no object, or no UTF-8) or too long.
+record (a JSON object), blank, malformed (no object, or no UTF-8) or too long. Malformed, too,
+are objects with half a surrogate pair.
 """
 
 from __future__ import annotations
@@ -32,6 +33,17 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("value", at.alias("pos"))
 
 
+def _half_pairs(raw: Column) -> Column:
+    """Whether a line holds half a surrogate pair; lines without such escapes are told at once.
+
+    Plain functions only: one that Spark interprets would keep the whole classification out of
+    generated code.
+    """
+    escapes = F.regexp_replace(raw, r"\\\\", "_")
+    pairs = F.regexp_replace(escapes, r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}", "")
+    return raw.contains("\\u") & pairs.rlike(r"\\u[dD][89a-fA-F]")
+
+
 def classify(lines: DataFrame, max_line_bytes: int = DEFAULT_MAX_LINE_BYTES, keep: tuple[str, ...] = ("pos",)) -> DataFrame:
     """``status, raw, v`` beside ``keep``, from ``value`` (string or binary).
 
@@ -59,7 +71,7 @@ def classify(lines: DataFrame, max_line_bytes: int = DEFAULT_MAX_LINE_BYTES, kee
     good = F.try_variant_get("parsed", "$[1]", "string") == mark
     # Most lines are records, so the dearer questions are asked of the others only.
     status = (
-        F.when(F.coalesce(good & starts, F.lit(False)), RECORD)
+        F.when(F.coalesce(good & starts & ~_half_pairs(F.col("raw")), F.lit(False)), RECORD)
         .when(F.col("bytes") > max(1, max_line_bytes), TOO_LONG)
         .when(F.col("raw").isNull(), MALFORMED)
         .when(F.col("raw").rlike(r"(?U)^\s*\z"), BLANK)

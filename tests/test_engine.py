@@ -111,6 +111,32 @@ def test_group_keys(spark):
     assert {r["k"]: r["count"] for r in rows} == {"5": 2, "5.0": 1, None: 2, "true": 1, "[1,2]": 1}
 
 
+def test_number_keys(spark):
+    """Whole numbers of 64 bits keep their spelling; others are doubles in their shortest form."""
+    spelled = {
+        "1e3": "1000.0", "1.50": "1.5", "-0": "-0.0", "0": "0", "-0.0": "-0.0", "0.0": "0.0", "1E7": "10000000.0", "12345678.25": "12345678.25", "1e15": "1000000000000000.0",
+        "1.5e15": "1500000000000000.0", "1e16": "1e16", "1.25e16": "1.25e16", "1e-3": "0.001", "1e-4": "0.0001", "1.5e-5": "0.000015", "1e-6": "1e-6", "-2.5E-7": "-2.5e-7",
+        "18446744073709551615": "18446744073709551615", "18446744073709551616": "1.8446744073709552e19", "-9223372036854775809": "-9.223372036854776e18", "-12": "-12",
+    }
+    lines = spark.createDataFrame([(i, f'{{"k": {n}}}') for i, n in enumerate(spelled)], "pos long, value string")
+    rows = over_records(ndjson.records(ndjson.classify(lines)), Query.of(agg="count", group_by="k")).result.collect()
+    assert {r["k"] for r in rows} == set(spelled.values()) and sum(r["count"] for r in rows) == len(spelled)
+
+
+def test_strict_records(spark):
+    """Halves of surrogate pairs make no record; escaped backslashes before a u do no harm."""
+    good = [
+        '{"a":1e308}', r'{"a":"\ud83d\ude00"}', r'{"a":"\\ud800"}', r'{"a":"\u0041\\\ud83d\ude00"}',
+        '{"a":"' + r"\"\u0041" * 30000 + '","b":[[' + "[]," * 200 + "1]]}",
+    ]
+    bad = [
+        r'{"a":"\ud800"}', r'{"a":"\uDC00\uD800"}', r'{"a":"\\\ud800"}', r'{"\ud83d\u0041":1}', r'{"a":"\ud83d\\\ude00"}',
+    ]
+    lines = spark.createDataFrame([(i, x) for i, x in enumerate(good + bad)], "pos long, value string")
+    found = {r["pos"]: r["status"] for r in ndjson.classify(lines).select("pos", "status").collect()}
+    assert [i for i in found if (found[i] == "record") != (i < len(good))] == []
+
+
 def test_percentiles(spark):
     df = spark.createDataFrame([(float(x),) for x in (1, 2, 3)], "v double")
     one = lambda agg, d=df: over_columns(d, Query.of(agg=agg)).result.collect()

@@ -35,6 +35,10 @@ BROADCAST_BYTES, SALTS = 32 << 20, 64
 BATCH_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
+#: Small tables are written by at most this many tasks, or four a core where that is more.
+FILES = 32
+_FIRST = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see; a private one only where the session names none and the
@@ -49,15 +53,31 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIR[0]
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, packed: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here.
 
     A lost executor costs nothing that was written. Files stay until the job's owner clears
     the folder, since lazily evaluated results may still read them.
+
+    ``packed`` is for narrow tables of light work, of which a job writes many: what was shuffled
+    is put together up to the session's advisory size, not dealt over all cores. On local
+    folders Hadoop starts two processes (``chmod``) for every file.
     """
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/emberlens-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    if not packed:
+        df.write.parquet(at)
+        return spark.read.schema(df.schema).parquet(at)
+    before = spark.conf.getAll.get(_FIRST)
+    spark.conf.set(_FIRST, "false")
+    try:
+        # Parent partitions of a task run one after the other: none is larger than before.
+        df.coalesce(max(FILES, 4 * spark.sparkContext.defaultParallelism)).write.parquet(at)
+    finally:
+        if before is None:
+            spark.conf.unset(_FIRST)
+        else:
+            spark.conf.set(_FIRST, before)
     return spark.read.schema(df.schema).parquet(at)
 
 

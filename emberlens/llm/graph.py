@@ -21,8 +21,8 @@ def components(edges: DataFrame) -> DataFrame:
     written to the shared folder; the driver sees one sum. When a round changes nothing, both
     ends of every edge point to the same node, which points to itself.
     """
-    both = staged(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("comp")), "labels")
+    both = staged(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges", packed=True)
+    labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("comp")), "labels", packed=True)
     before = None
     while True:
         total = labels.agg(F.sum(F.col("comp").cast("decimal(38,0)")).alias("s")).first()["s"]
@@ -30,13 +30,13 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
         before = total
         up = labels.select(F.col("node").alias("up"), F.col("comp").alias("higher"))
-        high = staged(labels.join(up, labels["comp"] == up["up"]).select("node", "comp", "higher"), "higher")
+        high = staged(labels.join(up, labels["comp"] == up["up"]).select("node", "comp", "higher"), "higher", packed=True)
         heard = both.join(high.select("node", "higher"), both["b"] == high["node"]).groupBy("a").agg(F.min("higher").alias("heard"))
         moved = heard.join(high, heard["a"] == high["node"])
         own = F.struct("node", F.least("higher", "heard").alias("comp"))
         offer = F.struct(F.col("comp").alias("node"), F.col("heard").alias("comp"))
         news = moved.select(F.explode(F.when(F.col("heard") < F.col("higher"), F.array(own, offer)).otherwise(F.array(own))).alias("n"))
-        labels = staged(news.groupBy("n.node").agg(F.min("n.comp").alias("comp")), "labels")
+        labels = staged(news.groupBy("n.node").agg(F.min("n.comp").alias("comp")), "labels", packed=True)
 
 
 def merged(found: DataFrame, links: DataFrame) -> DataFrame:
@@ -44,13 +44,13 @@ def merged(found: DataFrame, links: DataFrame) -> DataFrame:
     of = {c: found.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}")) for c in ("a", "b")}
     joined = links.join(of["a"], "a", "left").join(of["b"], "b", "left")
     joined = joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    joined = staged(joined.where("a != b").distinct(), "joined")
+    joined = staged(joined.where("a != b").distinct(), "joined", packed=True)
     if joined.isEmpty():
         return found
     up = components(joined)
     higher = up.select(F.col("node").alias("comp"), F.col("comp").alias("higher"))
     old = found.join(higher, "comp", "left").select("node", F.coalesce("higher", "comp").alias("comp"))
-    return staged(old.union(up.join(found, "node", "left_anti").select("node", "comp")), "merged")
+    return staged(old.union(up.join(found, "node", "left_anti").select("node", "comp")), "merged", packed=True)
 
 
 #: Partners that a node outside its bucket's main component meets in a round: offsets up to
@@ -108,7 +108,7 @@ def linked(
     met = staged(met.join(hubs, "bucket"), "buckets")
     verify = prepare(met.select("node").distinct())
     stars = met.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    tested = staged(_ordered(stars).distinct(), "stars")
+    tested = staged(_ordered(stars).distinct(), "stars", packed=True)
     found = components(staged(verify(tested), "links"))
     members = met.select("bucket", "node")
 

@@ -48,6 +48,9 @@ REGISTERS, BANDS, ROWS = 256, 64, 9
 #: Pairs verified against one text by one task; a text with more partners is replicated.
 PARTNERS = 1024
 THRESHOLD, WORDS = 0.8, 5
+#: Texts that are signed together, at most. A text draws some 2,200 points however short it is
+#: (50 KB while they are sorted out), so texts of few bytes are bounded by their number.
+SIGNED = 1024
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -128,7 +131,7 @@ def _bands(sig: np.ndarray) -> np.ndarray:
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         exact = np.asarray(b.column(2)).view(np.uint64)
-        for lo, hi, data, at in groups(b.column(3)):
+        for lo, hi, data, at in groups(b.column(3), rows=SIGNED):
             n = hi - lo
             start, end, text = words(data, at)
             word, _ = hashes(data, start, end)
@@ -316,7 +319,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Equal word sequences become one node, the least row number.
     same = signed.groupBy("d1", "d2").agg(F.min("rid").alias("node"), F.count(F.lit(1)).alias("n")).where("n > 1")
     copies = signed.select("rid", "d1", "d2").join(same, ["d1", "d2"]).where("rid != node").select("rid", "node")
-    copies = staged(copies, "copies")
+    copies = staged(copies, "copies", packed=True)
 
     nodes = signed.select("rid", "bands").join(copies.select("rid"), "rid", "left_anti")
     banded = nodes.select(F.col("rid").alias("node"), F.explode("bands").alias("bucket"))

@@ -42,14 +42,15 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def groups(column: pa.Array, most: int = GROUP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """First and last row, bytes and starts of consecutive groups of texts."""
+def groups(column: pa.Array, most: int = GROUP_BYTES, rows: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """First and last row, bytes and starts of consecutive groups of texts, of up to ``rows`` texts."""
     if not len(column):
         return
     data, at = flat(column)
     first = 0
     while first < len(column):
         last = max(first + 1, int(np.searchsorted(at, at[first] + most, side="right")) - 1)
+        last = last if rows is None else min(last, first + rows)
         yield first, last, data[at[first] : at[last]], at[first : last + 1] - at[first]
         first = last
 

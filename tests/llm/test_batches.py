@@ -1,10 +1,12 @@
 """Arrow batches that go to Python are bounded by bytes, and results don't depend on the bound."""
 
+import tracemalloc
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from emberlens.llm import language, toxicity
-from emberlens.llm.common import _BATCH, BATCH_BYTES, mapped
+from emberlens.llm import language, near_dedup, toxicity
+from emberlens.llm.common import _BATCH, BATCH_BYTES, mapped, staged
 
 
 def _sizes(batches):
@@ -44,3 +46,36 @@ def test_answers_do_not_depend_on_batches(spark):
         spoken = language.answered(docs, language.train(docs), name="answer").select("doc_id", "answer.lang_pred").collect()
         found.append((sorted(map(tuple, toxic)), sorted(map(tuple, spoken))))
     assert found[0] == found[1]
+
+
+def _short(n):
+    text = pa.array([f"word{i} of{i % 97} a{i} short{i} line{i}" for i in range(n)])
+    ids = pa.array(range(n), pa.int64())
+    return pa.RecordBatch.from_arrays([ids, ids, ids, text], ["rid", "id", "exact", "text"])
+
+
+def test_short_texts_are_signed_in_bounded_memory():
+    # Each text draws some 2,200 points, however short: bounded by bytes alone, these took 1 GB for 8,000.
+    batch = _short(4000)
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in near_dedup._sign(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 4000 and peak < 250 << 20
+
+
+def test_signatures_do_not_depend_on_groups(monkeypatch):
+    whole = pa.Table.from_batches(near_dedup._sign(iter([_short(300)])))
+    monkeypatch.setattr(near_dedup, "SIGNED", 7)
+    assert whole.equals(pa.Table.from_batches(near_dedup._sign(iter([_short(300)]))))
+
+
+def test_small_tables_are_few_files(spark):
+    own = spark.newSession()
+    own.conf.set("spark.sql.shuffle.partitions", "16")
+    rows = own.range(0, 2000, 1, 8)
+    found = staged(rows.groupBy((F.col("id") % 500).alias("k")).count(), "few", packed=True)
+    assert len(found.inputFiles()) == 1
+    assert staged(own.range(0, 2000, 1, 200), "few", packed=True).select(F.input_file_name()).distinct().count() <= 32
+    assert own.conf.get("spark.sql.adaptive.coalescePartitions.parallelismFirst") == "true"
+    assert sorted(r["count"] for r in found.collect()) == [4] * 500

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from emberlens.llm.common import documents, mapped, text_or_empty
 
-#: Words and chunks kept per worker; when full, a memo starts anew.
+#: Words and chunks kept per worker, twice: what was met since a memo was last full, and what before.
 MEMO = 200_000
 #: Letters of a text, or ids, that are held as tokens at a time; letters of a word at the first look.
 GROUP, FIRST_LOOK = 1 << 14, 64
@@ -85,7 +85,11 @@ class Transducer:
         self.vocab: dict[str, int] = model["vocab"]
         self.end: str = model.get("end_of_word_suffix") or ""
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.ranks = {p: i for i, p in enumerate(pairs)}
+        self.wholes = [a + b for a, b in pairs]
+        #: The rank of a pair: by its left part, then by its right part.
+        self.ranks: dict[str, dict[str, int]] = {x: {} for p in (self.vocab, *pairs, self.wholes) for x in p}
+        for rank, (left, right) in enumerate(pairs):
+            self.ranks[left][right] = rank
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")")
         self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
@@ -100,23 +104,25 @@ class Transducer:
         self.window = 2 * (self.ahead + self.longest)
         self.spelled = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.added.items()}
         self.joined = {i: (" " + t).encode() for i, t in self.spelled.items()}
+        self.decimal = {i: str(i) for i in self.spelled}
         self.memo, self.machine = memo, Decoder(self, plain=False)
-        self.words, self.chunks = _Memo(self, self._word_shown), _Memo(self, self._chunk_shown)
+        self.words, self.chunks = _Memo(self, self.word), _Memo(self, self._chunk)
 
     # -- encoding -----------------------------------------------------------------------
 
     def _merge(self, symbols: list[str]) -> list[str]:
         """All merges by rank within one window; of equal ranks the leftmost first."""
-        ranks, none = self.ranks.get, len(self.ranks)
-        rank = [ranks(p, none) for p in zip(symbols, symbols[1:])]
-        while rank and (best := min(rank)) < none:
+        ranks, wholes, none = self.ranks, self.wholes, len(self.wholes)
+        rank = [ranks[a].get(b, none) for a, b in zip(symbols, symbols[1:])]
+        rank.append(none)  # nothing stands behind the last
+        while (best := min(rank)) < none:
             at = rank.index(best)
-            symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
-            del rank[at]
+            del symbols[at], rank[at]
+            symbols[at] = whole = wholes[best]
             if at:
-                rank[at - 1] = ranks((symbols[at - 1], symbols[at]), none)
-            if at < len(rank):
-                rank[at] = ranks((symbols[at], symbols[at + 1]), none)
+                rank[at - 1] = ranks[symbols[at - 1]].get(whole, none)
+            if at + 1 < len(symbols):
+                rank[at] = ranks[whole].get(symbols[at + 1], none)
         return symbols
 
     def reach(self, text: str) -> int:
@@ -140,28 +146,27 @@ class Transducer:
 
     def stream_word(self, symbols: Iterable[str]) -> Iterator[str]:
         """Tokens of one word from its letters, each as soon as it is stable."""
-        held: list[str] = []
         source, full = iter(symbols), FIRST_LOOK
-        last = next(source, None)
-        while last is not None:
-            nxt = next(source, None)
-            held.append(last if nxt is not None else last + self.end)
-            last = nxt
-            if last is not None and len(held) >= full:
-                stable, keep = 0, len(held) - min(self.ahead, self.reach("".join(held)) + 1)
-                for token in self._merge(list(held)):
-                    if stable + len(token) > keep:
-                        break
-                    stable += len(token)
-                    yield token
-                del held[:stable]
-                # Where little comes out, the next look is later, up to the lookahead of all words.
-                full = min(self.window, max(FIRST_LOOK, 2 * len(held)))
+        held = list(islice(source, full + 1))
+        while len(held) > full:  # the letter behind those looked at may be the word's last
+            seen = held[:full]
+            stable, keep = 0, full - min(self.ahead, self.reach("".join(seen)) + 1)
+            for token in self._merge(seen):
+                if stable + len(token) > keep:
+                    break
+                stable += len(token)
+                yield token
+            del held[:stable]
+            # Where little comes out, the next look is later, up to the lookahead of all words.
+            full = min(self.window, max(FIRST_LOOK, 2 * (len(held) - 1)))
+            held.extend(islice(source, full + 1 - len(held)))
+        if held:
+            held[-1] += self.end
         yield from self._merge(held)
 
     def word(self, piece: str) -> tuple[int, ...]:
         """Every word goes through the window; one shorter than it comes out at its end."""
-        return tuple(map(self.vocab.__getitem__, self.stream_word(self.letters[b] for b in piece.encode())))
+        return tuple(map(self.vocab.__getitem__, self.stream_word(map(self.letters.__getitem__, piece.encode()))))
 
     def words_of(self, chunk: str) -> Iterable[str]:
         """Words of a run without white space, normalised."""
@@ -169,6 +174,8 @@ class Transducer:
             chunk = unicodedata.normalize("NFC", chunk)
         # One by one where a letter's lower case depends on its neighbours.
         chunk = "".join(c.lower() for c in chunk) if "Σ" in chunk else chunk.lower()
+        if chunk.isalpha():
+            return (chunk,)  # letters alone are one word
         if len(chunk) > GROUP:
             return (found[0] for found in self.pieces.finditer(chunk))
         return self.pieces.findall(chunk)
@@ -207,18 +214,18 @@ class Transducer:
                 to = space.end() if space else end
             else:
                 to = end
-            short: list[tuple[tuple[int, ...], str]] = []
-            for chunk in self.split(text[at:to]):
+            found, after = self.split(text[at:to]), 0
+            # A chunk of more than a group has its place in a piece of more than a group only.
+            for k, chunk in enumerate(found) if to - at > GROUP else ():
                 if len(chunk) <= GROUP:
-                    short.append(self.chunks[chunk])
                     continue
-                yield _one(short)
-                short = []
+                yield self._shown(found[after:k])
+                after = k + 1
                 for word in self.words_of(chunk):
-                    tokens = map(self.vocab.__getitem__, self.stream_word(self.letters[b] for b in word.encode()))
+                    tokens = map(self.vocab.__getitem__, self.stream_word(map(self.letters.__getitem__, word.encode())))
                     while some := tuple(islice(tokens, GROUP)):
-                        yield some, " ".join(map(str, some))
-            yield _one(short)
+                        yield some, " ".join(map(self.decimal.__getitem__, some))
+            yield self._shown(found[after:] if after else found)
             at = to
 
     def encode_shown(self, text: str) -> tuple[int, str, str]:
@@ -244,15 +251,14 @@ class Transducer:
         decoded.update(machine.close().encode())
         return n, shown.hexdigest(), decoded.hexdigest()
 
-    def _word_shown(self, word: str) -> tuple[tuple[int, ...], str]:
-        ids = self.word(word)
-        return ids, " ".join(map(str, ids))
+    def _shown(self, chunks: list[str]) -> tuple[tuple[int, ...], str]:
+        """The ids of short chunks, and the ids in decimal."""
+        ids = tuple(chain.from_iterable(map(self.chunks.__getitem__, chunks)))
+        return ids, " ".join(map(self.decimal.__getitem__, ids))
 
-    def _chunk_shown(self, chunk: str) -> tuple[tuple[int, ...], str]:
+    def _chunk(self, chunk: str) -> tuple[int, ...]:
         found = [self.words[w] for w in self.words_of(chunk)]
-        if len(found) == 1:
-            return found[0]
-        return tuple(chain.from_iterable(x for x, _ in found)), " ".join(x for _, x in found)
+        return found[0] if len(found) == 1 else tuple(chain.from_iterable(found))
 
     # -- decoding -----------------------------------------------------------------------
 
@@ -266,22 +272,21 @@ class Transducer:
         return d.feed_all(ids) + d.close()
 
 
-def _one(found: list[tuple[tuple[int, ...], str]]) -> tuple[tuple[int, ...], str]:
-    """Neighbouring pieces as one; pieces may be without ids."""
-    return tuple(chain.from_iterable(x for x, _ in found)), " ".join(x for _, x in found if x)
-
-
 class _Memo(dict):
-    """Text -> (ids, ids in decimal). Bounded: when full, it starts anew."""
+    """Text -> ids. Bounded: when full, it starts anew, and what it held is kept as the older half
+    until it is full again. What is met there comes back, so frequent texts stay."""
 
-    def __init__(self, owner: Transducer, make: Callable[[str], tuple[tuple[int, ...], str]]) -> None:
+    def __init__(self, owner: Transducer, make: Callable[[str], tuple[int, ...]]) -> None:
         super().__init__()
-        self.owner, self.make = owner, make
+        self.owner, self.make, self.older = owner, make, {}
 
-    def __missing__(self, text: str) -> tuple[tuple[int, ...], str]:
-        got = self.make(text)
+    def __missing__(self, text: str) -> tuple[int, ...]:
+        got = self.older.get(text)
+        if got is None:
+            got = self.make(text)
         if len(text) <= 64:
             if len(self) >= self.owner.memo:
+                self.older = dict(self)
                 self.clear()
             self[text] = got
         return got

@@ -124,6 +124,43 @@ def test_every_word_is_streamed_and_every_id_decoded(monkeypatch):
     assert fed == total > 0 and len(streamed) == len(t.words) > 1000
 
 
+def test_frequent_words_outlast_a_full_memo(monkeypatch, theirs):
+    """Each word is worked out once, however often the memo fills up in between; what is kept is bounded."""
+    t = bpe.Transducer(WORDS, memo=50)
+    streamed, plain = [], t.stream_word
+
+    def stream(letters):
+        streamed.append("".join(letters := list(letters)))
+        return plain(letters)
+
+    monkeypatch.setattr(t, "stream_word", stream)
+    rare = ["".join("etaoinshrd"[int(d)] for d in f"{i:03}") for i in range(1000)]
+    text = " ".join(f"often {w}, seen" for w in rare)
+    ids = theirs[1].encode(text, add_special_tokens=False).ids
+    assert t.digests(text)[:2] == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+    assert streamed.count("often") == streamed.count("seen") == streamed.count(",") == 1
+    assert max(len(m) + len(m.older) for m in (t.words, t.chunks)) <= 2 * t.memo
+
+
+def test_words_about_the_looks(ours, theirs):
+    """A word as long as a look or a letter more or less ends right; so does one of letters beyond ASCII."""
+    rng = np.random.default_rng(9)
+    for n in (1, 2, *range(bpe.FIRST_LOOK - 2, bpe.FIRST_LOOK + 4), *range(2 * bpe.FIRST_LOOK - 2, 2 * bpe.FIRST_LOOK + 4)):
+        for alphabet in ("etaoinshr", "ab", "aé", "хо"):
+            word = "".join(rng.choice(list(alphabet), n))
+            assert ours[1].encode(word) == theirs[1].encode(word, add_special_tokens=False).ids
+    for grows in ("İ" * 16_000, "İ1" * 8000):  # shorter than a group, longer in lower case
+        ids = theirs[1].encode(grows, add_special_tokens=False).ids
+        assert ours[1].digests(grows)[:2] == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+
+
+def test_letters_alone_are_one_word(ours):
+    """What str.isalpha() takes for letters, the pattern takes for one word."""
+    letters = "".join(c for c in map(chr, range(0x110000)) if c.isalpha())
+    assert ours[1].pieces.findall(letters) == [letters]
+    assert list(ours[1].words_of("Straße")) == ["straße"] and list(ours[1].words_of("it's4x")) == ["it", "'s", "4", "x"]
+
+
 def test_lookahead_follows_the_merges():
     assert bpe.lookahead([]) == 1
     assert bpe.lookahead([("a", "b")]) == 1
